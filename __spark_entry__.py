@@ -20,7 +20,7 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from millrate.functions import rules  # noqa: E402
-from millrate.operators import audit, maintenance, posting  # noqa: E402
+from millrate.operators import audit, maintenance, posting, replay  # noqa: E402
 from millrate.operators.status import parcel_status, running_balance  # noqa: E402
 from millrate.operators.util import money_edge  # noqa: E402
 from millrate.plans import collections as coll  # noqa: E402
@@ -394,6 +394,36 @@ def q_stream_dedupe(L: Ledger) -> DataFrame:
     return spark.read.parquet(sink).select("parcel_id", "check_number", "amount")
 
 
+def replay_commands(L: Ledger) -> DataFrame:
+    """Ordered commands: every attempt, the reversal and exoneration requests,
+    and a close of each January placed mid-way through its attempts' seqs."""
+    a = L.attempts
+    pays = a.select("seq", F.lit("pay").alias("command"), "parcel_id", "amount", "date",
+                    "check_number", "installment_num")
+    nsf = fixtures.nsf_requests(a).select("seq", F.lit("nsf").alias("command"),
+                                          F.col("transaction_id").alias("tx_id"), "date")
+    posted = posting.post_payments(a, L.roll)
+    exon = fixtures.exoneration_requests(L.roll, posted).select(
+        "seq", F.lit("exonerate").alias("command"), "parcel_id", "amount", "date", "reason")
+    jan = a.filter(F.month("date") == 1).groupBy(F.year("date").alias("year")).agg(
+        (((F.min("seq") + F.max("seq")) / 2).cast("long") / 1000).cast("long").alias("_k"))
+    closes = jan.select((F.col("_k") * 1000 + 700).alias("seq"),
+                        F.lit("close_month").alias("command"), F.lit(1).alias("month"), "year")
+    return pays.unionByName(nsf, allowMissingColumns=True) \
+        .unionByName(exon, allowMissingColumns=True) \
+        .unionByName(closes, allowMissingColumns=True)
+
+
+def q_replay_journal(L: Ledger) -> DataFrame:
+    journal, _refused = replay.replay(replay_commands(L), L.roll)
+    return journal
+
+
+def q_replay_refused(L: Ledger) -> DataFrame:
+    _journal, refused = replay.replay(replay_commands(L), L.roll)
+    return refused
+
+
 _QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "scan_parcels": lambda L: L.parcels.select(*PARCEL_COLUMNS),
     "scan_journal": lambda L: L.journal.select(*JOURNAL_COLUMNS, "receipt_month"),
@@ -464,6 +494,8 @@ _QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "change_log": _change_log,
     "system_events": q_system_events,
     "audit_tail": lambda L: audit.audit_tail(_change_log(L), AUDIT_TAIL_N),
+    "replay_journal": q_replay_journal,
+    "replay_refused": q_replay_refused,
     "stream_payments": q_stream_payments,
     "stream_dedupe": q_stream_dedupe,
 }

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from millrate.functions import rules, text
 from millrate.schemas import MONEY, PARCEL_COLUMNS
 
-_ZERO = F.lit(Decimal("0.00")).cast(MONEY)
+def _zero() -> F.Column:
+    return F.lit(Decimal("0.00")).cast(MONEY)
 
 
 def _combine_one_row(*parts: DataFrame) -> DataFrame:
@@ -37,13 +38,13 @@ def status_kpis(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     """
     t = F.col("transaction_type")
     roll = parcels.agg(F.count(F.lit(1)).alias("total_parcels"),
-                       F.coalesce(F.sum("face_tax_amount"), _ZERO).cast(MONEY)
+                       F.coalesce(F.sum("face_tax_amount"), _zero()).cast(MONEY)
                        .alias("total_face_value"))
     money = journal.agg(
-        F.coalesce(F.sum(F.when(t == "PAYMENT", F.col("amount_paid"))), _ZERO).cast(MONEY)
+        F.coalesce(F.sum(F.when(t == "PAYMENT", F.col("amount_paid"))), _zero()).cast(MONEY)
         .alias("total_collected"),
         F.coalesce(F.sum(F.when(t.isin("PAYMENT", "NSF_REVERSAL"), F.col("amount_paid"))),
-                   _ZERO).cast(MONEY).alias("net_collected"))
+                   _zero()).cast(MONEY).alias("net_collected"))
     k = _combine_one_row(roll, money)
     return k.select(
         "total_parcels", "total_face_value", "total_collected", "net_collected",
@@ -103,10 +104,10 @@ def dashboard_kpis(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     """Face value, collected, rate, paid parcels of all, outstanding estimate."""
     t = F.col("transaction_type")
     roll = parcels.agg(
-        F.coalesce(F.sum("face_tax_amount"), _ZERO).cast(MONEY).alias("total_face_value"),
+        F.coalesce(F.sum("face_tax_amount"), _zero()).cast(MONEY).alias("total_face_value"),
         F.count(F.lit(1)).alias("total_parcels"),
         F.count_if(F.col("status") == "PAID").alias("paid_parcels"))
-    money = journal.agg(F.coalesce(F.sum(F.when(t == "PAYMENT", F.col("amount_paid"))), _ZERO)
+    money = journal.agg(F.coalesce(F.sum(F.when(t == "PAYMENT", F.col("amount_paid"))), _zero())
                         .cast(MONEY).alias("total_collected"))
     k = _combine_one_row(roll, money)
     return k.select(

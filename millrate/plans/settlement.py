@@ -20,11 +20,12 @@ from millrate.schemas import MONEY
 MEASURES = ("original_face", "interim_face", "penalties_collected", "returned_penalty",
             "cash_collected", "discounts_allowed", "exonerations", "returned_face")
 
-_ZERO = F.lit(Decimal("0.00")).cast(MONEY)
+def _zero() -> F.Column:
+    return F.lit(Decimal("0.00")).cast(MONEY)
 
 
 def _sum(cond, value) -> F.Column:
-    return F.coalesce(F.sum(F.when(cond, value)), _ZERO)
+    return F.coalesce(F.sum(F.when(cond, value)), _zero())
 
 
 def _finish(parts: DataFrame) -> DataFrame:
@@ -45,23 +46,23 @@ def per_parcel_settlement(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     """Each parcel's terms of the corrected identity (see ``settlement``)."""
     st = parcel_status(parcels, journal, "corrected")
     face, pen = F.col("face_tax_amount"), F.col("penalty_amount")
-    net = F.coalesce(F.col("net_paid"), _ZERO)
-    exon = F.coalesce(F.col("exonerated"), _ZERO)
+    net = F.coalesce(F.col("net_paid"), _zero())
+    exon = F.coalesce(F.col("exonerated"), _zero())
     status = F.col("status")
     returned = status.isin("UNPAID", "RETURNED")
     interim = F.coalesce(F.col("is_interim"), F.lit(False))
     return st.select(
         "parcel_id", "status", "face_tax_amount", "penalty_amount",
         net.alias("net_paid"), exon.alias("exonerated"),
-        F.when(~interim, face).otherwise(_ZERO).alias("original_face"),
-        F.when(interim, face).otherwise(_ZERO).alias("interim_face"),
-        F.greatest(net - face, _ZERO).alias("penalties_collected"),
-        F.when(returned, pen).otherwise(_ZERO).alias("returned_penalty"),
+        F.when(~interim, face).otherwise(_zero()).alias("original_face"),
+        F.when(interim, face).otherwise(_zero()).alias("interim_face"),
+        F.greatest(net - face, _zero()).alias("penalties_collected"),
+        F.when(returned, pen).otherwise(_zero()).alias("returned_penalty"),
         net.alias("cash_collected"),
-        F.when((status == "PAID") & (net < face), face - net).otherwise(_ZERO)
+        F.when((status == "PAID") & (net < face), face - net).otherwise(_zero())
         .alias("discounts_allowed"),
         exon.alias("exonerations"),
-        F.when(returned, face).when(status == "PARTIAL", face - net).otherwise(_ZERO)
+        F.when(returned, face).when(status == "PARTIAL", face - net).otherwise(_zero())
         .alias("returned_face"),
     )
 
@@ -130,7 +131,7 @@ def settlement_literal(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     )
 
     def widen(df: DataFrame) -> DataFrame:
-        return df.select(*[(F.col(m) if m in df.columns else _ZERO).cast("decimal(38,2)")
+        return df.select(*[(F.col(m) if m in df.columns else _zero()).cast("decimal(38,2)")
                            .alias(m) for m in MEASURES])
 
     both = widen(roll_part).unionByName(widen(journal_part))
