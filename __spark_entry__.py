@@ -342,7 +342,13 @@ def q_rejection_letters(L: Ledger) -> DataFrame:
 
 
 def _extractions(L: Ledger) -> DataFrame:
-    return fixtures.check_extraction_texts(L.attempts)
+    """Model output texts, stored once per ledger as the intake table."""
+    key = "extractions"
+    if key not in L.paths:
+        path = scratch_path(L.spark, key)
+        fixtures.check_extraction_texts(L.attempts).write.parquet(path)
+        L.paths[key] = path
+    return L.spark.read.parquet(L.paths[key])
 
 
 def q_check_extractions(L: Ledger) -> DataFrame:
@@ -414,14 +420,23 @@ def replay_commands(L: Ledger) -> DataFrame:
         .unionByName(closes, allowMissingColumns=True)
 
 
+def _replayed(L: Ledger, part: str) -> DataFrame:
+    """Replay once per ledger; journal and refused rows are written tables."""
+    if "replay_journal" not in L.paths:
+        journal, refused = replay.replay(replay_commands(L), L.roll)
+        for name, df in (("replay_journal", journal), ("replay_refused", refused)):
+            path = scratch_path(L.spark, name)
+            df.write.parquet(path)
+            L.paths[name] = path
+    return L.spark.read.parquet(L.paths[part])
+
+
 def q_replay_journal(L: Ledger) -> DataFrame:
-    journal, _refused = replay.replay(replay_commands(L), L.roll)
-    return journal
+    return _replayed(L, "replay_journal")
 
 
 def q_replay_refused(L: Ledger) -> DataFrame:
-    _journal, refused = replay.replay(replay_commands(L), L.roll)
-    return refused
+    return _replayed(L, "replay_refused")
 
 
 _QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {

@@ -3,19 +3,30 @@
 Code fences are stripped with a regular expression and the text is parsed
 with ``from_json`` against a fixed schema; malformed text yields a row
 flagged ``parse_ok = false`` instead of failing the job.
+
+The cleaned text and the parsed struct are each produced by a one-row
+``inline`` generator.  Catalyst does not inline generator output into
+later expressions, so filters and field accesses downstream read the
+parsed columns instead of re-running the regexes and the JSON parser once
+per reference.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrate.functions import text
 from millrate.schemas import CHECK_EXTRACTION, MONEY
 
 
+def _once(df: DataFrame, expr: Column, name: str) -> DataFrame:
+    """Append ``expr`` as column ``name``, evaluated exactly once per row."""
+    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
+
+
 def parse_check_extractions(df: DataFrame, text_col: str = "raw_text",
                             as_of: _dt.date | None = None) -> DataFrame:
     """Parsed fields, a parse flag and the parcel id found in the memo.
@@ -23,19 +34,20 @@ def parse_check_extractions(df: DataFrame, text_col: str = "raw_text",
     A missing ``postmark_date`` means "today" for the model, so it becomes
     ``as_of`` when given.
     """
+    keep = [c for c in df.columns if c != text_col]
     unfenced = F.regexp_replace(F.regexp_replace(F.col(text_col), "```json", ""), "```", "")
-    cleaned = F.regexp_replace(unfenced, r"^\s+|\s+$", "")
-    parsed = F.from_json(cleaned, CHECK_EXTRACTION, {"mode": "PERMISSIVE"})
-    out = df.withColumn("_p", parsed).withColumn(
-        "parse_ok", F.col("_p").isNotNull() & cleaned.startswith("{") & cleaned.endswith("}")
-        & F.col("_p.amount").isNotNull())
+    staged = _once(df, F.regexp_replace(unfenced, r"^\s+|\s+$", ""), "_clean")
+    staged = _once(staged, F.from_json("_clean", CHECK_EXTRACTION, {"mode": "PERMISSIVE"}), "_p")
+    cleaned = F.col("_clean")
+    ok = (F.col("_p").isNotNull() & cleaned.startswith("{") & cleaned.endswith("}")
+          & F.col("_p.amount").isNotNull())
+    staged = staged.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
     ok = F.col("parse_ok")
     pm = F.to_date(F.col("_p.postmark_date"), "yyyy-MM-dd")
     if as_of is not None:
         pm = F.coalesce(pm, F.lit(as_of))
     memo = F.when(ok, F.col("_p.memo"))
-    keep = [c for c in df.columns if c != text_col]
-    return out.select(
+    return staged.select(
         *keep,
         F.when(ok, F.col("_p.check_number")).alias("check_number"),
         F.when(ok, F.col("_p.amount").cast(MONEY)).alias("amount"),
