@@ -8,7 +8,7 @@ path being read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrate.plans.collections import TURNOVER_TITLES
@@ -46,9 +46,32 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_ledger(journal: DataFrame, path: str) -> None:
-    """Journal partitioned by receipt month (dynamic partition overwrite)."""
+def write_ledger(journal: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Journal partitioned by receipt month; only months present are replaced.
+
+    Range partitioning on (receipt_month, parcel_id) spreads a busy month
+    over many tasks (never one task per month).
+    """
+    n = partitions or int(journal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (journal.withColumn("receipt_month", F.trunc("date_received", "MM"))
-     .repartition("receipt_month")
+     .repartitionByRange(n, "receipt_month", "parcel_id")
+     .sortWithinPartitions("receipt_month", "parcel_id", "transaction_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("receipt_month").parquet(path))
+
+
+def close_month_partitions(spark: SparkSession, journal_path: str, closures: DataFrame,
+                           out_path: str) -> int:
+    """Month close on stored data: read only the closed months (partition
+    pruning), set ``is_closed`` and write those months to a new version
+    folder ``out_path``; the path being read is never overwritten.
+
+    Returns the number of month partitions written.
+    """
+    months = [r["m"] for r in closures.select(
+        F.make_date("year", "month", F.lit(1)).alias("m")).distinct().collect()]
+    if not months:
+        return 0
+    part = spark.read.parquet(journal_path).filter(F.col("receipt_month").isin(months))
+    write_ledger(part.withColumn("is_closed", F.lit(True)), out_path)
+    return len(months)

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrate.operators.util import running_sum
 from millrate.schemas import MONEY
 
 EXONERATION_REASON = "Exonerated by order of the board"
@@ -58,11 +59,13 @@ def attempts_from_lineitem(spark: SparkSession, sf_dir: str, roll: DataFrame) ->
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    # Line numbers repeat within an order; the full row orders them.
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-        "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    li = li.withColumn("rn", F.row_number().over(w))
+    # Line numbers repeat within an order; the full row orders them.  The
+    # position within the order is a running count over a range
+    # partitioning, so even an order holding a third of all lines is split.
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+             "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    li = running_sum(li.withColumn("_one", F.lit(1)), "l_orderkey", order, "_one", "rn") \
+        .drop("_one")
     bills = roll.select(
         F.col("parcel_id"), "face_tax_amount", "discount_amount", "penalty_amount",
         "bill_issue_date")
