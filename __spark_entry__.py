@@ -29,7 +29,8 @@ from millrate.schemas import JOURNAL_COLUMNS, PARCEL_COLUMNS  # noqa: E402
 from millrate.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from millrate.sources import fixtures  # noqa: E402
 from millrate.sources.extraction import parse_check_extractions  # noqa: E402
-from millrate.sources.roll_csv import read_roll  # noqa: E402
+from millrate.sinks import writers  # noqa: E402
+from millrate.sources.roll_csv import read_labels, read_roll  # noqa: E402
 from millrate.sources.tables import Ledger, build_ledger  # noqa: E402
 from millrate.streaming import payments as stream  # noqa: E402
 
@@ -400,6 +401,21 @@ def q_stream_dedupe(L: Ledger) -> DataFrame:
     return spark.read.parquet(sink).select("parcel_id", "check_number", "amount")
 
 
+def q_status_report_lines(L: Ledger) -> DataFrame:
+    return coll.status_report_lines(coll.status_kpis(L.parcels, L.journal),
+                                    coll.status_breakdown(L.parcels),
+                                    coll.status_by_tax_type(L.parcels, L.journal), RUN_AT)
+
+
+def q_labels_csv(L: Ledger) -> DataFrame:
+    """Mailing labels written as the Name,Address CSV and read back."""
+    if "labels_csv" not in L.paths:
+        path = scratch_path(L.spark, "labels-csv")
+        writers.write_labels_csv(coll.mailing_labels(L.parcels), path)
+        L.paths["labels_csv"] = path
+    return read_labels(L.spark, L.paths["labels_csv"]).select("name", "address")
+
+
 def replay_commands(L: Ledger) -> DataFrame:
     """Ordered commands: every attempt, the reversal and exoneration requests,
     and a close of each January placed mid-way through its attempts' seqs."""
@@ -487,11 +503,14 @@ _QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "deposit_slip": lambda L: coll.deposit_slip(L.journal),
     "deposit_totals": lambda L: coll.deposit_totals(L.journal),
     "deposit_totals_literal": lambda L: coll.deposit_totals(L.journal, include_rejected=True),
+    "deposit_slip_text": lambda L: coll.deposit_slip_text(L.journal),
     "mailing_labels": lambda L: coll.mailing_labels(L.parcels),
+    "labels_csv": q_labels_csv,
     "label_sheet": q_label_sheet,
     "status_kpis": lambda L: coll.status_kpis(L.parcels, L.journal),
     "status_breakdown": lambda L: coll.status_breakdown(L.parcels),
     "status_by_tax_type": lambda L: coll.status_by_tax_type(L.parcels, L.journal),
+    "status_report_lines": q_status_report_lines,
     "dashboard_kpis": lambda L: coll.dashboard_kpis(L.parcels, L.journal),
     "dashboard_revenue": lambda L: coll.dashboard_revenue(L.parcels, L.journal),
     "recent_activity": lambda L: coll.recent_activity(L.journal),

@@ -724,3 +724,41 @@ UNION ALL
 SELECT '{RUN_TS}', 'CLOSE_MONTH',
   'Closed ' || CAST(COALESCE(j.n, 0) AS VARCHAR) || ' transactions for 1/' || CAST(y.year AS VARCHAR),
   strftime(make_date(y.year, 1, 1), '%Y-%m') FROM yrs y LEFT JOIN jan j ON j.year = y.year""")
+
+ORACLE["labels_csv"] = q("", """SELECT COALESCE(owner_name, 'Resident') AS name,
+  COALESCE(mailing_address, '') AS address FROM parcels""")
+ORACLE["deposit_slip_text"] = q("", f"""SELECT date_received, concat_ws({NL},
+    'DEPOSIT SLIP - ' || strftime(date_received, '%Y-%m-%d'),
+    'Total Count: ' || CAST(count(*) AS VARCHAR),
+    'Total Amount: ' || {money_txt('SUM(amount_paid)')},
+    '{"-" * 30}') AS value
+  FROM journal WHERE payment_method = 'CHECK' AND transaction_type <> 'REJECTED_PAYMENT'
+  GROUP BY date_received""")
+_KPI = ",\n" + """k AS (SELECT
+    (SELECT count(*) FROM parcels) AS total_parcels,
+    (SELECT CAST(COALESCE(SUM(face_tax_amount), 0) AS DECIMAL(18,2)) FROM parcels) AS face,
+    (SELECT CAST(COALESCE(SUM(amount_paid) FILTER (WHERE transaction_type = 'PAYMENT'), 0) AS DECIMAL(18,2)) FROM journal) AS collected),
+sb AS (SELECT status, count(*) AS n FROM parcels GROUP BY status),
+tt AS (SELECT p.tax_type, CAST(SUM(j.amount_paid) AS DECIMAL(18,2)) AS collected,
+         count(DISTINCT j.parcel_id) AS parcels_paid
+       FROM journal j JOIN parcels p ON p.parcel_id = j.parcel_id
+       WHERE j.transaction_type = 'PAYMENT' GROUP BY p.tax_type)"""
+_RATE_K = _RATE.format(c="collected", f="face")
+ORACLE["status_report_lines"] = q(_KPI, f"""SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
+  SELECT 0 AS line_no, '# Tax Collection Status Report' AS line
+  UNION ALL SELECT 1, '**Date:** 2025-07-01 09:30' || {NL}
+  UNION ALL SELECT 2, '## 1. High-Level Summary'
+  UNION ALL SELECT 3, '*   **Total Parcels:** ' || CAST(total_parcels AS VARCHAR) FROM k
+  UNION ALL SELECT 4, '*   **Total Face Value:** ' || {money_txt('face')} FROM k
+  UNION ALL SELECT 5, '*   **Total Collected (YTD):** ' || {money_txt('collected')} FROM k
+  UNION ALL SELECT 6, '*   **Collection Rate:** ' || printf('%.1f', {_RATE_K}) || '%' FROM k
+  UNION ALL SELECT 7, '## 2. Parcel Status Breakdown'
+  UNION ALL SELECT 100 + row_number() OVER (ORDER BY n DESC, status),
+    '*   **' || status || ':** ' || CAST(n AS VARCHAR) || ' parcels' FROM sb
+  UNION ALL SELECT 10000, ''
+  UNION ALL SELECT 10001, '## 3. Revenue by Tax Type'
+  UNION ALL SELECT 10002, '| Tax Type | Parcels Paid | Amount Collected |'
+  UNION ALL SELECT 10003, '| :--- | :---: | :---: |'
+  UNION ALL SELECT 20000 + row_number() OVER (ORDER BY tax_type),
+    '| ' || tax_type || ' | ' || CAST(parcels_paid AS VARCHAR) || ' | ' || {money_txt('collected')} || ' |'
+    FROM tt) lines""")
