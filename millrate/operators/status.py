@@ -28,19 +28,43 @@ def _live_full_payments(journal: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("live_full"))
 
 
+# Event types packed into the low bits of the transaction id, so "latest
+# event" is a plain max over longs (hash aggregation with a map-side combine)
+# instead of max_by over strings (sort-based aggregation).
+_EVENT_CODES = {"PAYMENT": 1, "EXONERATION": 2, "RETURN": 3, "NSF_REVERSAL": 4}
+_CODE_BITS = 8
+
+
+def _packed_event(types: tuple[str, ...]) -> F.Column:
+    t = F.col("transaction_type")
+    code = F.lit(None).cast("long")
+    for name in types:
+        code = F.when(t == name, F.lit(_EVENT_CODES[name])).otherwise(code)
+    return F.col("transaction_id") * _CODE_BITS + code
+
+
+def _unpack_event(packed: F.Column) -> F.Column:
+    code = F.pmod(packed, F.lit(_CODE_BITS))
+    out = F.lit(None).cast("string")
+    for name, value in _EVENT_CODES.items():
+        out = F.when(code == value, F.lit(name)).otherwise(out)
+    return out
+
+
 def parcel_events(journal: DataFrame) -> DataFrame:
     """Per parcel: latest status event, net money and exonerated amount."""
     t = F.col("transaction_type")
-    return journal.groupBy("parcel_id").agg(
-        F.max_by(t, F.when(t.isin(*_STATUS_TYPES), F.col("transaction_id")))
-        .alias("last_event"),
-        F.max_by(t, F.when(t.isin("EXONERATION", "RETURN", "NSF_REVERSAL"),
-                           F.col("transaction_id"))).alias("last_flag_event"),
+    agg = journal.groupBy("parcel_id").agg(
+        F.max(_packed_event(_STATUS_TYPES)).alias("_last"),
+        F.max(_packed_event(("EXONERATION", "RETURN", "NSF_REVERSAL"))).alias("_last_flag"),
         F.coalesce(F.sum(F.when(t.isin(*_MONEY_TYPES), F.col("amount_paid"))),
                    F.lit(0)).cast(MONEY).alias("net_paid"),
         F.coalesce(F.sum(F.when(t == "EXONERATION", F.col("amount_paid"))),
                    F.lit(0)).cast(MONEY).alias("exonerated"),
     )
+    return agg.select("parcel_id", _unpack_event(F.col("_last")).alias("last_event"),
+                      _unpack_event(F.col("_last_flag")).alias("last_flag_event"),
+                      "net_paid", "exonerated")
 
 
 def parcel_status(parcels: DataFrame, journal: DataFrame,
