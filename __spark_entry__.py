@@ -294,12 +294,12 @@ def q_monthly_summary_rollup(L: Ledger) -> DataFrame:
 
 def q_remittance_advice(L: Ledger) -> DataFrame:
     d = monthly.monthly_detail(L.journal, L.parcels)
-    return monthly.remittance_advice(d, monthly.distribution_rules(L.spark))
+    return monthly.remittance_advice(d)
 
 
 def q_remittance_advice_literal(L: Ledger) -> DataFrame:
     d = monthly.monthly_detail(L.journal, L.parcels)
-    return monthly.remittance_advice(d, monthly.distribution_rules(L.spark), types=None)
+    return monthly.remittance_advice(d, types=None)
 
 
 def q_monthly_adjustments(L: Ledger) -> DataFrame:

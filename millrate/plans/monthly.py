@@ -68,30 +68,39 @@ def distribution_rules(spark: SparkSession, shares: dict | None = None,
     return spark.createDataFrame(rows, schema)
 
 
-def remittance_advice(detail: DataFrame, rules_df: DataFrame,
+def remittance_advice(detail: DataFrame, shares: dict | None = None,
+                      accounts: dict | None = None,
                       types: Sequence[str] | None = CORRECTED_TYPES) -> DataFrame:
     """Per month: what each recipient is owed, what stays unallocated, the total.
 
-    Totals by (month, tax type) are split by the broadcast rule table
-    (a configuration of a few rows); tax types without rules are reported
-    as ``UNALLOCATED`` and the month's total as ``TOTAL COLLECTED``.
+    One pass: totals by (month, tax type) are exploded into one row per
+    recipient of that tax type — from a literal map of the configured
+    shares, a few fixed rows — plus an ``UNALLOCATED`` row for tax types
+    without rules and a ``TOTAL COLLECTED`` row, then summed per recipient.
     """
+    accounts = accounts or config.BANK_ACCOUNTS
+    by_type: dict[str, list] = {}
+    for tax_type, recipient, share in config.distribution_rows(shares):
+        bank, acct = accounts.get(recipient, (None, None))
+        by_type.setdefault(tax_type, []).append((recipient, share, bank, acct))
+
+    def slot(recipient: str, share: Decimal, bank, acct) -> F.Column:
+        return F.struct(F.lit(recipient).alias("recipient"),
+                        F.lit(share).cast(SHARE).alias("share"),
+                        F.lit(bank).cast("string").alias("bank_name"),
+                        F.lit(acct).cast("string").alias("account_number"))
+
+    unalloc = F.array(slot("UNALLOCATED", Decimal("1"), None, None))
+    per_type = unalloc
+    t = F.col("tax_type")
+    for tax_type, rows in reversed(list(by_type.items())):
+        per_type = F.when(t == tax_type, F.array(*[slot(*r) for r in rows])).otherwise(per_type)
+    split = F.concat(per_type, F.array(slot("TOTAL COLLECTED", Decimal("1"), None, None)))
     totals = _typed(detail, types).groupBy("receipt_month", "tax_type").agg(
         F.sum("amount_paid").cast(MONEY).alias("total"))
-    r = F.broadcast(rules_df)
-    shares = totals.join(r, "tax_type", "inner").groupBy(
-        "receipt_month", "recipient", "bank_name", "account_number").agg(
+    exploded = totals.select("receipt_month", "total", F.inline(split))
+    return exploded.groupBy("receipt_month", "recipient", "bank_name", "account_number").agg(
         F.sum(F.col("total") * F.col("share")).cast(T_REMIT).alias("amount"))
-    unallocated = totals.join(r.select("tax_type").distinct(), "tax_type", "left_anti") \
-        .groupBy("receipt_month").agg(F.sum("total").cast(T_REMIT).alias("amount")) \
-        .select("receipt_month", F.lit("UNALLOCATED").alias("recipient"),
-                F.lit(None).cast("string").alias("bank_name"),
-                F.lit(None).cast("string").alias("account_number"), "amount")
-    total = totals.groupBy("receipt_month").agg(F.sum("total").cast(T_REMIT).alias("amount")) \
-        .select("receipt_month", F.lit("TOTAL COLLECTED").alias("recipient"),
-                F.lit(None).cast("string").alias("bank_name"),
-                F.lit(None).cast("string").alias("account_number"), "amount")
-    return shares.unionByName(unallocated).unionByName(total)
 
 
 def monthly_adjustments(detail: DataFrame) -> DataFrame:

@@ -121,14 +121,13 @@ def test_april_report_before_close(spark, scenario):
     summ = monthly.monthly_summary(d).collect()
     assert [(r["tax_type"], r["payment_period"], r["amount"]) for r in summ] == \
         [("Real Estate", "DISCOUNT", M("882.00"))]
-    rules_df = monthly.distribution_rules(spark)
     lit_r = {r["recipient"]: r["amount"] for r in
-             monthly.remittance_advice(d, rules_df, types=None).collect()}
+             monthly.remittance_advice(d, types=None).collect()}
     assert lit_r["township"] == M("1418.3920")
     assert lit_r["county"] == M("265.9485")
     assert lit_r["school"] == M("88.6495")
     assert lit_r["TOTAL COLLECTED"] == M("1772.99")
-    cor_r = {r["recipient"]: r["amount"] for r in monthly.remittance_advice(d, rules_df).collect()}
+    cor_r = {r["recipient"]: r["amount"] for r in monthly.remittance_advice(d).collect()}
     assert (cor_r["township"], cor_r["county"], cor_r["school"]) == \
         (M("705.60"), M("132.30"), M("44.10"))
 
