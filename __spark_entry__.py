@@ -387,8 +387,11 @@ def q_stream_payments(L: Ledger) -> DataFrame:
     src = _attempt_stream_dir(spark, L, with_repeats=False)
     sink, refused = scratch_path(spark, "stream-journal"), scratch_path(spark, "stream-refused")
     roll_path = L.paths["roll"]
+    if "locks" not in L.paths:
+        L.paths["locks"] = scratch_path(spark, "locks")
+        posting.locked_months(L.journal).write.parquet(L.paths["locks"])
     stream.stream_payments(spark, src, spark.read.parquet(roll_path),
-                           lambda: spark.read.parquet(L.paths["journal"]), sink, refused,
+                           lambda: spark.read.parquet(L.paths["locks"]), sink, refused,
                            scratch_path(spark, "stream-ckpt"))
     return spark.read.parquet(sink).select(*JOURNAL_COLUMNS)
 

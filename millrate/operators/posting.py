@@ -208,7 +208,14 @@ def split_by_month_lock(rows: DataFrame, journal: DataFrame,
     Rejected attempts are always recorded; the lock table is one row per
     month and is broadcast behind a size check.
     """
-    locks = bounded_broadcast(locked_months(journal))
+    return split_by_lock_table(rows, locked_months(journal), date_col, type_col)
+
+
+def split_by_lock_table(rows: DataFrame, lock_table: DataFrame,
+                        date_col: str = "date_received",
+                        type_col: str = "transaction_type") -> tuple[DataFrame, DataFrame]:
+    """As ``split_by_month_lock`` with a ready lock table (column ``lock_month``)."""
+    locks = bounded_broadcast(lock_table.select("lock_month"))
     in_lock = rows.withColumn("_m", rules.month_start(date_col))
     bypass = F.col(type_col) == "REJECTED_PAYMENT"
     cond = F.col("_m") == F.col("lock_month")

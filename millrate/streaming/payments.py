@@ -30,16 +30,20 @@ def read_attempt_stream(spark: SparkSession, path: str,
 
 
 def stream_payments(spark: SparkSession, attempts_path: str, parcels: DataFrame,
-                    lock_journal: Callable[[], DataFrame], journal_sink: str,
+                    lock_table: Callable[[], DataFrame], journal_sink: str,
                     refused_sink: str, checkpoint: str,
                     default_issue: _dt.date | None = None) -> None:
-    """Run the intake stream over everything available now, then stop."""
+    """Run the intake stream over everything available now, then stop.
+
+    ``lock_table`` returns the current locked months (column ``lock_month``,
+    one row per month); it is called afresh for every micro-batch.
+    """
     stream = read_attempt_stream(spark, attempts_path)
     rows = posting.post_payments(stream, parcels, default_issue)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        allowed, refused = posting.split_by_month_lock(
-            batch, lock_journal(), date_col="date_received", type_col="transaction_type")
+        allowed, refused = posting.split_by_lock_table(
+            batch, lock_table(), date_col="date_received", type_col="transaction_type")
         allowed.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
             f"{journal_sink}/batch={batch_id}")
         refused.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
