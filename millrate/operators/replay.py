@@ -83,25 +83,34 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
         F.make_date("year", "month", F.lit(1)).alias("_m"))
     closes = bounded_broadcast(closes)
 
+    # Fixed across passes: each month's first written (non-NSF) row, and the
+    # rows NSF commands point at.  A pass then only touches NSF-sized and
+    # month-sized tables; the whole batch is split once at the end.
+    first_fixed = cut_lineage(lockable.groupBy("_m").agg(
+        F.min("transaction_id").alias("first_seq")))
+    wanted = nsf_cmds.select(F.col("tx_id").alias("transaction_id")).distinct()
+    originals = cut_lineage(lockable.join(wanted, "transaction_id", "left_semi"))
+
     def lock_table(nsf: DataFrame) -> DataFrame:
-        rows = lockable.select("transaction_id", "_m").unionByName(
-            nsf.select("transaction_id", rules.month_start("date_received").alias("_m")))
-        first = rows.groupBy("_m").agg(F.min("transaction_id").alias("first_seq"))
+        nsf_first = nsf.groupBy(rules.month_start("date_received").alias("_m")).agg(
+            F.min("transaction_id").alias("first_seq"))
+        first = first_fixed.unionByName(nsf_first).groupBy("_m").agg(
+            F.min("first_seq").alias("first_seq"))
         starts = first.join(closes, "_m", "inner").filter(F.col("close_seq") > F.col("first_seq")) \
             .groupBy("_m").agg(F.min("close_seq").alias("lock_start"))
         return bounded_broadcast(starts)
 
-    def split(locks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        j = lockable.join(locks, "_m", "left")
+    def split(rows: DataFrame, locks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        j = rows.join(locks, "_m", "left")
         refused_cond = (F.col("transaction_type") != "REJECTED_PAYMENT") & \
             F.col("lock_start").isNotNull() & (F.col("lock_start") < F.col("transaction_id"))
         return j.filter(~refused_cond).drop("lock_start"), j.filter(refused_cond).drop("lock_start")
 
     # Pass 0 assumes every NSF command whose original was written finds it.
-    nsf = cut_lineage(_nsf_rows(nsf_cmds, lockable, semantics))
+    nsf = cut_lineage(_nsf_rows(nsf_cmds, originals, semantics))
     for _ in range(max_passes):
-        kept, refused = split(lock_table(nsf))
-        new_nsf = cut_lineage(_nsf_rows(nsf_cmds, kept, semantics))
+        kept_originals, _gone = split(originals, lock_table(nsf))
+        new_nsf = cut_lineage(_nsf_rows(nsf_cmds, kept_originals, semantics))
         changed = new_nsf.select("transaction_id").exceptAll(nsf.select("transaction_id")) \
             .unionByName(nsf.select("transaction_id").exceptAll(new_nsf.select("transaction_id"))) \
             .limit(1).count()
@@ -110,8 +119,7 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
             break
     else:
         raise ReplayDidNotConverge(f"NSF row set still changing after {max_passes} passes")
-    locks = lock_table(nsf)
-    kept, refused = split(locks)
+    kept, refused = split(lockable, lock_table(nsf))
     journal = kept.drop("_m").unionByName(nsf)
     last_close = bounded_broadcast(closes.groupBy("_m").agg(F.max("close_seq").alias("_last")))
     journal = journal.withColumn("_m", rules.month_start("date_received")) \

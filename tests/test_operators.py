@@ -182,9 +182,11 @@ def _random_commands(seed: int, n: int):
     return cmds, parcels
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_replay_matches_sequential_model(spark, seed):
-    cmds, parcels = _random_commands(seed, 120)
+@pytest.mark.parametrize("seed,semantics,n", [(1, "corrected", 120), (2, "corrected", 120),
+                                              (3, "corrected", 300), (4, "literal", 120),
+                                              (5, "literal", 300)])
+def test_replay_matches_sequential_model(spark, seed, semantics, n):
+    cmds, parcels = _random_commands(seed, n)
     schema = ("seq long, command string, parcel_id string, amount decimal(18,2), date date, "
               "check_number string, installment_num int, tx_id long, month int, year int, "
               "reason string")
@@ -198,8 +200,8 @@ def test_replay_matches_sequential_model(spark, seed):
             "string", "string", "string", "string", "string", "decimal(18,2)", "decimal(18,2)",
             "decimal(18,2)", "decimal(18,2)", "decimal(18,2)", "decimal(18,2)", "string", "date",
             "boolean", "boolean", "string"])))
-    journal, refused = replay.replay(cdf, roll)
-    want, want_refused = sequential_replay(cmds, parcels)
+    journal, refused = replay.replay(cdf, roll, semantics)
+    want, want_refused = sequential_replay(cmds, parcels, semantics)
     got = {r["transaction_id"]: (r["transaction_type"], r["is_closed"]) for r in journal.collect()}
     assert got == {k: (v["type"], v["is_closed"]) for k, v in want.items()}
     assert sorted(r["transaction_id"] for r in refused.collect()) == sorted(want_refused)
