@@ -535,8 +535,8 @@ ORACLE["label_sheet"] = q(",\n" + """lab AS (SELECT row_number() OVER (ORDER BY
 lab2 AS (SELECT *, (label_no - 1) % 30 AS within FROM lab)""", """SELECT label_no, parcel_id, name, address,
   CAST(floor((label_no - 1) / 30) + 1 AS INTEGER) AS page,
   CAST(floor(within / 3) AS INTEGER) AS label_row, CAST(within % 3 AS INTEGER) AS label_col,
-  round(0.1875 + CAST(within % 3 AS INTEGER) * 2.75 + 0.1, 4) AS x_in,
-  round(9.7 - CAST(floor(within / 3) AS INTEGER) * 1.0 + 0.6, 4) AS y_in
+  round(CAST(0.1875 + CAST(within % 3 AS INTEGER) * 2.75 + 0.1 AS DOUBLE), 4) AS x_in,
+  round(CAST(9.7 - CAST(floor(within / 3) AS INTEGER) * 1.0 + 0.6 AS DOUBLE), 4) AS y_in
   FROM lab2""")
 
 _RATE = ("CASE WHEN CAST({f} AS DOUBLE) > 0 THEN CAST({c} AS DOUBLE) / CAST({f} AS DOUBLE) * 100.0 "

@@ -30,7 +30,7 @@ def _norm(v):
     if isinstance(v, (int,)):
         return str(v)
     if isinstance(v, (float, decimal.Decimal)):
-        return repr(round(float(v), 6))
+        return repr(float(v))
     if isinstance(v, _dt.datetime):
         return v.isoformat(sep=" ")
     if isinstance(v, _dt.date):
