@@ -19,7 +19,6 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from millrate.functions import rules  # noqa: E402
 from millrate.operators import audit, maintenance, posting, replay  # noqa: E402
 from millrate.operators.status import parcel_status, running_balance  # noqa: E402
 from millrate.operators.util import money_edge  # noqa: E402
