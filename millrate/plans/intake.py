@@ -33,13 +33,16 @@ def review_queue(extractions: DataFrame, parcels: DataFrame,
                  as_of: _dt.date | None = None) -> DataFrame:
     """Extractions a person must confirm: unparsable, no parcel, or unknown parcel."""
     parsed = parse_check_extractions(extractions, as_of=as_of)
-    known = parcels.select(F.col("parcel_id").alias("found_parcel_id"), F.lit(True).alias("_on"))
-    j = parsed.join(known, "found_parcel_id", "left")
-    reason = (F.when(~F.col("parse_ok"), F.lit("UNPARSABLE"))
-              .when(F.col("found_parcel_id") == text.UNKNOWN_PARCEL, F.lit("NO_PARCEL_IN_MEMO"))
-              .when(F.col("_on").isNull(), F.lit("PARCEL_NOT_ON_ROLL")))
-    return j.withColumn("review_reason", reason).filter(F.col("review_reason").isNotNull()) \
-        .drop("_on")
+    # Rows that cannot name a parcel skip the join: they would all share one
+    # join key (NULL or UNKNOWN) and land in a single task.
+    named = F.col("parse_ok") & (F.col("found_parcel_id") != text.UNKNOWN_PARCEL)
+    unnamed = parsed.filter(~named).withColumn(
+        "review_reason", F.when(~F.col("parse_ok"), F.lit("UNPARSABLE"))
+        .otherwise(F.lit("NO_PARCEL_IN_MEMO")))
+    known = parcels.select(F.col("parcel_id").alias("found_parcel_id"))
+    off_roll = parsed.filter(named).join(known, "found_parcel_id", "left_anti") \
+        .withColumn("review_reason", F.lit("PARCEL_NOT_ON_ROLL"))
+    return unnamed.unionByName(off_roll)
 
 
 def duplicate_payments(journal: DataFrame) -> DataFrame:

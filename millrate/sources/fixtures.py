@@ -109,7 +109,7 @@ def nsf_requests(attempts: DataFrame) -> DataFrame:
 def exoneration_requests(roll: DataFrame, posted: DataFrame) -> DataFrame:
     """Exonerate every 101st order's parcel that has no accepted payment."""
     key = F.regexp_extract("parcel_id", r"^P-(\d+)$", 1).try_cast("long")
-    paid = posted.filter(F.col("transaction_type") == "PAYMENT").select("parcel_id")
+    paid = posted.filter(F.col("transaction_type") == "PAYMENT").select("parcel_id").distinct()
     cand = roll.filter(key % 101 == 0).join(paid, "parcel_id", "left_anti")
     return cand.select(
         (key * 1000 + 999).alias("seq"),
