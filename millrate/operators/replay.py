@@ -14,9 +14,11 @@ and an accepted row at ``seq`` is refused iff ``lock_start(month) < seq``.
 The first row of a month always exists unless it is an NSF row, which
 exists only if its original does — so one pass is exact without NSF
 commands, and with them the pass is repeated until the set of NSF rows is
-stable.  Each pass is a few aggregates over the batch plus joins with
-per-month tables (one row per month, broadcast behind a size check); the
-NSF set is checkpointed between passes.
+stable.  Each month's first non-NSF row and the rows NSF commands point at
+are computed once; a pass then only aggregates and joins NSF-sized and
+month-sized tables (one row per month, broadcast behind a size check), the
+NSF set is checkpointed between passes, and the whole batch is split by
+the final lock table once.
 """
 
 from __future__ import annotations

@@ -1,9 +1,12 @@
 """Stand-in inputs built from the driver's TPC-H-like tables.
 
-These builders only shape rows into the schemas the ledger jobs expect
-(roll, payment attempts, command requests).  None of them validates,
-posts or prices anything; the jobs in ``millrate.operators`` and
-``millrate.plans`` do that work on whatever rows they are given.
+These builders shape rows into the schemas the ledger jobs expect (roll,
+payment attempts, command requests), computing only what FIXTURES.md
+prescribes for that: e.g. an attempt's amount is derived from its bill's
+amounts and dates, and exonerations target parcels without a payment.
+They do not validate, post or derive status; the jobs in
+``millrate.operators`` and ``millrate.plans`` do that work, with their own
+code, on whatever rows they are given.
 """
 
 from __future__ import annotations
