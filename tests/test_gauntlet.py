@@ -8,9 +8,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from millrate.operators import maintenance, posting
+from millrate.operators import audit, maintenance, posting
 from millrate.operators.status import parcel_status
-from millrate.plans import monthly, settlement
+from millrate.plans import collections as coll
+from millrate.plans import documents, lookup, monthly, settlement
 from millrate.schemas import ATTEMPTS, JOURNAL_COLUMNS, PARCEL_COLUMNS, PARCELS
 
 D = _dt.date
@@ -50,7 +51,7 @@ PAYS = [  # seq, parcel, amount, date, check, installment
     (8, "P-010", "441.00", D(2025, 4, 20), "1001", None),
 ]
 LATER_PAYS = [
-    (11, "P-001", "10.00", D(2025, 5, 2), "CASH", None),
+    (11, "P-001", "10.00", D(2025, 4, 28), "CASH", None),  # closed month, rejected anyway
     (12, "P-091", "150.00", D(2025, 7, 10), "9102", None),
     (13, "P-091", "150.00", D(2025, 6, 10), "9103", 2),
     (14, "P-091", "150.00", D(2025, 7, 20), "9104", 3),
@@ -182,3 +183,62 @@ def test_interim_row(scenario):
     r = scenario["roll"].filter("parcel_id = 'P-INT-001'").select(*PARCEL_COLUMNS).first()
     assert r["is_interim"] and r["status"] == "UNPAID" and r["bill_number"] == "INT-P-INT-001"
     assert r["mailing_address"] == "1 New Rd" and r["tax_type"] == "Real Estate"
+
+
+def test_paperwork_and_lookups(spark, scenario):
+    roll, journal = scenario["roll"], scenario["journal"]
+    parcels = parcel_status(roll, journal).select(*PARCEL_COLUMNS).cache()
+    assert journal.filter("transaction_id = 11").first()["validation_code"] == "REJECTED_UNDER"
+    # Receipt for transaction 1.
+    rec = documents.receipts(journal, parcels, _dt.datetime(2025, 12, 1)).filter(
+        "transaction_id = 1").first()
+    assert rec["file_name"] == "Receipt_P-001_1.txt"
+    assert "Amount Paid:    $441.00" in rec["receipt_text"] and "Status: PAID" in rec["receipt_text"]
+    # Deposit slip for 2025-04-20: the one check of P-010.
+    slip = coll.deposit_slip(journal).filter(F.col("date_received") == D(2025, 4, 20)).collect()
+    assert [(r["check_number"], r["amount_paid"], r["parcel_id"]) for r in slip] == \
+        [("1001", M("441.00"), "P-010")]
+    # Return list and lien list: every open parcel (UNPAID incl. the interim bill).
+    assert coll.return_list(parcels).count() == 94
+    lien = {r["parcel_id"]: r for r in coll.turnover_report(parcels, 2025).collect()}
+    assert len(lien) == 94 and lien["P-004"]["total_amount_due"] == M("945.00")
+    # Bills for the whole roll; reprint of one bill is a filter.
+    bills = documents.bill_run(parcels, "Township_County", D(2025, 3, 1))
+    assert bills.count() == 100
+    b1 = bills.filter("parcel_id = 'P-001'").first()
+    assert b1["file_name"] == "Township_County_P-001_Bill_2025-03.pdf"
+    assert (b1["discount_by"], b1["face_by"], b1["penalty_from"]) == ("Apr 30", "Jun 30", "Jul 01")
+    assert documents.bill_run(parcels, semantics="literal").filter(
+        "parcel_id = 'P-001'").first()["face_by"] == "May 01"
+    # Status report and labels.
+    lines = [r["line"] for r in coll.status_report_lines(
+        coll.status_kpis(parcels, journal), coll.status_breakdown(parcels),
+        coll.status_by_tax_type(parcels, journal), _dt.datetime(2025, 12, 1)).collect()]
+    assert "*   **Total Parcels:** 100" in lines and "*   **PAID:** 5 parcels" in lines
+    labels = {r["parcel_id"]: r for r in coll.mailing_labels(parcels).collect()}
+    assert labels["P-001"]["address"] == "PO Box 1" and len(labels) == 100
+    # Address change of P-005 and its audit trail.
+    patch = spark.createDataFrame([("P-005", "", "77 New Address Rd", 1)],
+                                  "parcel_id string, new_name string, new_address string, seq long")
+    after, rejects = maintenance.update_parcels(parcels, patch)
+    assert rejects.count() == 0
+    log = audit.change_log(parcels, after, "parcel_id", ["owner_name", "mailing_address"],
+                           "tax_duplicate", _dt.datetime(2025, 12, 1))
+    tail = audit.audit_tail(log.unionByName(audit.journal_insert_log(
+        journal, _dt.datetime(2025, 12, 1))), 20).collect()
+    assert len(tail) == 16  # 1 address change + 15 journal inserts
+    assert any(r["record_id"] == "P-005" and r["new"] == "77 New Address Rd" for r in tail)
+    # Lookups: paid, installment plan paid in three parts, unpaid with amount due.
+    p1 = lookup.lookup(parcels, "P-001", D(2025, 8, 1)).first()
+    assert p1["status"] == "PAID" and p1["amount_due"] is None
+    p91 = lookup.lookup(parcels, "P-091", D(2025, 8, 1)).first()
+    assert p91["status"] == "PAID" and p91["installment_amount"] == M("150.00")
+    p4 = lookup.lookup(parcels, "P-004", D(2025, 8, 1)).first()
+    assert (p4["status"], p4["period_name"], p4["amount_due"]) == ("UNPAID", "PENALTY", M("495.00"))
+    assert p4["status_message"].endswith("The total amount due TODAY is $495.00.")
+    assert lookup.lookup(parcels, "owner 01", D(2025, 8, 1)).first()["parcel_id"] == "P-010"
+    # The rejected P-005 attempts are in its history.
+    hist = lookup.parcel_history(journal, parcels).filter("parcel_id = 'P-005'").collect()
+    assert [(r["transaction_id"], r["transaction_type"]) for r in hist] == \
+        [(5, "REJECTED_PAYMENT"), (15, "REJECTED_PAYMENT")]
+    assert hist[0]["note"].startswith("Ck#5005 Rejected: OVERPAYMENT of $9.0.")
