@@ -33,16 +33,20 @@ def review_queue(extractions: DataFrame, parcels: DataFrame,
                  as_of: _dt.date | None = None) -> DataFrame:
     """Extractions a person must confirm: unparsable, no parcel, or unknown parcel."""
     parsed = parse_check_extractions(extractions, as_of=as_of)
-    # Rows that cannot name a parcel skip the join: they would all share one
-    # join key (NULL or UNKNOWN) and land in a single task.
+    cols = parsed.columns
+    # Rows that cannot name a parcel would all share one join key (NULL or
+    # UNKNOWN) and land in a single task; they get a row-specific key that
+    # matches no parcel instead, so one pass still covers every row.
     named = F.col("parse_ok") & (F.col("found_parcel_id") != text.UNKNOWN_PARCEL)
-    unnamed = parsed.filter(~named).withColumn(
-        "review_reason", F.when(~F.col("parse_ok"), F.lit("UNPARSABLE"))
-        .otherwise(F.lit("NO_PARCEL_IN_MEMO")))
-    known = parcels.select(F.col("parcel_id").alias("found_parcel_id"))
-    off_roll = parsed.filter(named).join(known, "found_parcel_id", "left_anti") \
-        .withColumn("review_reason", F.lit("PARCEL_NOT_ON_ROLL"))
-    return unnamed.unionByName(off_roll)
+    keyed = parsed.withColumn("_k", F.when(named, F.col("found_parcel_id")).otherwise(
+        F.concat(F.lit("\u0001"), F.xxhash64(*[F.col(c) for c in cols]).cast("string"))))
+    known = parcels.select(F.col("parcel_id").alias("_k"), F.lit(True).alias("_on"))
+    j = keyed.join(known, "_k", "left")
+    reason = (F.when(~F.col("parse_ok"), F.lit("UNPARSABLE"))
+              .when(F.col("found_parcel_id") == text.UNKNOWN_PARCEL, F.lit("NO_PARCEL_IN_MEMO"))
+              .when(F.col("_on").isNull(), F.lit("PARCEL_NOT_ON_ROLL")))
+    return j.withColumn("review_reason", reason).filter(F.col("review_reason").isNotNull()) \
+        .select(*cols, "review_reason")
 
 
 def duplicate_payments(journal: DataFrame) -> DataFrame:
