@@ -46,8 +46,11 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], partitions: int | None
     and in-partition position are fixed by a reliable checkpoint so every
     consumer sees the same assignment.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE sizes the range partitions by bytes;
+    # a key larger than one partition still spans several.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else \
+        df.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_mid", F.monotonically_increasing_id())
     return cut_lineage(ranged)

@@ -52,9 +52,11 @@ def write_ledger(journal: DataFrame, path: str, partitions: int | None = None) -
     Range partitioning on (receipt_month, parcel_id) spreads a busy month
     over many tasks (never one task per month).
     """
-    n = partitions or int(journal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (journal.withColumn("receipt_month", F.trunc("date_received", "MM"))
-     .repartitionByRange(n, "receipt_month", "parcel_id")
+    staged = journal.withColumn("receipt_month", F.trunc("date_received", "MM"))
+    keys = ("receipt_month", "parcel_id")
+    staged = staged.repartitionByRange(partitions, *keys) if partitions else \
+        staged.repartitionByRange(*keys)
+    (staged
      .sortWithinPartitions("receipt_month", "parcel_id", "transaction_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("receipt_month").parquet(path))

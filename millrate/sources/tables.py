@@ -70,9 +70,12 @@ def write_journal(df: DataFrame, path: str, partitions: int | None = None) -> No
     is split over many tasks instead of landing in one, and each file holds
     a narrow parcel range, so row-group statistics prune parcel lookups.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.withColumn("receipt_month", rules.month_start("date_received"))
-     .repartitionByRange(n, "receipt_month", "parcel_id")
+    keys = ("receipt_month", "parcel_id")
+    staged = df.withColumn("receipt_month", rules.month_start("date_received"))
+    # Without an explicit count AQE sizes the range partitions by bytes.
+    staged = staged.repartitionByRange(partitions, *keys) if partitions else \
+        staged.repartitionByRange(*keys)
+    (staged
      .sortWithinPartitions("receipt_month", "parcel_id", "transaction_id")
      .write.mode("overwrite").partitionBy("receipt_month").parquet(path))
 
@@ -81,9 +84,9 @@ def write_roll(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Roll layout: range-partitioned and sorted on ``parcel_id``, so each
     file covers a narrow id range and point lookups skip files by their
     statistics."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, "parcel_id").sortWithinPartitions("parcel_id") \
-        .write.mode("overwrite").parquet(path)
+    ranged = df.repartitionByRange(partitions, "parcel_id") if partitions else \
+        df.repartitionByRange("parcel_id")
+    ranged.sortWithinPartitions("parcel_id").write.mode("overwrite").parquet(path)
 
 
 _TABLES = ("roll", "attempts", "journal", "parcels")
