@@ -9,6 +9,7 @@ lookups.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from dataclasses import dataclass
 
@@ -108,6 +109,20 @@ def _fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:20]
 
 
+_TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def write_partitions(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the stored tables: at least the cluster's parallelism
+    (so later scans use every core) and one per 256 MB of source data (so
+    files stay a sensible size at 100 TB)."""
+    total = 0
+    for name in _SOURCE_TABLES:
+        p, fs = _hadoop_path(spark, f"{sf_dir}/{name}.parquet")
+        total += fs.getContentSummary(p).getLength()
+    return max(spark.sparkContext.defaultParallelism, math.ceil(total / _TARGET_PARTITION_BYTES))
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -148,12 +163,14 @@ def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Ledger
         root, marker, fs = None, None, None
         paths = {name: scratch_path(spark, f"ledger-{name}") for name in _TABLES}
 
+    n = write_partitions(spark, sf_dir)
     roll = fixtures.roll_from_orders(spark, sf_dir).select(*PARCEL_COLUMNS)
-    write_roll(roll, paths["roll"])
+    write_roll(roll, paths["roll"], n)
     roll = spark.read.parquet(paths["roll"])
 
     attempts = fixtures.attempts_from_lineitem(spark, sf_dir, roll)
-    attempts.write.mode("overwrite").parquet(paths["attempts"])
+    attempts.repartitionByRange(n, "parcel_id", "seq").sortWithinPartitions("parcel_id", "seq") \
+        .write.mode("overwrite").parquet(paths["attempts"])
     attempts = spark.read.parquet(paths["attempts"])
 
     posted = posting.post_payments(attempts, roll)
@@ -162,10 +179,10 @@ def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Ledger
     journal0 = posted.unionByName(nsf_rows).unionByName(exon_rows)
     closures = fixtures.january_closures(journal0)
     journal = posting.close_month(journal0, closures).select(*JOURNAL_COLUMNS)
-    write_journal(journal, paths["journal"])
+    write_journal(journal, paths["journal"], n)
     journal = spark.read.parquet(paths["journal"])
 
-    write_roll(parcel_status(roll, journal).select(*PARCEL_COLUMNS), paths["parcels"])
+    write_roll(parcel_status(roll, journal).select(*PARCEL_COLUMNS), paths["parcels"], n)
 
     if marker is not None:
         fs.create(marker, True).close()
