@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrate.functions import rules
 from millrate.operators.util import running_sum
 from millrate.schemas import MONEY, PARCEL_COLUMNS
 
@@ -81,10 +82,9 @@ def parcel_status(parcels: DataFrame, journal: DataFrame,
     p = parcels.select(*PARCEL_COLUMNS)
     if semantics == "literal":
         j = p.join(ev.select("parcel_id", "last_flag_event"), "parcel_id", "left")
-        status = (F.when(F.col("last_flag_event") == "EXONERATION", F.lit("EXONERATED"))
-                  .when(F.col("last_flag_event") == "RETURN", F.lit("RETURNED"))
-                  .when(F.col("last_flag_event") == "NSF_REVERSAL", F.lit("UNPAID"))
-                  .otherwise(F.coalesce(F.col("status"), F.lit("UNPAID"))))
+        # The status the latest flagged row sets (D10, literal), else unchanged.
+        status = F.coalesce(rules.status_event("last_flag_event", F.lit(None), "literal"),
+                            F.col("status"), F.lit("UNPAID"))
         return j.withColumn("status", status).select(*PARCEL_COLUMNS)
     full = _live_full_payments(journal)
     j = p.join(ev, "parcel_id", "left").join(full, "parcel_id", "left")

@@ -205,3 +205,18 @@ def test_replay_matches_sequential_model(spark, seed, semantics, n):
     got = {r["transaction_id"]: (r["transaction_type"], r["is_closed"]) for r in journal.collect()}
     assert got == {k: (v["type"], v["is_closed"]) for k, v in want.items()}
     assert sorted(r["transaction_id"] for r in refused.collect()) == sorted(want_refused)
+
+
+def test_change_log_schema_and_distribution_rules(spark):
+    from millrate.plans.monthly import distribution_rules
+    from millrate.schemas import CHANGE_LOG
+    cur = _roll(spark, ["P-1"])
+    after = cur.withColumn("status", F.lit("PAID"))
+    log = audit.change_log(cur, after, "parcel_id", ["status"], "tax_duplicate",
+                           _dt.datetime(2025, 1, 1))
+    assert log.columns == [f.name for f in CHANGE_LOG.fields]
+    assert [(r["old_value"], r["new_value"]) for r in log.collect()] == [("UNPAID", "PAID")]
+    rules_df = distribution_rules(spark)
+    totals = {r["tax_type"]: r["s"] for r in
+              rules_df.groupBy("tax_type").agg(F.sum("share").alias("s")).collect()}
+    assert totals == {"Real Estate": M("1.000000"), "Per Capita": M("1.000000")}

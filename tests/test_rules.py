@@ -162,3 +162,14 @@ def test_label_slot(spark):
     assert (rows[29]["page"], rows[29]["label_row"], rows[29]["label_col"]) == (1, 9, 2)
     assert (rows[30]["page"], rows[30]["label_row"], rows[30]["label_col"]) == (2, 0, 0)
     assert rows[4]["x_in"] == pytest.approx(0.1875 + 2.75 + 0.1)
+
+
+def test_status_event_rows(spark):
+    df = spark.createDataFrame(
+        [("PAYMENT", Decimal("0.00")), ("PAYMENT", Decimal("300.00")), ("RETURN", None),
+         ("EXONERATION", None), ("NSF_REVERSAL", Decimal("450.00")),
+         ("REJECTED_PAYMENT", Decimal("450.00"))], "t string, b decimal(18,2)")
+    cor = [r[0] for r in df.select(rules.status_event("t", "b")).collect()]
+    assert cor == ["PAID", "PARTIAL", "RETURNED", "EXONERATED", "UNPAID", None]
+    lit = [r[0] for r in df.select(rules.status_event("t", "b", "literal")).collect()]
+    assert lit == [None, None, "RETURNED", "EXONERATED", "UNPAID", None]
