@@ -24,7 +24,7 @@ from millrate.operators.status import parcel_status, running_balance  # noqa: E4
 from millrate.operators.util import money_edge  # noqa: E402
 from millrate.plans import collections as coll  # noqa: E402
 from millrate.plans import documents, intake, lookup, monthly, settlement  # noqa: E402
-from millrate.schemas import JOURNAL_COLUMNS, PARCEL_COLUMNS  # noqa: E402
+from millrate.schemas import ATTEMPTS, JOURNAL, JOURNAL_COLUMNS, PARCEL_COLUMNS  # noqa: E402
 from millrate.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from millrate.sources import fixtures  # noqa: E402
 from millrate.sources.extraction import parse_check_extractions  # noqa: E402
@@ -403,6 +403,15 @@ def q_system_events(L: Ledger) -> DataFrame:
     return audit.system_events(j, RUN_AT, posting.close_month_counts(j, _closures(j)))
 
 
+def _read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream's output folder; empty (with the schema) if no batch committed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def q_stream_payments(L: Ledger) -> DataFrame:
     spark = L.spark
     src = _attempt_stream_dir(spark, L, with_repeats=False)
@@ -412,7 +421,7 @@ def q_stream_payments(L: Ledger) -> DataFrame:
     stream.stream_payments(spark, src, spark.read.parquet(roll_path),
                            lambda: spark.read.parquet(locks), sink, refused,
                            scratch_path(spark, "stream-ckpt"))
-    return spark.read.parquet(sink).select(*JOURNAL_COLUMNS)
+    return _read_sink(spark, sink, JOURNAL).select(*JOURNAL_COLUMNS)
 
 
 def q_stream_dedupe(L: Ledger) -> DataFrame:
@@ -420,7 +429,7 @@ def q_stream_dedupe(L: Ledger) -> DataFrame:
     src = _attempt_stream_dir(spark, L, with_repeats=True)
     sink = scratch_path(spark, "stream-dedupe")
     stream.stream_dedupe(spark, src, sink, scratch_path(spark, "stream-dedupe-ckpt"))
-    return spark.read.parquet(sink).select("parcel_id", "check_number", "amount")
+    return _read_sink(spark, sink, ATTEMPTS).select("parcel_id", "check_number", "amount")
 
 
 def q_status_report_lines(L: Ledger) -> DataFrame:
