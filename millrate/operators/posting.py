@@ -213,9 +213,15 @@ def split_by_month_lock(rows: DataFrame, journal: DataFrame,
 
 def split_by_lock_table(rows: DataFrame, lock_table: DataFrame,
                         date_col: str = "date_received",
-                        type_col: str = "transaction_type") -> tuple[DataFrame, DataFrame]:
-    """As ``split_by_month_lock`` with a ready lock table (column ``lock_month``)."""
-    locks = bounded_broadcast(lock_table.select("lock_month"))
+                        type_col: str = "transaction_type",
+                        checked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``split_by_month_lock`` with a ready lock table (column ``lock_month``).
+
+    ``checked``: the caller has already size-checked (and hinted) the table.
+    """
+    locks = lock_table.select("lock_month")
+    if not checked:
+        locks = bounded_broadcast(locks)
     in_lock = rows.withColumn("_m", rules.month_start(date_col))
     bypass = F.col(type_col) == "REJECTED_PAYMENT"
     cond = F.col("_m") == F.col("lock_month")

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrate import config
 from millrate.operators import posting
 from millrate.schemas import ATTEMPTS, JOURNAL_COLUMNS
 
@@ -42,12 +43,22 @@ def stream_payments(spark: SparkSession, attempts_path: str, parcels: DataFrame,
     rows = posting.post_payments(stream, parcels, default_issue)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        allowed, refused = posting.split_by_lock_table(
-            batch, lock_table(), date_col="date_received", type_col="transaction_type")
-        allowed.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
-            f"{journal_sink}/batch={batch_id}")
-        refused.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
-            f"{refused_sink}/batch={batch_id}")
+        # The batch feeds two writes and the lock table is re-read per batch:
+        # both are held only for this batch and released afterwards.
+        batch = batch.persist()
+        locks = lock_table().select("lock_month").cache()
+        try:
+            hinted = F.broadcast(locks) if locks.count() <= config.BROADCAST_ROW_LIMIT else locks
+            allowed, refused = posting.split_by_lock_table(
+                batch, hinted, date_col="date_received", type_col="transaction_type",
+                checked=True)
+            allowed.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
+                f"{journal_sink}/batch={batch_id}")
+            refused.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
+                f"{refused_sink}/batch={batch_id}")
+        finally:
+            locks.unpersist()
+            batch.unpersist()
 
     q = (rows.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
