@@ -19,7 +19,7 @@ from millrate.functions import rules
 from millrate.operators import posting
 from millrate.operators.status import parcel_status
 from millrate.schemas import JOURNAL_COLUMNS, PARCEL_COLUMNS
-from millrate.session import scratch_path
+from millrate.session import cut_lineage, scratch_path
 from millrate.sources import fixtures
 
 
@@ -173,7 +173,9 @@ def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Ledger
         .write.mode("overwrite").parquet(paths["attempts"])
     attempts = spark.read.parquet(paths["attempts"])
 
-    posted = posting.post_payments(attempts, roll)
+    # Posted rows feed the reversals, the exonerations, the journal and the
+    # month closures: materialise the posting join once.
+    posted = cut_lineage(posting.post_payments(attempts, roll))
     nsf_rows, _missing = posting.nsf_reversals(posted, fixtures.nsf_requests(attempts))
     exon_rows = posting.exonerate(fixtures.exoneration_requests(roll, posted))
     journal0 = posted.unionByName(nsf_rows).unionByName(exon_rows)
