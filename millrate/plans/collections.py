@@ -17,7 +17,9 @@ def _zero() -> F.Column:
 
 
 def _combine_one_row(*parts: DataFrame) -> DataFrame:
-    """Merge one-row aggregates without a cross join: align, union, sum."""
+    """Merge one-row aggregates without a cross join: align the columns
+    (NULL where a part lacks one), union, and keep each column's one
+    non-NULL value with ``max``."""
     cols: list[str] = []
     for p in parts:
         cols += [c for c in p.columns if c not in cols]
