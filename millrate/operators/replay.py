@@ -113,8 +113,11 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
     for _ in range(max_passes):
         kept_originals, _gone = split(originals, lock_table(nsf))
         new_nsf = cut_lineage(_nsf_rows(nsf_cmds, kept_originals, semantics))
-        changed = new_nsf.select("transaction_id").exceptAll(nsf.select("transaction_id")) \
-            .unionByName(nsf.select("transaction_id").exceptAll(new_nsf.select("transaction_id"))) \
+        # Same set of NSF rows?  One full outer join on the id, looking for a
+        # row present on one side only.
+        changed = new_nsf.select("transaction_id", F.lit(True).alias("_new")).join(
+            nsf.select("transaction_id", F.lit(True).alias("_old")), "transaction_id",
+            "full_outer").filter(F.col("_new").isNull() | F.col("_old").isNull()) \
             .limit(1).count()
         nsf = new_nsf
         if changed == 0:
