@@ -56,3 +56,20 @@ def test_ledger_layout_and_month_close_on_files(spark, ledger):
     assert closed.count() == expect and closed.filter(~F.col("is_closed")).count() == 0
     # The source version is untouched.
     assert spark.read.parquet(src).filter("is_closed").count() == 0
+
+
+def test_monthly_detail_and_return_list_csv(spark, ledger):
+    from millrate.plans import monthly
+    detail = monthly.monthly_detail(ledger.journal, ledger.parcels, 4, 1998)
+    path = scratch_path(spark, "t-monthly-csv")
+    writers.write_csv(detail, path)
+    back = spark.read.option("header", True).csv(path)
+    assert back.count() == detail.count() > 0
+    assert "tax_type" in back.columns and "amount_paid" in back.columns
+    ret = coll.return_list(ledger.parcels)
+    path = scratch_path(spark, "t-return-csv")
+    writers.write_csv(ret, path)
+    back = spark.read.option("header", True).csv(path)
+    assert back.count() == ret.count()
+    assert set(r["status"] for r in back.select("status").distinct().collect()) <= {"UNPAID",
+                                                                                   "PARTIAL"}
