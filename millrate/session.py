@@ -8,7 +8,6 @@ chosen.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -17,21 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FALLBACK: dict[str, str] = {}
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "millrate") -> SparkSession:
-    """A session configured for the ledger jobs (AQE on, UTC, no UI)."""
+    """A session configured for the ledger jobs (AQE on, UTC, no UI).
+
+    Memory and, unless given, the number of shuffle partitions stay as the
+    cluster or spark-submit sets them.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -41,7 +44,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory, choosing one only if unset."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Only a session on a local master may go without the setting (tests); it
+    then gets a private temporary folder.  On a cluster an unset folder is an
+    error: a folder of one machine is not seen by the others.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -49,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Unset: only the case in local tests.  Choose a private folder once.
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         key = sc.applicationId
         if key not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[key] = tempfile.mkdtemp(prefix="millrate-ckpt-")
@@ -59,11 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint directory for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path (a URI if the setting is one) under the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table through the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -42,13 +42,13 @@ def test_receipts_as_documents(spark, ledger):
 def test_ledger_layout_and_month_close_on_files(spark, ledger):
     src = scratch_path(spark, "t-ledger")
     writers.write_ledger(ledger.journal.withColumn("is_closed", F.lit(False)), src)
-    months = sorted(os.path.basename(p) for p in glob.glob(f"{src}/receipt_month=*"))
+    months = sorted(os.path.basename(p) for p in glob.glob(f"{src.removeprefix('file:')}/receipt_month=*"))
     assert months and all(m.startswith("receipt_month=") for m in months)
     out = scratch_path(spark, "t-ledger-closed")
     closures = spark.createDataFrame([(1, 1998), (2, 1998)], "month int, year int")
     n = writers.close_month_partitions(spark, src, closures, out)
     assert n == 2
-    written = sorted(os.path.basename(p) for p in glob.glob(f"{out}/receipt_month=*"))
+    written = sorted(os.path.basename(p) for p in glob.glob(f"{out.removeprefix('file:')}/receipt_month=*"))
     assert written == ["receipt_month=1998-01-01", "receipt_month=1998-02-01"]
     closed = spark.read.parquet(out)
     expect = spark.read.parquet(src).filter(
