@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrate.session import scratch_path
@@ -51,3 +51,18 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``most`` rows for each value of ``by``, those with the smallest
+    hash of their id.  A threshold from the counts cuts the rows first, so the
+    ranking only ever sees a small multiple of ``most`` rows per value."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    limits = counts.select(F.col(by).alias("__by"), (
+        F.lit(2.0 * most * (1 << 30)) / F.col("n") + F.lit(50.0 * (1 << 30)) / F.col("n")).alias("__limit"))
+    near = rows.withColumn("__place", place).join(
+        limits, F.col(by) == F.col("__by")).filter("__place <= __limit")
+    order = Window.partitionBy("__by").orderBy("__place", id_col, F.xxhash64("text"))
+    return (near.withColumn("__rank", F.row_number().over(order))
+            .filter(F.col("__rank") <= most).select(*rows.columns))

@@ -66,11 +66,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_latest(docs: DataFrame, salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the largest id, once."""
-    body = F.sha2(F.translate(text_or_empty(), UPPER, LOWER), 256)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     kept = exact_groups(docs, salts=salts).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    named = docs.withColumn("__digest", body)
-    joined = named.join(
-        kept, named["doc_id"].eqNullSafe(kept["__id"]) & (named["__digest"] == kept["__digest"]),
-        "left_semi")
-    return joined.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+        key.alias("__id"), F.col("digest").alias("__digest")).distinct()
+    body = F.translate(text_or_empty(), UPPER, LOWER)
+    named = docs.withColumns({"__id": key, "__digest": F.sha2(body, 256)})
+    # The join and the removal of repeated rows share one shuffle.
+    return named.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(
+        ["__id", "__digest"]).select(*docs.columns)

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrate.llm import byte_bpe, exact_dedup, sharding
-from millrate.llm.common import LOWER, UPPER, read
+from millrate.llm import byte_bpe, exact_dedup, language_id, quality, sharding, simhash, toxicity
+from millrate.llm.common import LOWER, UPPER, fold, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +19,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"), F.get("spans", F.lit(0))["start"].alias("first_start"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("digest", "text_sha256")
@@ -32,6 +48,21 @@ FROM t JOIN g ON t.body = g.body
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language_id.Model:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.fit(docs.filter(fold("doc_id", 4) != 2))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    said = language_id.predict(docs, language_model(spark, sf_dir), ["doc_id"])
+    return said.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
@@ -63,7 +94,11 @@ SELECT doc_id, slot, shard FROM keyed JOIN lookup USING (slot)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_simhash": op3_simhash,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_quality": op6_quality,
+        "op7_language_id": op7_language_id,
         "op10_sharding": op10_sharding,
     }
 
