@@ -32,8 +32,9 @@ from millrate.llm.common import bounded_sample, pieces, stored
 UNKNOWN = "und"
 #: Documented bounds of the fit: labelled texts and centroids per language.
 PER_LANG, CLUSTERS = 600, 4
-#: Rejected below this share of the lowest cosine among learned members.
-MARGIN = 0.5
+#: Rejected below this share of the lowest cosine among learned members; texts of
+#: fewer different n-grams lie farther from any centroid and get a lower limit.
+MARGIN, FULL_GRAMS = 0.5, 200
 #: Spread of the softmax that turns cosines into a score.
 TEMPERATURE = 0.05
 BUCKET_BITS = 12
@@ -98,7 +99,9 @@ class Model:
         out = [(UNKNOWN, 0.0, 0.0, True)] * len(texts)
         for k in range(0, len(real), 256):
             part = real[k:k + 256]
-            cosine = vectors(np.array([counts(texts[i]) for i in part]), self.idf) @ self.centroids.T
+            count = np.array([counts(texts[i]) for i in part])
+            cosine = vectors(count, self.idf) @ self.centroids.T
+            short = np.sqrt(np.minimum(1.0, (count > 0).sum(axis=1) / FULL_GRAMS))
             by_lang = np.stack([np.where(self.owner == j, cosine, -1.0).max(axis=1)
                                 for j in range(len(self.langs))], axis=1)
             best = by_lang.argmax(axis=1)
@@ -106,8 +109,8 @@ class Model:
             weight = np.exp((by_lang - by_lang.max(axis=1, keepdims=True)) / TEMPERATURE)
             score = weight[np.arange(len(part)), best] / weight.sum(axis=1)
             near = cosine[np.arange(len(part)), at]
-            for i, b, s, c, low in zip(part, best, score, near, self.low[at]):
-                out[i] = (self.langs[b], float(min(1.0, s)), float(c), bool(c < MARGIN * low))
+            for i, b, s, c, low in zip(part, best, score, near, MARGIN * self.low[at] * short):
+                out[i] = (self.langs[b], float(min(1.0, s)), float(c), bool(c < low))
         return out
 
 

@@ -9,12 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrate.llm import byte_bpe, exact_dedup, language_id, quality, sharding, simhash, toxicity
+from millrate.llm import byte_bpe, exact_dedup, language_id, quality, sharding, simhash, token_files, toxicity
 from millrate.llm.common import LOWER, UPPER, fold, read
+from millrate.session import scratch_path
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    ids = token_files.encode_to_files(read(spark, sf_dir, "documents"), path, WORD_BPE)
+    return token_files.digests(token_files.read(spark, path, ids))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -93,6 +101,7 @@ SELECT doc_id, slot, shard FROM keyed JOIN lookup USING (slot)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,

@@ -38,11 +38,11 @@ from millrate.llm.common import bounded_sample, pieces, stored
 
 #: Documented bounds of the fit: labelled texts per class, and n-grams.
 PER_CLASS, MAX_GRAMS = 2500, 4000
-GRAM_SIZES = (3, 4, 5, 6)
+GRAM_SIZES = (3, 4, 5, 6, 7, 8)
 #: An n-gram marks toxic words from these on.
 MIN_RATIO, MIN_LOG_ODDS = 25.0, 3.0
 #: Texts of the sample that the CRF itself is trained on, and its steps.
-CRF_TEXTS, CRF_STEPS, CRF_RIDGE = 1000, 80, 1e-3
+CRF_TEXTS, CRF_STEPS, CRF_RIDGE = 1000, 80, 0.05
 THRESHOLD = 0.7
 BLOCK = 128
 WORDS_SEEN = 400_000
@@ -131,11 +131,11 @@ def train(feature: np.ndarray, word: np.ndarray, label: np.ndarray, sizes: np.nd
         score = np.bincount(word, weights=weight[feature], minlength=len(label))
         left, right = chain(score, sizes, trans)
         p = _sigmoid(left + score + right)
-        g = np.bincount(feature, weights=(label - p)[word], minlength=width) / n - ridge * weight
+        g = np.bincount(feature, weights=(label - p)[word], minlength=width) / n - ridge / n * weight
         a, b = left[here - 1] + score[here - 1], score[here] + right[here]
         pair = np.stack([np.full(len(here), trans[0, 0]), trans[0, 1] + b, trans[1, 0] + a, trans[1, 1] + a + b])
         pair = np.exp(pair - pair.max(axis=0, initial=-np.inf))
-        g2 = (seen - (pair / pair.sum(axis=0)).sum(axis=1)) / n - ridge * trans.ravel()
+        g2 = (seen - (pair / pair.sum(axis=0)).sum(axis=1)) / n - ridge / n * trans.ravel()
         g2[0] = 0.0  # tags 0, 0 are the scale's origin
         grad = np.concatenate([g, g2])
         moments[0] = 0.9 * moments[0] + 0.1 * grad
@@ -304,16 +304,21 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS, max_grams: int = MAX_GR
 _WORKER: dict[str, Model | None] = {}
 
 
+def worker_model(number: str, sent) -> Model | None:
+    """The broadcast model, with its words seen kept between a worker's tasks."""
+    if number not in _WORKER:
+        _WORKER.clear()
+        _WORKER[number] = sent.value
+    return _WORKER[number]
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, spans (start, end, p of each offending word)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS weights
     number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _WORKER:  # one model and its words seen per Python worker
-            _WORKER.clear()
-            _WORKER[number] = sent.value
-        mine = _WORKER[number]
+        mine = worker_model(number, sent)
         for batch in pieces(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             said = mine.judge(texts) if mine else [(0.0, [])] * len(texts)
