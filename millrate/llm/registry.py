@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrate.llm import byte_bpe, exact_dedup, language_id, quality, sharding, simhash, token_files, toxicity
+from millrate.llm import byte_bpe, exact_dedup, language_id, quality, sharding, simhash, token_counts, token_files, toxicity
 from millrate.llm.common import LOWER, UPPER, fold, read
 from millrate.session import scratch_path
 
@@ -71,6 +71,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_quality": op6_quality,
         "op7_language_id": op7_language_id,
+        "op9_token_counts": op9_token_counts,
         "op10_sharding": op10_sharding,
     }
 
