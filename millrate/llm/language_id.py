@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from millrate.llm.common import bounded_sample, pieces, stored
 
@@ -155,23 +156,28 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS)
                  np.array([langs.index(x) for x in found["lang"]], dtype=int), found["low"].to_numpy(dtype=float))
 
 
-_OUT = "lang_pred string, score double, cosine double, rejected boolean"
+_OUT = (("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64()),
+        ("cosine", T.DoubleType(), pa.float64()), ("rejected", T.BooleanType(), pa.bool_()))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score, cosine, rejected."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # langs x clusters vectors
+    """The columns ``keep`` of ``docs``, then lang_pred, score, cosine and rejected
+    (with underscores added where ``keep`` has such a name)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # langs x clusters vectors
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    names = [x.split()[0] for x in _OUT.split(", ")]
+    taken, names, kinds = {c.lower() for c in keep}, [], [k for _, _, k in _OUT]
+    fields = list(rows.select(*keep).schema.fields)
+    for name, kind, _ in _OUT:
+        while name in taken:
+            name += "_"
+        names.append(name)
+        fields.append(T.StructField(name, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             said = list(zip(*sent.value.judge(batch.column("text").to_pylist())))
-            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *(pa.array(s, k) for s, k in zip(said, kinds))],
                 names=[*keep, *names])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{head}, {_OUT}")
+    return rows.mapInArrow(run, T.StructType(fields))
