@@ -50,17 +50,27 @@ LABELS_ACROSS = 3
 LABELS_DOWN = 10
 LABEL_WIDTH_IN = 2.625
 LABEL_HEIGHT_IN = 1.0
+# Origin of a label's text inside its cell, inches.
+LABEL_TEXT_X_IN = 0.1
+LABEL_TEXT_Y_IN = 0.6
+LABEL_TEXT_DROP_IN = 0.8
 LABEL_LEFT_MARGIN_IN = 0.1875
 LABEL_TOP_OFFSET_IN = 0.5
 LABEL_COL_GUTTER_IN = 0.125
 PAGE_HEIGHT_IN = 11.0
 
+# The status report's line where nothing was collected (fixed value).
+NO_PAYMENTS_LINE = "| (No Payments Yet) | - | - |"
+
+# Texts of the lookup panel (fixed values).
+LOOKUP_PAID = "This bill has been PAID IN FULL. No further action is required."
+LOOKUP_EXONERATED = "This bill has been EXONERATED. No balance is due."
+LOOKUP_RETURNED = "This bill remains UNPAID and has been RETURNED to the County."
+
 # Paid-in-full threshold on balance_remaining for an explicit PAYMENT row.
 PAID_BALANCE_EPSILON = Decimal("0.009")
 # Settlement is balanced when |charges - credits| is below this.
 SETTLEMENT_TOLERANCE = Decimal("0.02")
-# Month lock tables and rule tables larger than this are joined by shuffle.
-BROADCAST_ROW_LIMIT = 100_000
 # ----------------------------------------------------------------------------
 
 

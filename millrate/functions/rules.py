@@ -57,12 +57,12 @@ def printed_penalty_start(issue: ColumnLike) -> Column:
 # D2 ------------------------------------------------------------------------
 def payment_period(postmark: ColumnLike, issue: ColumnLike,
                    default_issue: _dt.date | None = None) -> Column:
-    """DISCOUNT up to discount_end, FACE up to face_end, else PENALTY."""
+    """DISCOUNT up to discount_end, FACE up to face_end, else PENALTY (NULL without a date)."""
     iss = effective_issue_date(issue, default_issue)
     pm = _c(postmark)
     return (F.when(pm <= discount_end(iss), F.lit("DISCOUNT"))
             .when(pm <= face_end(iss), F.lit("FACE"))
-            .otherwise(F.lit("PENALTY")))
+            .when(pm.isNotNull(), F.lit("PENALTY")))
 
 
 # D3 ------------------------------------------------------------------------
@@ -195,9 +195,9 @@ def label_slot(label_index: ColumnLike) -> dict[str, Column]:
     row = F.floor(within / F.lit(config.LABELS_ACROSS)).cast("int")
     col = F.pmod(within, F.lit(config.LABELS_ACROSS)).cast("int")
     x = (F.lit(config.LABEL_LEFT_MARGIN_IN)
-         + col * F.lit(config.LABEL_WIDTH_IN + config.LABEL_COL_GUTTER_IN) + F.lit(0.1))
-    y = (F.lit(config.PAGE_HEIGHT_IN - config.LABEL_TOP_OFFSET_IN - 0.8)
-         - row * F.lit(config.LABEL_HEIGHT_IN) + F.lit(0.6))
+         + col * F.lit(config.LABEL_WIDTH_IN + config.LABEL_COL_GUTTER_IN) + F.lit(config.LABEL_TEXT_X_IN))
+    y = (F.lit(config.PAGE_HEIGHT_IN - config.LABEL_TOP_OFFSET_IN - config.LABEL_TEXT_DROP_IN)
+         - row * F.lit(config.LABEL_HEIGHT_IN) + F.lit(config.LABEL_TEXT_Y_IN))
     return {
         "page": (F.floor(n / F.lit(per_page)) + 1).cast("int"),
         "label_row": row,

@@ -76,18 +76,14 @@ def validation_message(code: ColumnLike, amount: ColumnLike, expected: ColumnLik
         over_txt, under_txt = fixed2_text(diff_over), fixed2_text(diff_under)
         inst_n = F.coalesce(num, F.lit(1)).cast("string")
         pen_n = F.coalesce(num, F.lit(1)).cast("string")
-    before_over, after_over = MSG_OVER.split("{diff}")
-    before_under, after_under = MSG_UNDER.split("{diff}")
-    before_i, after_i = MSG_INSTALLMENT.split("{n}")
-    before_p, after_p = MSG_INSTALLMENT_PENALTY.split("{n}")
     return (
         F.when(cd == "ACCEPTED_FULL", F.lit(MSG_FULL))
         .when(cd == "REJECTED_INSTALLMENT_LATE", F.lit(MSG_INSTALLMENT_LATE))
-        .when(cd == "ACCEPTED_INSTALLMENT", F.concat(F.lit(before_i), inst_n, F.lit(after_i)))
+        .when(cd == "ACCEPTED_INSTALLMENT", F.replace(F.lit(MSG_INSTALLMENT), F.lit("{n}"), inst_n))
         .when(cd == "ACCEPTED_INSTALLMENT_PENALTY",
-              F.concat(F.lit(before_p), pen_n, F.lit(after_p)))
-        .when(cd == "REJECTED_OVER", F.concat(F.lit(before_over), over_txt, F.lit(after_over)))
-        .otherwise(F.concat(F.lit(before_under), under_txt, F.lit(after_under)))
+              F.replace(F.lit(MSG_INSTALLMENT_PENALTY), F.lit("{n}"), pen_n))
+        .when(cd == "REJECTED_OVER", F.replace(F.lit(MSG_OVER), F.lit("{diff}"), over_txt))
+        .otherwise(F.replace(F.lit(MSG_UNDER), F.lit("{diff}"), under_txt))
     )
 
 

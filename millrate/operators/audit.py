@@ -24,7 +24,8 @@ def _as_text(c: F.Column) -> F.Column:
 
 def change_log(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str],
                table_name: str, at: _dt.datetime, batch_id: int = 1) -> DataFrame:
-    """One row per changed (record, field) between two snapshots."""
+    """One row per changed (record, field) between two snapshots.  Changes of a
+    batch between snapshots have no order of their own (``log_seq`` is NULL)."""
     b = before.select(key, *[F.col(f).alias(f"_b_{f}") for f in fields],
                       F.lit(True).alias("_in_b"))
     a = after.select(key, *[F.col(f).alias(f"_a_{f}") for f in fields],
@@ -43,6 +44,7 @@ def change_log(before: DataFrame, after: DataFrame, key: str, fields: Sequence[s
                     F.inline(diffs))
     return rows.filter("changed").select(
         F.lit(batch_id).cast("long").alias("batch_id"),
+        F.lit(None).cast("long").alias("log_seq"),
         F.lit(at.isoformat()).alias("timestamp"),
         F.lit(table_name).alias("table_name"),
         "record_id", "field_name", "old_value", "new_value", "action_type",
@@ -53,6 +55,7 @@ def journal_insert_log(rows: DataFrame, at: _dt.datetime, batch_id: int = 1) ->
     """The INSERT entry every new journal row leaves (amount_paid 0.00 -> amount)."""
     return rows.select(
         F.lit(batch_id).cast("long").alias("batch_id"),
+        F.col("transaction_id").alias("log_seq"),
         F.lit(at.isoformat()).alias("timestamp"),
         F.lit("transactions").alias("table_name"),
         F.col("transaction_id").cast("string").alias("record_id"),
@@ -100,13 +103,14 @@ def system_events(journal: DataFrame, at: _dt.datetime, close_counts: DataFrame
 
 
 def audit_tail(log: DataFrame, n: int = 20) -> DataFrame:
-    """The last ``n`` changes, formatted; newest batch first, then by key.
+    """The last ``n`` changes, formatted, newest first: by batch, then by the order
+    in which the batch's rows were written (numeric), then by key.
 
     ``orderBy(...).limit(n)`` plans as a top-k (TakeOrderedAndProject):
     each task keeps ``n`` rows, the driver merges them.
     """
     f = text.audit_line_fields("timestamp", "field_name", "old_value", "new_value")
-    return log.orderBy(F.desc("batch_id"), F.desc("table_name"), F.desc("record_id"),
+    return log.orderBy(F.desc("batch_id"), F.desc_nulls_last("log_seq"), F.desc("table_name"), F.desc("record_id"),
                        F.desc("field_name")).limit(n).select(
         "batch_id", f["time"].alias("time"), "table_name", "record_id", "action_type",
         f["field"].alias("field"), f["old"].alias("old"), f["new"].alias("new"))

@@ -27,23 +27,26 @@ def upsert_parcels(current: DataFrame, incoming: DataFrame, order_col: str = "ro
                    semantics: str = "corrected") -> DataFrame:
     """Replace whole parcel rows from a re-import; the last duplicate wins.
 
+    One full outer join gives kept, replaced and new rows.
+
     ``literal``: a replaced row returns to the column defaults, so status
     becomes UNPAID and ``is_interim`` false (INSERT OR REPLACE behaviour).
     ``corrected``: status and ``is_interim`` of existing parcels are kept.
     """
-    data_cols = [c for c in PARCEL_COLUMNS if c not in ("status", "is_interim")]
-    inc = _last_per_key(incoming, "parcel_id", order_col, data_cols)
-    if semantics == "literal":
-        inc = inc.withColumn("is_interim", F.lit(False)).withColumn("status", F.lit("UNPAID"))
-    else:
-        keep = current.select("parcel_id", F.col("status").alias("_old_status"),
-                              F.col("is_interim").alias("_old_interim"))
-        inc = inc.join(keep, "parcel_id", "left").select(
-            *data_cols,
-            F.coalesce("_old_interim", F.lit(False)).alias("is_interim"),
-            F.coalesce("_old_status", F.lit("UNPAID")).alias("status"))
-    kept = current.select(*PARCEL_COLUMNS).join(inc.select("parcel_id"), "parcel_id", "left_anti")
-    return kept.unionByName(inc.select(*PARCEL_COLUMNS))
+    data_cols = [c for c in PARCEL_COLUMNS if c not in ("parcel_id", "status", "is_interim")]
+    inc = _last_per_key(incoming, "parcel_id", order_col, ["parcel_id", *data_cols])
+    new = inc.select("parcel_id", *[F.col(c).alias(f"_new_{c}") for c in data_cols], F.lit(True).alias("_given"))
+    j = current.select(*PARCEL_COLUMNS).join(new, "parcel_id", "full_outer")
+    given = F.col("_given").isNotNull()
+
+    def kept(c: str, default) -> F.Column:
+        """A replaced row's status or flag."""
+        return F.lit(default) if semantics == "literal" else F.coalesce(c, F.lit(default))
+
+    own = {c: F.when(given, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in data_cols}
+    own["is_interim"] = F.when(given, kept("is_interim", False)).otherwise(F.col("is_interim"))
+    own["status"] = F.when(given, kept("status", "UNPAID")).otherwise(F.col("status"))
+    return j.select("parcel_id", *[own[c].alias(c) for c in PARCEL_COLUMNS if c != "parcel_id"])
 
 
 def add_interim(current: DataFrame, new: DataFrame,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrate.functions import rules, text
-from millrate.operators.util import bounded_broadcast, conform
+from millrate.operators.util import conform
 from millrate.schemas import JOURNAL_COLUMNS, MONEY
 
 _PARCEL_PRICING = ("parcel_id", "face_tax_amount", "discount_amount", "penalty_amount",
@@ -92,7 +92,8 @@ def append_journal(journal: DataFrame | None, rows: DataFrame) -> DataFrame:
     """Insert rows with the journal defaults (type PAYMENT, balance 0.00, open).
 
     ``rows`` needs ``transaction_id``, ``date_received``, ``parcel_id`` and
-    ``amount_paid``; any other journal column may be absent.
+    ``amount_paid``; any other journal column may be absent.  A row without a
+    date fails the job, as it would fail the insert: it has no month to belong to.
     """
     if "date_received" not in rows.columns:
         raise ValueError("date_received is required for a journal row")
@@ -102,7 +103,9 @@ def append_journal(journal: DataFrame | None, rows: DataFrame) -> DataFrame:
     ).withColumn(
         "balance_remaining", F.coalesce("balance_remaining", F.lit(Decimal("0.00")).cast(MONEY))
     ).withColumn("is_closed", F.coalesce("is_closed", F.lit(False)))
-    filled = filled.filter(F.col("date_received").isNotNull())
+    undated = F.raise_error(F.concat(
+        F.lit("date_received is required for journal row "), F.coalesce(F.col("transaction_id").cast("string"), F.lit("?"))))
+    filled = filled.withColumn("date_received", F.coalesce("date_received", undated.cast("date")))
     if journal is None:
         return filled
     return journal.select(*JOURNAL_COLUMNS).unionByName(filled)
@@ -133,8 +136,10 @@ def nsf_reversals(journal: DataFrame, requests: DataFrame,
     ``requests``: seq (id of the new row), transaction_id (to reverse), date.
     The new row negates the amount, keeps check, period and installment,
     has method ADJUSTMENT and ``balance_remaining`` = original amount.
-    ``corrected`` reverses only PAYMENT rows not reversed already;
-    ``literal`` reverses whatever row the id names.
+    ``corrected`` reverses only PAYMENT rows not reversed already, and of
+    several requests for one payment the one with the smallest seq;
+    ``literal`` reverses whatever row the id names, each time it is asked.
+    The second frame holds the requests that wrote no row.
     """
     orig = journal.select(
         "transaction_id", "parcel_id", "transaction_type", "check_number", "amount_paid",
@@ -146,7 +151,11 @@ def nsf_reversals(journal: DataFrame, requests: DataFrame,
             already, "transaction_id", "left_anti")
     req = requests.select(F.col("seq").alias("new_id"), "transaction_id",
                           F.col("date").alias("rev_date"))
-    j = req.join(orig, "transaction_id", "inner")
+    chosen = req
+    if semantics == "corrected":
+        first = req.groupBy("transaction_id").agg(F.min("new_id").alias("new_id"))
+        chosen = req.join(first, ["transaction_id", "new_id"], "left_semi")
+    j = chosen.join(orig, "transaction_id", "inner")
     rows = j.select(
         F.col("new_id").alias("transaction_id"),
         F.col("rev_date").alias("date_received"),
@@ -163,7 +172,7 @@ def nsf_reversals(journal: DataFrame, requests: DataFrame,
         .alias("notes"),
         F.col("transaction_id").alias("reversed_transaction_id"),
     )
-    missing = req.join(orig.select("transaction_id"), "transaction_id", "left_anti")
+    missing = req.join(rows.select(F.col("transaction_id").alias("new_id")), "new_id", "left_anti")
     return append_journal(None, rows), missing
 
 
@@ -171,11 +180,10 @@ def close_month(journal: DataFrame, closures: DataFrame) -> DataFrame:
     """Set ``is_closed`` on every row received in a closed month.
 
     ``closures``: month, year.  The closure table is one row per closed
-    month, so it is broadcast behind a row-count check.
+    month; AQE picks its join.
     """
     months = closures.select(F.make_date("year", "month", F.lit(1)).alias("_close_month")) \
         .distinct()
-    months = bounded_broadcast(months)
     j = journal.join(months, rules.month_start("date_received") == F.col("_close_month"), "left")
     return j.withColumn(
         "is_closed", F.col("is_closed") | F.col("_close_month").isNotNull()
@@ -205,27 +213,20 @@ def split_by_month_lock(rows: DataFrame, journal: DataFrame,
                         type_col: str = "transaction_type") -> tuple[DataFrame, DataFrame]:
     """(allowed, refused): non-rejected rows dated in a locked month are refused.
 
-    Rejected attempts are always recorded; the lock table is one row per
-    month and is broadcast behind a size check.
+    Rejected attempts are always recorded.
     """
     return split_by_lock_table(rows, locked_months(journal), date_col, type_col)
 
 
 def split_by_lock_table(rows: DataFrame, lock_table: DataFrame,
                         date_col: str = "date_received",
-                        type_col: str = "transaction_type",
-                        checked: bool = False) -> tuple[DataFrame, DataFrame]:
+                        type_col: str = "transaction_type") -> tuple[DataFrame, DataFrame]:
     """As ``split_by_month_lock`` with a ready lock table (column ``lock_month``).
 
-    ``checked``: the caller has already size-checked (and hinted) the table.
+    One left join with the lock months (a row per month) flags each row.
     """
-    locks = lock_table.select("lock_month")
-    if not checked:
-        locks = bounded_broadcast(locks)
-    in_lock = rows.withColumn("_m", rules.month_start(date_col))
-    bypass = F.col(type_col) == "REJECTED_PAYMENT"
-    cond = F.col("_m") == F.col("lock_month")
-    allowed = in_lock.join(locks, cond, "left_anti").unionByName(
-        in_lock.filter(bypass).join(locks, cond, "left_semi"))
-    refused = in_lock.filter(~bypass).join(locks, cond, "left_semi")
-    return allowed.drop("_m"), refused.drop("_m")
+    locks = lock_table.select(F.col("lock_month").alias("_lock")).distinct()
+    flagged = rows.join(locks, rules.month_start(date_col) == F.col("_lock"), "left").withColumn(
+        "_refused", F.col("_lock").isNotNull() & (F.col(type_col) != "REJECTED_PAYMENT"))
+    allowed = flagged.filter(~F.col("_refused")).drop("_lock", "_refused")
+    return allowed, flagged.filter("_refused").drop("_lock", "_refused")

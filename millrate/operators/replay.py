@@ -12,13 +12,14 @@ exonerations (rejected attempts and NSF rows are always written).  So
 
 and an accepted row at ``seq`` is refused iff ``lock_start(month) < seq``.
 The first row of a month always exists unless it is an NSF row, which
-exists only if its original does — so one pass is exact without NSF
-commands, and with them the pass is repeated until the set of NSF rows is
-stable.  Each month's first non-NSF row and the rows NSF commands point at
-are computed once; a pass then only aggregates and joins NSF-sized and
-month-sized tables (one row per month, broadcast behind a size check), the
-NSF set is checkpointed between passes, and the whole batch is split by
-the final lock table once.
+exists only if its original does.  An NSF row depends on rows of smaller
+``seq`` alone, so passes over the NSF rows settle from the front and are
+repeated until the set stays the same; their number follows the longest chain
+of NSF rows that open and close months for one another.  (``literal`` also
+lets an NSF row reverse an NSF row.)  Each month's first non-NSF row and the
+rows NSF commands point at are written once; a pass then only aggregates and
+joins NSF-sized and month-sized tables, which are removed after it, and the
+whole batch is split by the final lock table once.
 """
 
 from __future__ import annotations
@@ -30,13 +31,8 @@ from pyspark.sql import functions as F
 
 from millrate.functions import rules
 from millrate.operators import posting
-from millrate.operators.util import bounded_broadcast
 from millrate.schemas import JOURNAL_COLUMNS, MONEY
-from millrate.session import cut_lineage
-
-
-class ReplayDidNotConverge(RuntimeError):
-    pass
+from millrate.session import cut_lineage, drop_table
 
 
 def _nsf_rows(nsf_cmds: DataFrame, originals: DataFrame, semantics: str) -> DataFrame:
@@ -65,8 +61,7 @@ def _nsf_rows(nsf_cmds: DataFrame, originals: DataFrame, semantics: str) -> Data
 
 
 def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected",
-           default_issue: _dt.date | None = None, max_passes: int = 50
-           ) -> tuple[DataFrame, DataFrame]:
+           default_issue: _dt.date | None = None) -> tuple[DataFrame, DataFrame]:
     """(journal, refused): the outcome of running the commands in ``seq`` order."""
     cmd = F.col("command")
     pays = commands.filter(cmd == "pay").select(
@@ -83,7 +78,6 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
     closes = commands.filter(cmd == "close_month").select(
         F.col("seq").alias("close_seq"),
         F.make_date("year", "month", F.lit(1)).alias("_m"))
-    closes = bounded_broadcast(closes)
 
     # Fixed across passes: each month's first written (non-NSF) row, and the
     # rows NSF commands point at.  A pass then only touches NSF-sized and
@@ -100,7 +94,7 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
             F.min("first_seq").alias("first_seq"))
         starts = first.join(closes, "_m", "inner").filter(F.col("close_seq") > F.col("first_seq")) \
             .groupBy("_m").agg(F.min("close_seq").alias("lock_start"))
-        return bounded_broadcast(starts)
+        return starts
 
     def split(rows: DataFrame, locks: DataFrame) -> tuple[DataFrame, DataFrame]:
         j = rows.join(locks, "_m", "left")
@@ -108,25 +102,29 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
             F.col("lock_start").isNotNull() & (F.col("lock_start") < F.col("transaction_id"))
         return j.filter(~refused_cond).drop("lock_start"), j.filter(refused_cond).drop("lock_start")
 
-    # Pass 0 assumes every NSF command whose original was written finds it.
-    nsf = cut_lineage(_nsf_rows(nsf_cmds, originals, semantics))
-    for _ in range(max_passes):
-        kept_originals, _gone = split(originals, lock_table(nsf))
-        new_nsf = cut_lineage(_nsf_rows(nsf_cmds, kept_originals, semantics))
+    def next_rows(nsf: DataFrame | None) -> DataFrame:
+        """NSF rows whose originals stand under the locks that ``nsf`` leads to."""
+        if nsf is None:  # the first pass takes every original as written
+            return cut_lineage(_nsf_rows(nsf_cmds, originals, semantics))
+        found, _gone = split(originals, lock_table(nsf))
+        found = found.drop("_m")
+        if semantics == "literal":
+            found = found.unionByName(nsf.join(wanted, "transaction_id", "left_semi"))
+        return cut_lineage(_nsf_rows(nsf_cmds, found, semantics))
+
+    nsf, changed = next_rows(None), True
+    while changed:
+        new_nsf = next_rows(nsf)
         # Same set of NSF rows?  One full outer join on the id, looking for a
         # row present on one side only.
-        changed = new_nsf.select("transaction_id", F.lit(True).alias("_new")).join(
+        changed = not new_nsf.select("transaction_id", F.lit(True).alias("_new")).join(
             nsf.select("transaction_id", F.lit(True).alias("_old")), "transaction_id",
-            "full_outer").filter(F.col("_new").isNull() | F.col("_old").isNull()) \
-            .limit(1).count()
+            "full_outer").filter(F.col("_new").isNull() | F.col("_old").isNull()).isEmpty()
+        drop_table(nsf)
         nsf = new_nsf
-        if changed == 0:
-            break
-    else:
-        raise ReplayDidNotConverge(f"NSF row set still changing after {max_passes} passes")
     kept, refused = split(lockable, lock_table(nsf))
     journal = kept.drop("_m").unionByName(nsf)
-    last_close = bounded_broadcast(closes.groupBy("_m").agg(F.max("close_seq").alias("_last")))
+    last_close = closes.groupBy("_m").agg(F.max("close_seq").alias("_last"))
     journal = journal.withColumn("_m", rules.month_start("date_received")) \
         .join(last_close, "_m", "left") \
         .withColumn("is_closed", F.coalesce(F.col("_last") > F.col("transaction_id"), F.lit(False)))

@@ -24,8 +24,9 @@ def _live_full_payments(journal: DataFrame) -> DataFrame:
                           & (F.col("validation_code") == "ACCEPTED_FULL")) \
         .select("transaction_id", "parcel_id")
     reversed_ids = journal.filter(F.col("transaction_type") == "NSF_REVERSAL").select(
-        F.col("reversed_transaction_id").alias("transaction_id"))
-    return full.join(reversed_ids, "transaction_id", "left_anti").groupBy("parcel_id").agg(
+        "parcel_id", F.col("reversed_transaction_id").alias("transaction_id"))
+    # A reversal has its original's parcel, so the join also reads by parcel.
+    return full.join(reversed_ids, ["parcel_id", "transaction_id"], "left_anti").groupBy("parcel_id").agg(
         F.count(F.lit(1)).alias("live_full"))
 
 

@@ -1,16 +1,16 @@
-"""Shared DataFrame helpers: size-checked broadcast, schema conforming,
+"""Shared DataFrame helpers: schema conforming, range sizes,
 and skew-safe global numbering / running sums without one-task windows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrate import config
 from millrate.schemas import JOURNAL, PARCELS
-from millrate.session import cut_lineage
+from millrate.session import cut_lineage, path_bytes
 
 _KNOWN_TYPES = {f.name: f.dataType for f in list(PARCELS.fields) + list(JOURNAL.fields)}
 
@@ -27,15 +27,17 @@ def conform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*out)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = config.BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a small lookup table only after its row count is checked.
+#: Bytes of input for each range partition.
+RANGE_BYTES = 256 * 1024 * 1024
 
-    The table is cached (executor loss recomputes it from lineage); above
-    ``max_rows`` it is returned unhinted and AQE chooses the join.
-    """
-    cached = df.cache()
-    n = cached.count()
-    return F.broadcast(cached) if n <= max_rows else cached
+
+def range_partitions(df: DataFrame) -> int:
+    """Range partitions for ``df``: the session's shuffle partitions, or one per
+    :data:`RANGE_BYTES` of the files it reads, if more.  (AQE merges range
+    partitions but never splits them.)"""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    read = sum(path_bytes(df.sparkSession, f) for f in folders)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(read / RANGE_BYTES))
 
 
 def _ranged(df: DataFrame, order: Sequence[Column | str], partitions: int | None) -> DataFrame:
@@ -43,13 +45,10 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], partitions: int | None
 
     The sampled range bounds split even a single hot key across several
     partitions, so no task receives an unbounded group.  The partition id
-    and in-partition position are fixed by a reliable checkpoint so every
-    consumer sees the same assignment.
+    and in-partition position are fixed by a written table so every consumer
+    sees the same assignment.
     """
-    # Without an explicit count AQE sizes the range partitions by bytes;
-    # a key larger than one partition still spans several.
-    ranged = df.repartitionByRange(partitions, *order) if partitions else \
-        df.repartitionByRange(*order)
+    ranged = df.repartitionByRange(partitions or range_partitions(df), *order)
     ranged = ranged.sortWithinPartitions(*order)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_mid", F.monotonically_increasing_id())
@@ -62,7 +61,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out_col: str
 
     Position = rows in earlier range partitions + position inside the
     partition.  The per-partition counts table has one row per partition,
-    so broadcasting it is bounded by the partition count.
+    so its join is small whichever way AQE picks.
     """
     r = _ranged(df, order, partitions)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
@@ -71,7 +70,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out_col: str
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    out = r.join(F.broadcast(offsets), "_pid", "left").withColumn(
+    out = r.join(offsets, "_pid", "left").withColumn(
         out_col, F.coalesce(F.col("_off"), F.lit(0)) + local + 1)
     return out.drop("_pid", "_mid", "_off")
 
@@ -85,7 +84,7 @@ def running_sum(df: DataFrame, key: str, order: Sequence[str], value: str,
        most one partition;
     3. keys that span partitions (at most partitions - 1 of them) get the
        totals of their earlier pieces added; that fix-up table is bounded
-       by the partition count and is broadcast.
+       by the partition count.
     """
     r = _ranged(df, [key, *order], partitions)
     w_local = Window.partitionBy(key, "_pid").orderBy("_mid").rowsBetween(
@@ -98,7 +97,7 @@ def running_sum(df: DataFrame, key: str, order: Sequence[str], value: str,
         key, "_pid",
         F.sum("_piece").over(Window.partitionBy(key).orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)).alias("_before"))
-    out = local.join(F.broadcast(fix), [key, "_pid"], "left").withColumn(
+    out = local.join(fix, [key, "_pid"], "left").withColumn(
         out_col, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0)))
     return out.drop("_pid", "_mid", "_local", "_before")
 

@@ -9,6 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrate import config
 from millrate.functions import rules, text
 from millrate.schemas import MONEY, PARCEL_COLUMNS
 
@@ -71,35 +72,36 @@ def status_by_tax_type(parcels: DataFrame, journal: DataFrame) -> DataFrame:
 
 def status_report_lines(kpis: DataFrame, breakdown: DataFrame, by_type: DataFrame,
                         as_of: _dt.datetime) -> DataFrame:
-    """Markdown lines of the status report, one per row, ordered by ``line_no``."""
-    head = kpis.select(F.posexplode(F.array(
-        F.lit("# Tax Collection Status Report"),
-        F.lit(f"**Date:** {as_of:%Y-%m-%d %H:%M}\n"),
-        F.lit("## 1. High-Level Summary"),
-        F.concat(F.lit("*   **Total Parcels:** "), F.col("total_parcels").cast("string")),
-        F.concat(F.lit("*   **Total Face Value:** "), text.money_text("total_face_value")),
-        F.concat(F.lit("*   **Total Collected (YTD):** "), text.money_text("total_collected")),
-        F.concat(F.lit("*   **Collection Rate:** "), text.pct_text("collection_rate")),
-        F.lit("## 2. Parcel Status Breakdown"))).alias("line_no", "line"))
+    """Markdown lines of the status report, one per row, ordered by section and
+    rank.  All fixed lines come from one ``kpis`` row."""
+    fixed = [
+        (1, [F.lit("# Tax Collection Status Report"),
+             F.lit(f"**Date:** {as_of:%Y-%m-%d %H:%M}\n"),
+             F.lit("## 1. High-Level Summary"),
+             F.concat(F.lit("*   **Total Parcels:** "), F.col("total_parcels").cast("string")),
+             F.concat(F.lit("*   **Total Face Value:** "), text.money_text("total_face_value")),
+             F.concat(F.lit("*   **Total Collected (YTD):** "), text.money_text("total_collected")),
+             F.concat(F.lit("*   **Collection Rate:** "), text.pct_text("collection_rate")),
+             F.lit("## 2. Parcel Status Breakdown")]),
+        (3, [F.lit(""), F.lit("## 3. Revenue by Tax Type"),
+             F.lit("| Tax Type | Parcels Paid | Amount Collected |"), F.lit("| :--- | :---: | :---: |")])]
+    lines = kpis.select(F.inline(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.lit(rank).alias("rank"), line.alias("line"))
+        for section, each in fixed for rank, line in enumerate(each)])))
     status_lines = breakdown.select(
-        (F.lit(100) + F.row_number().over(
-            Window.orderBy(F.desc("parcel_count"), "status")))
-        .alias("line_no"),
+        F.lit(2).alias("section"),
+        F.row_number().over(Window.orderBy(F.desc("parcel_count"), "status")).alias("rank"),
         F.concat(F.lit("*   **"), F.col("status"), F.lit(":** "),
                  F.col("parcel_count").cast("string"), F.lit(" parcels")).alias("line"))
-    mid = kpis.select(F.posexplode(F.array(
-        F.lit(""), F.lit("## 3. Revenue by Tax Type"),
-        F.lit("| Tax Type | Parcels Paid | Amount Collected |"),
-        F.lit("| :--- | :---: | :---: |"))).alias("line_no", "line")) \
-        .withColumn("line_no", F.col("line_no") + 10_000)
     type_lines = by_type.select(
-        (F.lit(20_000) + F.row_number().over(
-            Window.orderBy("tax_type"))).alias("line_no"),
+        F.lit(4).alias("section"), F.row_number().over(Window.orderBy("tax_type")).alias("rank"),
         F.concat(F.lit("| "), F.col("tax_type"), F.lit(" | "),
                  F.col("parcels_paid").cast("string"), F.lit(" | "),
                  text.money_text("collected"), F.lit(" |")).alias("line"))
-    return head.unionByName(status_lines).unionByName(mid).unionByName(type_lines) \
-        .orderBy("line_no")
+    no_types = by_type.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+        F.lit(4).alias("section"), F.lit(1).alias("rank"), F.lit(config.NO_PAYMENTS_LINE).alias("line"))
+    return lines.unionByName(status_lines).unionByName(type_lines).unionByName(no_types) \
+        .orderBy("section", "rank")
 
 
 def dashboard_kpis(parcels: DataFrame, journal: DataFrame) -> DataFrame:
@@ -181,14 +183,48 @@ def deposit_totals(journal: DataFrame, include_rejected: bool = False) -> DataFr
 
 
 def deposit_slip_text(journal: DataFrame, include_rejected: bool = False) -> DataFrame:
-    """Header lines per day (``DEPOSIT SLIP - <day>``, count, total) as text."""
-    t = deposit_totals(journal, include_rejected)
-    day = F.date_format("date_received", "yyyy-MM-dd")
-    return t.select("date_received", F.concat_ws(
-        "\n", F.concat(F.lit("DEPOSIT SLIP - "), day),
+    """The lines of every day's slip: date_received, section, line_id, value.
+
+    Section 1 is the head (``DEPOSIT SLIP - <day>``, count, total, a rule),
+    section 2 the columns' titles, section 3 a line per check in the order of
+    its id.  Columns are right-aligned to the day's widest value.  A day's
+    checks stay rows, so a busy day is no single text.
+    """
+    checks = deposit_slip(journal, include_rejected).select(
+        "date_received", "transaction_id", F.coalesce("check_number", F.lit("None")).alias("check_number"),
+        "amount_paid", "parcel_id")
+    cents = F.col("amount_paid") * 100 % 10 != 0
+    days = checks.groupBy("date_received").agg(
+        F.count(F.lit(1)).alias("check_count"), F.sum("amount_paid").cast(MONEY).alias("total_amount"),
+        F.max(F.length("check_number")).alias("w_check"), F.max(F.length("parcel_id")).alias("w_parcel"),
+        F.max(F.length(F.col("amount_paid").cast("string"))).alias("w_amount"),
+        F.max(cents).alias("cents"))
+    # Amounts show two decimals if any check of the day needs them, else one.
+    days = days.withColumns({
+        "w_check": F.greatest("w_check", F.lit(len("check_number"))),
+        "w_parcel": F.greatest("w_parcel", F.lit(len("parcel_id"))),
+        "w_amount": F.greatest(F.col("w_amount") - F.when(F.col("cents"), 0).otherwise(1),
+                               F.lit(len("amount_paid")))})
+
+    def line(check: F.Column, amount: F.Column, parcel: F.Column) -> F.Column:
+        return F.concat_ws(" ", F.lpad(check, F.col("w_check"), F.lit(" ")),
+                           F.concat(F.lit(" "), F.lpad(amount, F.col("w_amount"), F.lit(" "))),
+                           F.lpad(parcel, F.col("w_parcel"), F.lit(" ")))
+
+    head = F.array(
+        F.concat(F.lit("DEPOSIT SLIP - "), F.date_format("date_received", "yyyy-MM-dd")),
         F.concat(F.lit("Total Count: "), F.col("check_count").cast("string")),
-        F.concat(F.lit("Total Amount: "), text.money_text("total_amount")),
-        F.lit("-" * 30)).alias("value"))
+        F.concat(F.lit("Total Amount: "), text.money_text("total_amount")), F.lit("-" * 30),
+        line(F.lit("check_number"), F.lit("amount_paid"), F.lit("parcel_id")))
+    heads = days.select("date_received", F.posexplode(head).alias("at", "value")).select(
+        "date_received", F.when(F.col("at") < 4, 1).otherwise(2).alias("section"),
+        F.col("at").cast("long").alias("line_id"), "value")
+    paid = F.col("amount_paid").cast("string")
+    shown = F.when(F.col("cents"), paid).otherwise(F.regexp_replace(paid, "0$", ""))
+    lines = checks.join(days.select("date_received", "w_check", "w_amount", "w_parcel", "cents"), "date_received").select(
+        "date_received", F.lit(3).alias("section"), F.col("transaction_id").alias("line_id"),
+        line(F.col("check_number"), shown, F.col("parcel_id")).alias("value"))
+    return heads.unionByName(lines)
 
 
 def mailing_labels(parcels: DataFrame) -> DataFrame:

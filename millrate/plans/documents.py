@@ -98,7 +98,7 @@ def rejection_letters(journal: DataFrame, parcels: DataFrame,
     reason = F.col("notes")
     for prefix in note_prefixes:
         reason = F.when(reason.startswith(prefix),
-                        F.substring(reason, len(prefix) + 1, 1_000_000)).otherwise(reason)
+                        F.substr(reason, F.lit(len(prefix) + 1))).otherwise(reason)
     j = rej.join(parcels.select("parcel_id", "owner_name", "mailing_address", "discount_amount",
                                 "face_tax_amount", "penalty_amount"), "parcel_id", "inner")
     return j.select(

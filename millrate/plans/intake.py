@@ -20,7 +20,8 @@ def ingest_payments(extractions: DataFrame, parcels: DataFrame,
     number is kept and rejected notes start ``Rejected (Ingest): ``.
     """
     parsed = parse_check_extractions(extractions, as_of=as_of).filter(
-        F.col("parse_ok") & (F.col("found_parcel_id") != text.UNKNOWN_PARCEL))
+        F.col("parse_ok") & (F.col("found_parcel_id") != text.UNKNOWN_PARCEL)
+        & F.col("postmark_date").isNotNull())
     attempts = parsed.select(
         F.col("extraction_id").alias("seq"), F.col("found_parcel_id").alias("parcel_id"),
         "amount", F.col("postmark_date").alias("date"), "check_number",
@@ -31,7 +32,8 @@ def ingest_payments(extractions: DataFrame, parcels: DataFrame,
 
 def review_queue(extractions: DataFrame, parcels: DataFrame,
                  as_of: _dt.date | None = None) -> DataFrame:
-    """Extractions a person must confirm: unparsable, no parcel, or unknown parcel."""
+    """Extractions a person must confirm: unparsable, no parcel, unknown parcel, or
+    no date to price by."""
     parsed = parse_check_extractions(extractions, as_of=as_of)
     cols = parsed.columns
     # Rows that cannot name a parcel would all share one join key (NULL or
@@ -44,15 +46,17 @@ def review_queue(extractions: DataFrame, parcels: DataFrame,
     j = keyed.join(known, "_k", "left")
     reason = (F.when(~F.col("parse_ok"), F.lit("UNPARSABLE"))
               .when(F.col("found_parcel_id") == text.UNKNOWN_PARCEL, F.lit("NO_PARCEL_IN_MEMO"))
-              .when(F.col("_on").isNull(), F.lit("PARCEL_NOT_ON_ROLL")))
+              .when(F.col("_on").isNull(), F.lit("PARCEL_NOT_ON_ROLL"))
+              .when(F.col("postmark_date").isNull(), F.lit("NO_POSTMARK_DATE")))
     return j.withColumn("review_reason", reason).filter(F.col("review_reason").isNotNull()) \
         .select(*cols, "review_reason")
 
 
 def duplicate_payments(journal: DataFrame) -> DataFrame:
-    """(parcel, check, amount) groups recorded more than once."""
-    return journal.filter(F.col("check_number").isNotNull()).groupBy(
-        "parcel_id", "check_number", "amount_paid").agg(
+    """(parcel, check, amount, installment) groups of accepted payments recorded more
+    than once.  Cash has no check number to repeat."""
+    checks = journal.filter((F.col("transaction_type") == "PAYMENT") & (F.col("check_number") != "CASH"))
+    return checks.groupBy("parcel_id", "check_number", "amount_paid", "installment_number").agg(
         F.count(F.lit(1)).alias("times_recorded"),
         F.min("transaction_id").alias("first_transaction_id")).filter(
         F.col("times_recorded") > 1)

@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrate import config
 from millrate.functions import rules, text
 from millrate.schemas import MONEY
 
@@ -38,49 +39,48 @@ def installment_schedule(parcels: DataFrame) -> DataFrame:
         .otherwise(F.col("penalty_start")).alias("due_date"))
 
 
-def amount_due(parcels: DataFrame, as_of: _dt.date) -> DataFrame:
-    """Status, period in force and amount due on ``as_of`` for every parcel."""
-    iss = rules.effective_issue_date("bill_issue_date")
+def _due_columns(as_of: _dt.date) -> list[F.Column]:
+    """period_name, amount_due and status_message of a parcel."""
     st = F.col("status")
+    iss = rules.effective_issue_date("bill_issue_date")
     due = rules.amount_due_on(as_of, st, iss)
     period = rules.period_on(as_of, iss)
-    msg = (F.when(st == "PAID", F.lit(
-        "This bill has been PAID IN FULL. No further action is required."))
-        .when(st == "EXONERATED", F.lit("This bill has been EXONERATED. No balance is due."))
-        .when(st == "RETURNED", F.lit(
-            "This bill remains UNPAID and has been RETURNED to the County."))
-        .otherwise(F.concat(F.lit("This bill is currently "), st, F.lit(". We are in the "),
-                            period, F.lit(" period.\nThe total amount due TODAY is "),
-                            text.money_text(due), F.lit("."))))
-    return parcels.select(
-        "parcel_id", "status",
-        F.when(~st.isin("PAID", "EXONERATED", "RETURNED"), period).alias("period_name"),
-        due.cast(MONEY).alias("amount_due"), msg.alias("status_message"))
+    msg = (F.when(st == "PAID", F.lit(config.LOOKUP_PAID))
+           .when(st == "EXONERATED", F.lit(config.LOOKUP_EXONERATED))
+           .when(st == "RETURNED", F.lit(config.LOOKUP_RETURNED))
+           .otherwise(F.concat(F.lit("This bill is currently "), st, F.lit(". We are in the "),
+                               period, F.lit(" period.\nThe total amount due TODAY is "),
+                               text.money_text(due), F.lit("."))))
+    return [F.when(~st.isin("PAID", "EXONERATED", "RETURNED"), period).alias("period_name"),
+            due.cast(MONEY).alias("amount_due"), msg.alias("status_message")]
+
+
+def amount_due(parcels: DataFrame, as_of: _dt.date) -> DataFrame:
+    """Status, period in force and amount due on ``as_of`` for every parcel."""
+    return parcels.select("parcel_id", "status", *_due_columns(as_of))
 
 
-def find_parcel(parcels: DataFrame, term: str) -> DataFrame:
+def find_parcel(parcels: DataFrame, term: str, literal: bool = False) -> DataFrame:
     """First parcel matching an id or a case-insensitive owner-name fragment.
 
-    Exact id wins; then the smallest parcel id.  ``%`` and ``_`` in the
-    term act as wildcards, as in the reference's LIKE.
+    Exact id wins; then the smallest parcel id.  ``%`` and ``_`` in the term act
+    as wildcards, or stand for themselves with ``literal``.
     """
-    hit = parcels.filter((F.col("parcel_id") == F.lit(term))
-                         | F.col("owner_name").ilike(f"%{term}%"))
+    owner = F.col("owner_name")
+    named = F.contains(F.lower(owner), F.lower(F.lit(term))) if literal else owner.ilike(f"%{term}%")
+    hit = parcels.filter((F.col("parcel_id") == F.lit(term)) | named)
     return hit.orderBy(F.when(F.col("parcel_id") == F.lit(term), 0).otherwise(1),
                        "parcel_id").limit(1)
 
 
 def lookup(parcels: DataFrame, term: str, as_of: _dt.date) -> DataFrame:
     """The taxpayer panel of the first match: schedule, installments, amount due."""
-    p = find_parcel(parcels, term)
     iss = rules.effective_issue_date("bill_issue_date")
-    sched = p.select(
+    return find_parcel(parcels, term).select(
         "*", rules.discount_end(iss).alias("discount_end"), rules.face_end(iss).alias("face_end"),
         rules.penalty_start(iss).alias("penalty_start"),
         F.when(F.coalesce("is_installment_plan", F.lit(False)), rules.installment_amount())
-        .alias("installment_amount"))
-    due = amount_due(p, as_of).drop("status")
-    return sched.join(due, "parcel_id", "inner")
+        .alias("installment_amount"), *_due_columns(as_of))
 
 
 def parcel_history(journal: DataFrame, parcels: DataFrame,

@@ -57,15 +57,18 @@ def monthly_summary_rollup(detail: DataFrame,
         F.sum("amount_paid").cast(MONEY).alias("amount"))
 
 
+def rule_rows(shares: dict | None = None, accounts: dict | None = None) -> list[tuple]:
+    """The configured rules: tax type, recipient, share, bank, account."""
+    accounts = accounts or config.BANK_ACCOUNTS
+    return [(t, r, s, *accounts.get(r, (None, None))) for t, r, s in config.distribution_rows(shares)]
+
+
 def distribution_rules(spark: SparkSession, shares: dict | None = None,
                        accounts: dict | None = None) -> DataFrame:
     """(tax_type, recipient, share, bank_name, account_number) — a few rows."""
-    accounts = accounts or config.BANK_ACCOUNTS
-    rows = [(t, r, s, *accounts.get(r, (None, None)))
-            for t, r, s in config.distribution_rows(shares)]
     schema = f"tax_type string, recipient string, share {SHARE.simpleString()}, " \
              "bank_name string, account_number string"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rule_rows(shares, accounts), schema)
 
 
 def remittance_advice(detail: DataFrame, shares: dict | None = None,
@@ -78,11 +81,9 @@ def remittance_advice(detail: DataFrame, shares: dict | None = None,
     shares, a few fixed rows — plus an ``UNALLOCATED`` row for tax types
     without rules and a ``TOTAL COLLECTED`` row, then summed per recipient.
     """
-    accounts = accounts or config.BANK_ACCOUNTS
     by_type: dict[str, list] = {}
-    for tax_type, recipient, share in config.distribution_rows(shares):
-        bank, acct = accounts.get(recipient, (None, None))
-        by_type.setdefault(tax_type, []).append((recipient, share, bank, acct))
+    for tax_type, *rule in rule_rows(shares, accounts):
+        by_type.setdefault(tax_type, []).append(rule)
 
     def slot(recipient: str, share: Decimal, bank, acct) -> F.Column:
         return F.struct(F.lit(recipient).alias("recipient"),

@@ -87,6 +87,7 @@ CHECK_EXTRACTION = T.StructType([
 
 CHANGE_LOG = T.StructType([
     T.StructField("batch_id", T.LongType()),
+    T.StructField("log_seq", T.LongType()),
     T.StructField("timestamp", T.StringType()),
     T.StructField("table_name", T.StringType()),
     T.StructField("record_id", T.StringType()),

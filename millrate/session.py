@@ -1,6 +1,6 @@
 """Session construction and shared scratch locations.
 
-Lineage is cut with ``DataFrame.checkpoint()`` or with tables written under
+Lineage is cut with tables written under
 the cluster's shared ``spark.checkpoint.dir``.  The setting is read from the
 running session; only when it is unset (local tests) is a private directory
 chosen.
@@ -72,14 +72,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) of Hadoop's API: any store that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    target, fs = hadoop_path(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a written table through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, fs = hadoop_path(spark, path)
+    fs.delete(target, True)
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again: column
+    pruning works on it and :func:`drop_table` removes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint directory."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`cut_lineage` wrote."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove_path(df.sparkSession, path)

@@ -10,16 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from millrate.operators.util import range_partitions
 from millrate.plans.collections import TURNOVER_TITLES
 
 
 def write_csv(df: DataFrame, path: str, titles: dict[str, str] | None = None) -> None:
-    """CSV with a header; optional display titles for the columns."""
+    """CSV with a header; optional display titles for the columns.  Quotes inside
+    values are doubled, as Python's csv module and spreadsheets read them."""
     out = df
     if titles:
         out = df.select(*[F.col(c).alias(titles.get(c, c)) for c in df.columns])
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_turnover(df: DataFrame, path: str) -> None:
@@ -54,26 +57,40 @@ def write_ledger(journal: DataFrame, path: str, partitions: int | None = None) -
     """
     staged = journal.withColumn("receipt_month", F.trunc("date_received", "MM"))
     keys = ("receipt_month", "parcel_id")
-    staged = staged.repartitionByRange(partitions, *keys) if partitions else \
-        staged.repartitionByRange(*keys)
+    staged = staged.repartitionByRange(partitions or range_partitions(journal), *keys)
     (staged
      .sortWithinPartitions("receipt_month", "parcel_id", "transaction_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("receipt_month").parquet(path))
 
 
+def turnover_schema(df: DataFrame) -> StructType:
+    """Types of a written lien list, under its titles."""
+    return StructType([StructField(t, df.schema[c].dataType) for c, t in TURNOVER_TITLES.items()])
+
+
 def close_month_partitions(spark: SparkSession, journal_path: str, closures: DataFrame,
                            out_path: str) -> int:
     """Month close on stored data: read only the closed months (partition
-    pruning), set ``is_closed`` and write those months to a new version
-    folder ``out_path``; the path being read is never overwritten.
+    pruning), set ``is_closed`` and write those months to a new version folder
+    ``out_path``; the path being read is never overwritten.
+    :func:`read_version` reads both as one ledger.
 
-    Returns the number of month partitions written.
+    Returns the number of rows newly closed.
     """
     months = [r["m"] for r in closures.select(
         F.make_date("year", "month", F.lit(1)).alias("m")).distinct().collect()]
-    if not months:
-        return 0
     part = spark.read.parquet(journal_path).filter(F.col("receipt_month").isin(months))
     write_ledger(part.withColumn("is_closed", F.lit(True)), out_path)
-    return len(months)
+    return part.filter(~F.col("is_closed")).count()
+
+
+def read_version(spark: SparkSession, base_path: str, *version_paths: str) -> DataFrame:
+    """A ledger with its versions: a month is read from the last folder that has
+    it.  Months are folders, so only their names are compared."""
+    out = spark.read.parquet(base_path)
+    for path in version_paths:
+        newer = spark.read.schema(out.schema).parquet(path)
+        months = [r["receipt_month"] for r in newer.select("receipt_month").distinct().collect()]
+        out = out.filter(~F.col("receipt_month").isin(months)).unionByName(newer)
+    return out

@@ -1,8 +1,9 @@
 """Check extractions (S3): model-produced JSON text about a check.
 
 Code fences are stripped with a regular expression and the text is parsed
-with ``from_json`` against a fixed schema; malformed text yields a row
-flagged ``parse_ok = false`` instead of failing the job.
+with ``from_json`` against a fixed schema; malformed text, an amount that is no
+money and a date that is no date yield a row flagged ``parse_ok = false``
+instead of failing the job.
 
 The cleaned text and the parsed struct are each produced by a one-row
 ``inline`` generator.  Catalyst does not inline generator output into
@@ -32,25 +33,25 @@ def parse_check_extractions(df: DataFrame, text_col: str = "raw_text",
     """Parsed fields, a parse flag and the parcel id found in the memo.
 
     A missing ``postmark_date`` means "today" for the model, so it becomes
-    ``as_of`` when given.
+    ``as_of`` when given, and stays NULL otherwise.
     """
     keep = [c for c in df.columns if c != text_col]
     unfenced = F.regexp_replace(F.regexp_replace(F.col(text_col), "```json", ""), "```", "")
     staged = _once(df, F.regexp_replace(unfenced, r"^\s+|\s+$", ""), "_clean")
     staged = _once(staged, F.from_json("_clean", CHECK_EXTRACTION, {"mode": "PERMISSIVE"}), "_p")
     cleaned = F.col("_clean")
+    dated = F.try_to_date(F.col("_p.postmark_date"), "yyyy-MM-dd")
     ok = (F.col("_p").isNotNull() & cleaned.startswith("{") & cleaned.endswith("}")
-          & F.col("_p.amount").isNotNull())
+          & F.col("_p.amount").try_cast(MONEY).isNotNull()
+          & (F.col("_p.postmark_date").isNull() | dated.isNotNull()))
     staged = staged.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
     ok = F.col("parse_ok")
-    pm = F.to_date(F.col("_p.postmark_date"), "yyyy-MM-dd")
-    if as_of is not None:
-        pm = F.coalesce(pm, F.lit(as_of))
+    pm = dated if as_of is None else F.coalesce(dated, F.lit(as_of))
     memo = F.when(ok, F.col("_p.memo"))
     return staged.select(
         *keep,
         F.when(ok, F.col("_p.check_number")).alias("check_number"),
-        F.when(ok, F.col("_p.amount").cast(MONEY)).alias("amount"),
+        F.when(ok, F.col("_p.amount").try_cast(MONEY)).alias("amount"),
         F.when(ok, pm).alias("postmark_date"),
         F.when(ok, F.col("_p.payer_name")).alias("payer_name"),
         F.when(ok, F.col("_p.payer_address")).alias("payer_address"),

@@ -65,6 +65,8 @@ def attempts_from_lineitem(spark: SparkSession, sf_dir: str, roll: DataFrame) ->
     # Line numbers repeat within an order; the full row orders them.  The
     # position within the order is a running count over a range
     # partitioning, so even an order holding a third of all lines is split.
+    # Ids leave room for 499 lines an order beside its commands' ids; more
+    # lines fail the build instead of meeting another order's ids.
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
              "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     li = running_sum(li.withColumn("_one", F.lit(1)), "l_orderkey", order, "_one", "rn") \
@@ -88,8 +90,10 @@ def attempts_from_lineitem(spark: SparkSession, sf_dir: str, roll: DataFrame) ->
               .when(k == 3, asked + F.lit(Decimal("10")))
               .when(k.isin(4, 5, 7), third)
               .otherwise(F.round(third * F.lit(Decimal("1.10")), 2))).cast(MONEY)
+    full = F.raise_error(F.concat(F.lit("over 499 lines in order "), F.col("l_orderkey").cast("string")))
     return j.select(
-        (F.col("l_orderkey") * 1000 + F.col("rn")).alias("seq"),
+        (F.col("l_orderkey") * 1000 + F.when(F.col("rn") < 500, F.col("rn")).otherwise(full.cast("long")))
+        .alias("seq"),
         "parcel_id",
         amount.alias("amount"),
         date.alias("date"),
@@ -146,19 +150,22 @@ def orphan_attempts(attempts: DataFrame) -> DataFrame:
 
 
 def check_extraction_texts(attempts: DataFrame) -> DataFrame:
-    """Model-output JSON text per check attempt (fenced, memo-less or cut)."""
+    """Model-output JSON text per check attempt: fenced, memo-less or cut, with
+    other date formats, without a date, with huge amounts, or no JSON at all."""
     a = attempts.filter(F.col("check_number") != "CASH")
     memo = F.concat(F.lit("2025 tax "), F.col("parcel_id"))
     body = F.to_json(F.struct(
         F.col("check_number"),
-        F.col("amount").cast("double").alias("amount"),
-        F.date_format("date", "yyyy-MM-dd").alias("postmark_date"),
+        F.when(F.col("seq") % 19 == 0, F.lit(1e30)).otherwise(F.col("amount").cast("double")).alias("amount"),
+        F.when(F.col("seq") % 23 != 0, F.when(F.col("seq") % 17 == 0, F.date_format("date", "MMMM d, yyyy"))
+               .otherwise(F.date_format("date", "yyyy-MM-dd"))).alias("postmark_date"),
         F.lit("Payer of record").alias("payer_name"),
         F.lit("On file").alias("payer_address"),
         F.when(F.col("seq") % 11 != 0, memo).alias("memo"),
     ))
     body = F.when(F.col("seq") % 13 == 0,
                   F.substring(body, 1, (F.length(body) / 2).cast("int"))).otherwise(body)
+    body = F.when(F.col("seq") % 29 == 0, F.lit("I can't read this check.")).otherwise(body)
     text = F.when(F.col("seq") % 2 == 0,
                   F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     return a.select(F.col("seq").alias("extraction_id"), text.alias("raw_text"))

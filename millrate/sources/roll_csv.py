@@ -52,7 +52,8 @@ def parse_roll(raw: DataFrame, default_issue: _dt.date | None = None) -> DataFra
         "bill_issue_date": opt("bill_issue_date", F.lit(default_issue.isoformat())),
         "is_installment_plan": opt("is_installment_plan", F.lit("0")),
     }
-    staged = raw.select(*[v.alias(f"__{k}") for k, v in cols.items()])
+    position = [c for c in ("_file", "_at") if c in raw.columns]
+    staged = raw.select(*[v.alias(f"__{k}") for k, v in cols.items()], *position)
     date_txt = F.col("__bill_issue_date")
     date_ok = date_txt.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
     inst_txt = F.col("__is_installment_plan")
@@ -66,7 +67,7 @@ def parse_roll(raw: DataFrame, default_issue: _dt.date | None = None) -> DataFra
         F.lit(False).alias("is_interim"),
         F.lit("UNPAID").alias("status"),
         *[F.col(f"__{m}").alias(f"_raw_{m}") for m in _MONEY_COLS],
-        date_txt.alias("_raw_date"), inst_txt.alias("_raw_inst"),
+        date_txt.alias("_raw_date"), inst_txt.alias("_raw_inst"), *position,
     )
     bad = (F.col("parcel_id").isNull() | F.col("bill_issue_date").isNull()
            | F.col("is_installment_plan").isNull())
@@ -74,17 +75,30 @@ def parse_roll(raw: DataFrame, default_issue: _dt.date | None = None) -> DataFra
         bad = bad | (F.col(f"_raw_{m}").isNotNull() & F.col(m).isNull())
     for m in ("assessment_value", "face_tax_amount", "discount_amount", "penalty_amount"):
         bad = bad | F.col(m).isNull()
+    if "_file" in raw.columns:
+        # A quoted CSV file is read by one task in order; files follow their names.
+        out = out.withColumn("row_no", F.struct(F.col("_file"), F.col("_at")))
+        return out.withColumn("_bad", bad).select(*PARCEL_COLUMNS, "row_no", "_bad")
     return out.withColumn("_bad", bad).select(*PARCEL_COLUMNS, "_bad")
 
 
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV as Python's csv module reads it: doubled quotes, and line ends inside
+    quotes.  All columns are strings."""
+    return (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+            .option("multiLine", True).csv(path))
+
+
 def read_roll(spark: SparkSession, path: str, default_issue: _dt.date | None = None,
               on_bad: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Read a county roll CSV into the roll schema.
+    """Read a county roll CSV into the roll schema, with ``row_no``, the order of
+    rows in the file (and of files by name), which :func:`upsert_parcels` takes.
 
     ``on_bad="fail"``: any unparsable row aborts the load (one aggregate).
     ``on_bad="split"``: returns (good rows, bad rows).
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = _read_csv(spark, path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     parsed = parse_roll(raw, default_issue)
     if on_bad == "split":
         return (parsed.filter(~F.col("_bad")).drop("_bad"),
@@ -97,7 +111,7 @@ def read_roll(spark: SparkSession, path: str, default_issue: _dt.date | None = N
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Name/Address label CSV; missing Name is 'Resident', missing Address ''."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = _read_csv(spark, path)
     name = F.col("Name") if "Name" in raw.columns else F.lit(None).cast("string")
     addr = F.col("Address") if "Address" in raw.columns else F.lit(None).cast("string")
     return raw.select(F.coalesce(name, F.lit("Resident")).alias("name"),

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from millrate.functions import rules
 from millrate.operators import posting
 from millrate.operators.status import parcel_status
+from millrate.operators.util import range_partitions
 from millrate.schemas import JOURNAL_COLUMNS, PARCEL_COLUMNS
-from millrate.session import cut_lineage, scratch_path
+from millrate.session import cut_lineage, drop_table, hadoop_path, path_bytes, scratch_path
 from millrate.sources import fixtures
 
 
@@ -73,9 +74,7 @@ def write_journal(df: DataFrame, path: str, partitions: int | None = None) -> No
     """
     keys = ("receipt_month", "parcel_id")
     staged = df.withColumn("receipt_month", rules.month_start("date_received"))
-    # Without an explicit count AQE sizes the range partitions by bytes.
-    staged = staged.repartitionByRange(partitions, *keys) if partitions else \
-        staged.repartitionByRange(*keys)
+    staged = staged.repartitionByRange(partitions or range_partitions(df), *keys)
     (staged
      .sortWithinPartitions("receipt_month", "parcel_id", "transaction_id")
      .write.mode("overwrite").partitionBy("receipt_month").parquet(path))
@@ -85,8 +84,7 @@ def write_roll(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Roll layout: range-partitioned and sorted on ``parcel_id``, so each
     file covers a narrow id range and point lookups skip files by their
     statistics."""
-    ranged = df.repartitionByRange(partitions, "parcel_id") if partitions else \
-        df.repartitionByRange("parcel_id")
+    ranged = df.repartitionByRange(partitions or range_partitions(df), "parcel_id")
     ranged.sortWithinPartitions("parcel_id").write.mode("overwrite").parquet(path)
 
 
@@ -94,14 +92,21 @@ _TABLES = ("roll", "attempts", "journal", "parcels")
 _SOURCE_TABLES = ("orders", "customer", "lineitem")
 
 
-def _fingerprint(sf_dir: str) -> str:
-    """Inputs (file sizes and times) plus the code that derives the ledger."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Inputs (path, length and time of every file, listed through the file
+    system that holds them) plus the code that derives the ledger."""
+    h = hashlib.sha1()
     for name in _SOURCE_TABLES:
-        st = os.stat(f"{sf_dir}/{name}.parquet")
-        h.update(f"{name}:{st.st_size}:{st.st_mtime_ns}".encode())
+        target, fs = hadoop_path(spark, f"{sf_dir}/{name}.parquet")
+        found, listed = [], fs.listFiles(target, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append(f"{f.getPath().toString()}:{f.getLen()}:{f.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for root, _dirs, files in sorted(os.walk(pkg)):
+    for root, dirs, files in sorted(os.walk(pkg)):
+        if os.path.basename(root) == "llm":
+            continue  # no part of the ledger
         for f in sorted(files):
             if f.endswith(".py"):
                 with open(os.path.join(root, f), "rb") as fh:
@@ -118,17 +123,10 @@ def write_partitions(spark: SparkSession, sf_dir: str) -> int:
     files stay a sensible size at 100 TB)."""
     total = 0
     for name in _SOURCE_TABLES:
-        p, fs = _hadoop_path(spark, f"{sf_dir}/{name}.parquet")
-        total += fs.getContentSummary(p).getLength()
+        total += path_bytes(spark, f"{sf_dir}/{name}.parquet")
     return max(spark.sparkContext.defaultParallelism, math.ceil(total / _TARGET_PARTITION_BYTES))
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _shared_base(spark: SparkSession) -> str | None:
     base = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -143,17 +141,18 @@ def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Ledger
     rebuilt (a ``_COMPLETE`` marker is written last, so a failed build is
     never reused).
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    mark = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, mark)
     if reuse and key in _CACHE:
         known = _CACHE[key]
         if known.spark is spark:
             return known
         # Same application, another session: reuse the written tables.
         return Ledger(spark, sf_dir, known.paths)
-    shared = _shared_base(spark) if reuse and os.path.isdir(sf_dir) else None
+    shared = _shared_base(spark) if reuse else None
     if shared:
-        root = f"{shared}/millrate-ledger-{_fingerprint(sf_dir)}"
-        marker, fs = _hadoop_path(spark, f"{root}/_COMPLETE")
+        root = f"{shared}/millrate-ledger-{mark}"
+        marker, fs = hadoop_path(spark, f"{root}/_COMPLETE")
         paths = {name: f"{root}/{name}" for name in _TABLES}
         if fs.exists(marker):
             ledger = Ledger(spark, sf_dir, dict(paths))
@@ -180,8 +179,11 @@ def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Ledger
     exon_rows = posting.exonerate(fixtures.exoneration_requests(roll, posted))
     journal0 = posted.unionByName(nsf_rows).unionByName(exon_rows)
     closures = fixtures.january_closures(journal0)
-    journal = posting.close_month(journal0, closures).select(*JOURNAL_COLUMNS)
+    # Written once: the range partitioning reads its input twice.
+    journal = cut_lineage(posting.close_month(journal0, closures).select(*JOURNAL_COLUMNS))
     write_journal(journal, paths["journal"], n)
+    drop_table(journal)
+    drop_table(posted)
     journal = spark.read.parquet(paths["journal"])
 
     write_roll(parcel_status(roll, journal).select(*PARCEL_COLUMNS), paths["parcels"], n)

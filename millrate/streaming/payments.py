@@ -1,12 +1,14 @@
 """Structured Streaming intake of payment attempts (W1) and duplicate
 suppression (W2).
 
-W1 validates each micro-batch with the same column rules as the batch
-path (stream-static join to the roll), then in ``foreachBatch`` re-reads
-the month-lock table — it changes between batches, so it is never cached in
-the stream plan — and appends allowed rows to the journal and refused rows
-to a side output.  Both sinks are idempotent per batch id (a replayed batch
-overwrites its own directory), so a restarted query does not duplicate.
+W1 handles each micro-batch in ``foreachBatch`` with the batch path's own
+functions: it validates against the roll, re-reads the month-lock table — it
+changes between batches — and writes allowed rows to the journal, refused rows
+and attempts for unknown parcels to outputs of their own.  All sinks are
+idempotent per batch id (a replayed batch overwrites its own directory), so a
+restarted query does not duplicate.
+
+W2 keeps the keys seen in a RocksDB state store on the executors' disks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrate import config
 from millrate.operators import posting
 from millrate.schemas import ATTEMPTS, JOURNAL_COLUMNS
 
@@ -32,54 +33,61 @@ def read_attempt_stream(spark: SparkSession, path: str,
 
 def stream_payments(spark: SparkSession, attempts_path: str, parcels: DataFrame,
                     lock_table: Callable[[], DataFrame], journal_sink: str,
-                    refused_sink: str, checkpoint: str,
-                    default_issue: _dt.date | None = None) -> None:
+                    refused_sink: str, unknown_sink: str, checkpoint: str,
+                    default_issue: _dt.date | None = None,
+                    max_files_per_trigger: int | None = None) -> None:
     """Run the intake stream over everything available now, then stop.
 
-    ``lock_table`` returns the current locked months (column ``lock_month``,
-    one row per month); it is called afresh for every micro-batch.
+    ``lock_table`` returns the current locked months (column ``lock_month``);
+    it is called afresh for every micro-batch.  Accepted, rejected, refused
+    and unknown rows add up to the attempts.
     """
-    stream = read_attempt_stream(spark, attempts_path)
-    rows = posting.post_payments(stream, parcels, default_issue)
-
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # The batch feeds two writes and the lock table is re-read per batch:
-        # both are held only for this batch and released afterwards.
-        batch = batch.persist()
-        locks = lock_table().select("lock_month").cache()
+        # Posted rows feed two writes: held for this batch only.
+        posted = posting.post_payments(batch, parcels, default_issue).persist()
         try:
-            hinted = F.broadcast(locks) if locks.count() <= config.BROADCAST_ROW_LIMIT else locks
-            allowed, refused = posting.split_by_lock_table(
-                batch, hinted, date_col="date_received", type_col="transaction_type",
-                checked=True)
+            allowed, refused = posting.split_by_lock_table(posted, lock_table())
             allowed.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
                 f"{journal_sink}/batch={batch_id}")
             refused.select(*JOURNAL_COLUMNS).write.mode("overwrite").parquet(
                 f"{refused_sink}/batch={batch_id}")
+            posting.unknown_parcels(batch, parcels).write.mode("overwrite").parquet(
+                f"{unknown_sink}/batch={batch_id}")
         finally:
-            locks.unpersist()
-            batch.unpersist()
+            posted.unpersist()
 
-    q = (rows.writeStream.foreachBatch(per_batch)
+    q = (read_attempt_stream(spark, attempts_path, max_files_per_trigger)
+         .writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_dedupe(spark: SparkSession, attempts_path: str, sink: str, checkpoint: str,
-                  delay: str = "400 days",
                   max_files_per_trigger: int | None = None) -> None:
-    """Drop repeated (parcel, check, amount) attempts within the watermark.
+    """Drop repeated attempts, whatever their dates and order of arrival.
 
-    Event time is the postmark date.  Keys are held in state until the
-    watermark passes their first event time plus ``delay``; the default
-    spans more than the whole payment window of one bill.
+    A check repeats if parcel, check number, amount and installment are those of
+    an earlier row.  Cash has no number of its own, so only a row with the same
+    ``seq`` (sent twice) is a repeat.  The key of every different attempt stays
+    in state, in RocksDB.
     """
     stream = read_attempt_stream(spark, attempts_path, max_files_per_trigger)
-    keyed = stream.withColumn("event_time", F.col("date").cast("timestamp"))
-    deduped = (keyed.withWatermark("event_time", delay)
-               .dropDuplicatesWithinWatermark(["parcel_id", "check_number", "amount"]))
-    q = (deduped.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    keyed = stream.withColumn("cash_seq", F.when(F.col("check_number") == "CASH", F.col("seq")))
+    deduped = keyed.dropDuplicates(["parcel_id", "check_number", "amount", "installment_num", "cash_seq"])
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        q = (deduped.drop("cash_seq").writeStream.format("parquet").option("path", sink)
+             .option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE)
+        else:
+            spark.conf.set(_STATE_STORE, before)

@@ -338,12 +338,17 @@ ORACLE["month_lock_refused"] = q(_LOCKS, f"""SELECT {cols(JCOLS)} FROM posted
   WHERE transaction_type <> 'REJECTED_PAYMENT'
     AND CAST(date_trunc('month', date_received) AS DATE) IN (SELECT lock_month FROM locks)""",
                                  JMONEY)
+# The stream's attempts name an unknown parcel in every 991st row.
+_LOCKED = "CAST(date_trunc('month', date_received) AS DATE) IN (SELECT lock_month FROM locks)"
 ORACLE["stream_payments"] = q(_LOCKS, f"""SELECT {cols(JCOLS)} FROM posted
-  WHERE transaction_type = 'REJECTED_PAYMENT'
-     OR CAST(date_trunc('month', date_received) AS DATE) NOT IN (SELECT lock_month FROM locks)""",
+  WHERE transaction_id % 991 <> 0 AND (transaction_type = 'REJECTED_PAYMENT' OR NOT {_LOCKED})""",
                               JMONEY)
-ORACLE["stream_dedupe"] = q("", "SELECT DISTINCT parcel_id, check_number, amount FROM attempts",
-                            ["amount"])
+ORACLE["stream_refused"] = q(_LOCKS, f"""SELECT {cols(JCOLS)} FROM posted
+  WHERE transaction_id % 991 <> 0 AND transaction_type <> 'REJECTED_PAYMENT' AND {_LOCKED}""", JMONEY)
+ORACLE["stream_unknown"] = q("", """SELECT seq, 'X-' || CAST(seq AS VARCHAR) AS parcel_id, amount, date,
+  check_number, installment_num FROM attempts WHERE seq % 991 = 0""", ["amount"])
+ORACLE["stream_dedupe"] = q("", """SELECT DISTINCT parcel_id, check_number, amount, installment_num,
+  CASE WHEN check_number = 'CASH' THEN seq END AS cash_seq FROM attempts""", ["amount"])
 ORACLE["parcel_status"] = q("", "SELECT parcel_id, status, net_paid, exonerated FROM parcels",
                             ["net_paid", "exonerated"])
 ORACLE["parcel_status_literal"] = q("", "SELECT parcel_id, status_lit AS status FROM parcels_lit")
@@ -360,7 +365,8 @@ ORACLE["running_balance"] = q("", """SELECT j.transaction_id, j.parcel_id, j.dat
 
 
 def _upsert(literal):
-    revised = {"owner_name": "upper(owner_name)",
+    revised = {"owner_name": "CASE WHEN okey % 12 = 0 THEN upper(owner_name) || ', \"Jr\"' || chr(10) || 'Estate' "
+                             "ELSE upper(owner_name) END",
                "face_tax_amount": "CAST(face_tax_amount + 1 AS DECIMAL(18,2))",
                "is_interim": "false" if literal else "is_interim",
                "status": "'UNPAID'" if literal else "status"}
@@ -657,12 +663,14 @@ rj2 AS (SELECT *, CASE WHEN contains(upper(reason), 'UNDERPAYMENT') THEN 'A'
   FROM rj2 r JOIN parcels p ON p.parcel_id = r.parcel_id""",
                                 ["attempted_amount", "discount_amount", "face_tax_amount", "penalty_amount"])
 
-_EXT = ",\n" + """ext AS (SELECT seq AS extraction_id, seq % 13 <> 0 AS ok, seq % 11 <> 0 AS has_memo, *
+_EXT = ",\n" + """ext AS (SELECT seq AS extraction_id, seq % 11 <> 0 AS has_memo, *,
+    -- cut off, no JSON, an amount beyond any money, and a date in words
+    NOT (seq % 13 = 0 OR seq % 29 = 0 OR seq % 19 = 0 OR (seq % 17 = 0 AND seq % 23 <> 0)) AS ok
   FROM attempts WHERE check_number <> 'CASH'),
 ext_p AS (SELECT extraction_id,
     CASE WHEN ok THEN check_number END AS check_number,
     CASE WHEN ok THEN CAST(CAST(amount AS DOUBLE) AS DECIMAL(18,2)) END AS amount,
-    CASE WHEN ok THEN date END AS postmark_date,
+    CASE WHEN ok THEN (CASE WHEN seq % 23 = 0 THEN """ + AS_OF + """ ELSE date END) END AS postmark_date,
     CASE WHEN ok THEN 'Payer of record' END AS payer_name,
     CASE WHEN ok THEN 'On file' END AS payer_address,
     CASE WHEN ok AND has_memo THEN '2025 tax ' || parcel_id END AS memo,
@@ -683,14 +691,17 @@ ORACLE["review_queue"] = q(_EXT, """SELECT *, CASE WHEN NOT parse_ok THEN 'UNPAR
     ELSE 'PARCEL_NOT_ON_ROLL' END AS review_reason
   FROM ext_p WHERE NOT parse_ok OR found_parcel_id = 'UNKNOWN (Please Enter)'
     OR found_parcel_id NOT IN (SELECT parcel_id FROM roll)""", ["amount"])
-ORACLE["duplicate_payments"] = q("", """SELECT parcel_id, check_number, amount_paid,
+# Of accepted payments only, told apart by installment; cash repeats no check.
+ORACLE["duplicate_payments"] = q("", """SELECT parcel_id, check_number, amount_paid, installment_number,
   count(*) AS times_recorded, min(transaction_id) AS first_transaction_id
-  FROM journal WHERE check_number IS NOT NULL GROUP BY parcel_id, check_number, amount_paid
+  FROM journal WHERE transaction_type = 'PAYMENT' AND payment_method = 'CHECK'
+  GROUP BY parcel_id, check_number, amount_paid, installment_number
   HAVING count(*) > 1""", ["amount_paid"])
 
 
 def _diff(field):
-    return f"""SELECT CAST(1 AS BIGINT) AS batch_id, '{RUN_TS}' AS timestamp, 'tax_duplicate' AS table_name,
+    return f"""SELECT CAST(1 AS BIGINT) AS batch_id, CAST(NULL AS BIGINT) AS log_seq, '{RUN_TS}' AS timestamp,
+  'tax_duplicate' AS table_name,
   b.parcel_id AS record_id, '{field}' AS field_name, COALESCE(b.{field}, 'None') AS old_value,
   COALESCE(a.{field}, 'None') AS new_value, 'UPDATE' AS action_type, 'CLI' AS user_context
   FROM roll b JOIN after a ON a.parcel_id = b.parcel_id WHERE b.{field} IS DISTINCT FROM a.{field}"""
@@ -699,7 +710,7 @@ def _diff(field):
 _CHANGE = _AFTER + ",\nchlog AS (" + "\nUNION ALL\n".join(
     _diff(f) for f in ("status", "owner_name", "mailing_address")) + f"""
 UNION ALL
-SELECT CAST(1 AS BIGINT), '{RUN_TS}', 'transactions', CAST(transaction_id AS VARCHAR), 'amount_paid',
+SELECT CAST(1 AS BIGINT), transaction_id, '{RUN_TS}', 'transactions', CAST(transaction_id AS VARCHAR), 'amount_paid',
   '0.00', {dbl('amount_paid')}, 'INSERT', 'CLI' FROM journal)"""
 ORACLE["change_log"] = q(_CHANGE, "SELECT * FROM chlog")
 
@@ -711,8 +722,8 @@ def _dash(x):
 ORACLE["audit_tail"] = q(_CHANGE, f"""SELECT batch_id, replace(substr(timestamp, 1, 19), 'T', ' ') AS time,
   table_name, record_id, action_type, {_dash('field_name')} AS field, {_dash('old_value')} AS old,
   {_dash('new_value')} AS new FROM chlog
-  ORDER BY batch_id DESC, table_name DESC, record_id DESC, field_name DESC LIMIT 20""")
-ORACLE["system_events"] = q(",\n" + """yrs AS (SELECT DISTINCT CAST(year(date_received) AS INTEGER) AS year FROM journal),
+  ORDER BY batch_id DESC, log_seq DESC NULLS LAST, table_name DESC, record_id DESC, field_name DESC LIMIT 20""")
+ORACLE["system_events"] = q(_REQ + ",\n" + """yrs AS (SELECT DISTINCT CAST(year(date_received) AS INTEGER) AS year FROM journal),
 jan AS (SELECT CAST(year(date_received) AS INTEGER) AS year, count(*) AS n FROM journal
         WHERE month(date_received) = 1 GROUP BY 1)""", f"""SELECT '{RUN_TS}' AS timestamp, 'TRANSACTION' AS action,
   'Added transaction for ' || parcel_id || ': ' || {dbl('amount_paid')} AS details,
@@ -723,17 +734,40 @@ SELECT '{RUN_TS}', 'NSF_REVERSAL', 'Reversed transaction ' || CAST(reversed_tran
 UNION ALL
 SELECT '{RUN_TS}', 'CLOSE_MONTH',
   'Closed ' || CAST(COALESCE(j.n, 0) AS VARCHAR) || ' transactions for 1/' || CAST(y.year AS VARCHAR),
-  strftime(make_date(y.year, 1, 1), '%Y-%m') FROM yrs y LEFT JOIN jan j ON j.year = y.year""")
+  strftime(make_date(y.year, 1, 1), '%Y-%m') FROM yrs y LEFT JOIN jan j ON j.year = y.year
+UNION ALL
+SELECT '{RUN_TS}', 'UPDATE_PARCEL', 'Updated info for ' || parcel_id, parcel_id FROM parcels
+  WHERE okey % 13 = 0 AND (okey % 2 = 0 OR okey % 3 = 0)
+UNION ALL
+SELECT '{RUN_TS}', 'ADD_INTERIM', 'Added Interim Parcel ' || parcel_id, parcel_id FROM req
+  WHERE parcel_id NOT IN (SELECT parcel_id FROM parcels)""")
 
 ORACLE["labels_csv"] = q("", """SELECT COALESCE(owner_name, 'Resident') AS name,
   COALESCE(mailing_address, '') AS address FROM parcels""")
-ORACLE["deposit_slip_text"] = q("", f"""SELECT date_received, concat_ws({NL},
-    'DEPOSIT SLIP - ' || strftime(date_received, '%Y-%m-%d'),
-    'Total Count: ' || CAST(count(*) AS VARCHAR),
-    'Total Amount: ' || {money_txt('SUM(amount_paid)')},
-    '{"-" * 30}') AS value
-  FROM journal WHERE payment_method = 'CHECK' AND transaction_type <> 'REJECTED_PAYMENT'
-  GROUP BY date_received""")
+# The printed table: right-aligned columns, amounts with as many decimals as the
+# day needs (one at least), two spaces before amounts.
+ORACLE["deposit_slip_text"] = q(",\n" + """chk AS (
+  SELECT date_received, transaction_id, check_number, amount_paid, parcel_id FROM journal
+  WHERE payment_method = 'CHECK' AND transaction_type <> 'REJECTED_PAYMENT'),
+day AS (SELECT date_received, count(*) AS n, SUM(amount_paid) AS total,
+    bool_or(CAST(amount_paid * 100 AS BIGINT) % 10 <> 0) AS two,
+    greatest(12, max(length(check_number))) AS wc, greatest(9, max(length(parcel_id))) AS wp
+  FROM chk GROUP BY date_received),
+shown AS (SELECT c.*, d.wc, d.wp, CASE WHEN d.two THEN CAST(amount_paid AS VARCHAR)
+    ELSE regexp_replace(CAST(amount_paid AS VARCHAR), '0$', '') END AS amt
+  FROM chk c JOIN day d ON d.date_received = c.date_received),
+wide AS (SELECT date_received, greatest(11, max(length(amt))) AS wa FROM shown GROUP BY date_received)""",
+    f"""SELECT date_received, CAST(section AS INTEGER) AS section, CAST(line_id AS BIGINT) AS line_id, value FROM (
+  SELECT date_received, 1 AS section, 0 AS line_id, 'DEPOSIT SLIP - ' || strftime(date_received, '%Y-%m-%d') AS value FROM day
+  UNION ALL SELECT date_received, 1, 1, 'Total Count: ' || CAST(n AS VARCHAR) FROM day
+  UNION ALL SELECT date_received, 1, 2, 'Total Amount: ' || {money_txt('total')} FROM day
+  UNION ALL SELECT date_received, 1, 3, '{"-" * 30}' FROM day
+  UNION ALL SELECT d.date_received, 2, 4, lpad('check_number', CAST(wc AS INTEGER), ' ') || '  '
+    || lpad('amount_paid', CAST(wa AS INTEGER), ' ') || ' ' || lpad('parcel_id', CAST(wp AS INTEGER), ' ')
+    FROM day d JOIN wide w ON w.date_received = d.date_received
+  UNION ALL SELECT s.date_received, 3, transaction_id, lpad(check_number, CAST(wc AS INTEGER), ' ') || '  '
+    || lpad(amt, CAST(wa AS INTEGER), ' ') || ' ' || lpad(parcel_id, CAST(wp AS INTEGER), ' ')
+    FROM shown s JOIN wide w ON w.date_received = s.date_received) slips""")
 _KPI = ",\n" + """k AS (SELECT
     (SELECT count(*) FROM parcels) AS total_parcels,
     (SELECT CAST(COALESCE(SUM(face_tax_amount), 0) AS DECIMAL(18,2)) FROM parcels) AS face,
@@ -744,21 +778,85 @@ tt AS (SELECT p.tax_type, CAST(SUM(j.amount_paid) AS DECIMAL(18,2)) AS collected
        FROM journal j JOIN parcels p ON p.parcel_id = j.parcel_id
        WHERE j.transaction_type = 'PAYMENT' GROUP BY p.tax_type)"""
 _RATE_K = _RATE.format(c="collected", f="face")
-ORACLE["status_report_lines"] = q(_KPI, f"""SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
-  SELECT 0 AS line_no, '# Tax Collection Status Report' AS line
-  UNION ALL SELECT 1, '**Date:** 2025-07-01 09:30' || {NL}
-  UNION ALL SELECT 2, '## 1. High-Level Summary'
-  UNION ALL SELECT 3, '*   **Total Parcels:** ' || CAST(total_parcels AS VARCHAR) FROM k
-  UNION ALL SELECT 4, '*   **Total Face Value:** ' || {money_txt('face')} FROM k
-  UNION ALL SELECT 5, '*   **Total Collected (YTD):** ' || {money_txt('collected')} FROM k
-  UNION ALL SELECT 6, '*   **Collection Rate:** ' || printf('%.1f', {_RATE_K}) || '%' FROM k
-  UNION ALL SELECT 7, '## 2. Parcel Status Breakdown'
-  UNION ALL SELECT 100 + row_number() OVER (ORDER BY n DESC, status),
+ORACLE["status_report_lines"] = q(_KPI, f"""SELECT CAST(section AS INTEGER) AS section,
+  CAST(rank AS INTEGER) AS rank, line FROM (
+  SELECT 1 AS section, 0 AS rank, '# Tax Collection Status Report' AS line
+  UNION ALL SELECT 1, 1, '**Date:** 2025-07-01 09:30' || {NL}
+  UNION ALL SELECT 1, 2, '## 1. High-Level Summary'
+  UNION ALL SELECT 1, 3, '*   **Total Parcels:** ' || CAST(total_parcels AS VARCHAR) FROM k
+  UNION ALL SELECT 1, 4, '*   **Total Face Value:** ' || {money_txt('face')} FROM k
+  UNION ALL SELECT 1, 5, '*   **Total Collected (YTD):** ' || {money_txt('collected')} FROM k
+  UNION ALL SELECT 1, 6, '*   **Collection Rate:** ' || printf('%.1f', {_RATE_K}) || '%' FROM k
+  UNION ALL SELECT 1, 7, '## 2. Parcel Status Breakdown'
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, status),
     '*   **' || status || ':** ' || CAST(n AS VARCHAR) || ' parcels' FROM sb
-  UNION ALL SELECT 10000, ''
-  UNION ALL SELECT 10001, '## 3. Revenue by Tax Type'
-  UNION ALL SELECT 10002, '| Tax Type | Parcels Paid | Amount Collected |'
-  UNION ALL SELECT 10003, '| :--- | :---: | :---: |'
-  UNION ALL SELECT 20000 + row_number() OVER (ORDER BY tax_type),
+  UNION ALL SELECT 3, 0, ''
+  UNION ALL SELECT 3, 1, '## 3. Revenue by Tax Type'
+  UNION ALL SELECT 3, 2, '| Tax Type | Parcels Paid | Amount Collected |'
+  UNION ALL SELECT 3, 3, '| :--- | :---: | :---: |'
+  UNION ALL SELECT 4, row_number() OVER (ORDER BY tax_type),
     '| ' || tax_type || ' | ' || CAST(parcels_paid AS VARCHAR) || ' | ' || {money_txt('collected')} || ' |'
-    FROM tt) lines""")
+    FROM tt
+  UNION ALL SELECT 4, 1, '| (No Payments Yet) | - | - |' WHERE NOT EXISTS (SELECT 1 FROM tt)) lines""")
+
+# Files written and read again.
+ORACLE["monthly_csv"] = ORACLE["monthly_detail"]
+ORACLE["return_list_csv"] = ORACLE["return_list"]
+ORACLE["turnover_csv"] = q("", """SELECT parcel_id AS "Parcel ID", owner_name AS "Owner Name",
+  property_address AS "Property Address", 2025 AS "Tax Year", face_tax_amount AS "Face Tax",
+  penalty_amount AS "Penalty", CAST(face_tax_amount + penalty_amount AS DECIMAL(18,2)) AS "Total Amount Due"
+  FROM parcels WHERE status IN ('UNPAID', 'PARTIAL')""", ['"Face Tax"', '"Penalty"', '"Total Amount Due"'])
+ORACLE["closed_version"] = q("", f"""SELECT {cols([c for c in JCOLS if c != 'is_closed'])},
+  month(date_received) = 1 AS is_closed, receipt_month FROM journal""", JMONEY)
+ORACLE["import_roll"] = ORACLE["upsert_parcels_literal"]
+
+# --- Replay, step by step: which reversals stand depends on the months' locks and
+# the other way round.  Passes settle from the front; the last two must agree.
+_PASSES = 6
+
+
+def _replay_steps() -> str:
+    ctes = [""",
+cl AS (
+  SELECT make_date(CAST(year(date) AS INTEGER), 1, 1) AS m,
+         CAST(floor(floor((min(seq) + max(seq)) / 2) / 1000) AS BIGINT) * 1000 + 700 AS close_seq
+  FROM attempts WHERE month(date) = 1 GROUP BY year(date)),
+lockable AS (
+  SELECT x.*, CAST(date_trunc('month', date_received) AS DATE) AS m
+  FROM (SELECT * FROM posted UNION ALL SELECT * FROM exon) x),
+n0 AS (
+  SELECT q.new_id, q.orig_id, q.rev_date, CAST(date_trunc('month', q.rev_date) AS DATE) AS m
+  FROM nsfreq q JOIN posted p ON p.transaction_id = q.orig_id WHERE p.transaction_type = 'PAYMENT')"""]
+    for k in range(1, _PASSES + 1):
+        ctes.append(f"""
+l{k} AS (
+  SELECT c.m, min(c.close_seq) AS lock_start
+  FROM cl c JOIN (SELECT m, min(id) AS first_id FROM (
+      SELECT m, transaction_id AS id FROM lockable UNION ALL SELECT m, new_id FROM n{k - 1}) r
+    GROUP BY m) f ON f.m = c.m AND c.close_seq > f.first_id
+  GROUP BY c.m),
+n{k} AS (
+  SELECT n.* FROM n0 n JOIN lockable o ON o.transaction_id = n.orig_id
+  LEFT JOIN l{k} l ON l.m = o.m
+  WHERE l.lock_start IS NULL OR l.lock_start > o.transaction_id)""")
+    k = _PASSES
+    ctes.append(f"""
+settled AS (
+  SELECT CASE WHEN (SELECT count(*) FROM n{k}) = (SELECT count(*) FROM n{k - 1}) THEN 1
+              ELSE error('more replay passes are needed') END AS ok),
+split AS (
+  SELECT o.*, COALESCE(o.transaction_type <> 'REJECTED_PAYMENT' AND l.lock_start < o.transaction_id, false) AS refused
+  FROM lockable o LEFT JOIN l{k} l ON l.m = o.m),
+rj AS (
+  SELECT {cols(JCOLS)}, m FROM split WHERE NOT refused
+  UNION ALL
+  SELECT {cols(JCOLS, 'x')}, n.m FROM nsf x JOIN n{k} n ON n.new_id = x.transaction_id)""")
+    return ",".join(ctes)
+
+
+ORACLE["replay_journal"] = q(_replay_steps(), f"""SELECT {cols([c for c in JCOLS if c != 'is_closed'], 'rj')},
+  COALESCE(c.last_close > rj.transaction_id, false) AS is_closed
+  FROM rj JOIN settled ON ok = 1
+  LEFT JOIN (SELECT m, max(close_seq) AS last_close FROM cl GROUP BY m) c ON c.m = rj.m""", JMONEY)
+ORACLE["replay_refused"] = q(_replay_steps(),
+                             f"SELECT {cols(JCOLS)} FROM split JOIN settled ON ok = 1 WHERE refused", JMONEY)

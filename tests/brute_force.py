@@ -72,7 +72,7 @@ def sequential_replay(commands: list[dict], parcels: dict[str, dict],
             journal[c["seq"]] = {"type": "EXONERATION", "date": c["date"], "is_closed": False}
         elif kind == "nsf":
             orig = journal.get(c["tx_id"])
-            if orig is None or orig["type"] == "NSF_REVERSAL":
+            if orig is None:
                 continue
             if semantics == "corrected" and (orig["type"] != "PAYMENT"
                                              or c["tx_id"] in reversed_ids):

@@ -47,7 +47,9 @@ def test_ledger_layout_and_month_close_on_files(spark, ledger):
     out = scratch_path(spark, "t-ledger-closed")
     closures = spark.createDataFrame([(1, 1998), (2, 1998)], "month int, year int")
     n = writers.close_month_partitions(spark, src, closures, out)
-    assert n == 2
+    assert n == spark.read.parquet(src).filter("receipt_month in (date'1998-01-01', date'1998-02-01')").count()
+    both = writers.read_version(spark, src, out)
+    assert both.count() == ledger.journal.count() and both.filter("is_closed").count() == n
     written = sorted(os.path.basename(p) for p in glob.glob(f"{out.removeprefix('file:')}/receipt_month=*"))
     assert written == ["receipt_month=1998-01-01", "receipt_month=1998-02-01"]
     closed = spark.read.parquet(out)
