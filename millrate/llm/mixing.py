@@ -3,24 +3,28 @@
 A naive Bayes classifier over hashed words, learned from a labelled table,
 gives each document's posterior over domains.  Documents get nonnegative rates
 (expected numbers of copies) whose expected token totals per domain match the
-targets: with n a document's tokens, p its posterior, S_k = sum(rate * n * p_k)
-and the targets T_k, the rates minimise sum((S_k - T_k)^2 / S_k(1)) over rates
-of zero or more, from all rates 1.
+targets: with n a document's tokens, p its posterior, S = sum(rate * n * p) and
+the targets T, the rates minimise (S - T)' W (S - T) over rates of zero or more,
+from all rates 1, where W is the inverse of the domains' Gram matrix
+sum(n * p * p').  Targets that can be met are met for any such W; this one makes
+the squares well conditioned however much the domains overlap.
 
 Projected gradient, in the metric that weighs a document by its tokens, is
 
-    rate <- max(0, rate - sum_k p_k * (S_k - T_k) / S_k(1))
+    rate <- max(0, rate - p' W (S - T))
 
-whose step is safe because every row of the scaled Gram matrix sums to 1.  Each
-step is one distributed sum per domain; the driver sees as many numbers as there
-are domains.  Rates are never stored: they follow from the posterior and the
+whose step is safe, as W scales the gradient's curvature to 1; while no rate
+reaches zero a single step is exact.  Beyond, Nesterov's momentum is added: the
+step starts from rate + b * (rate - rate before), where S follows by linearity.  The Gram matrix and each step are
+distributed sums; the driver sees domains times domains numbers.  Rates are never stored: they follow from the posterior and the
 list of steps.  Only DataFrame functions run, without any shuffle of documents.
 
 The classifier is fitted on a bounded sample of ``PER_DOMAIN`` labelled texts of
 each domain; posteriors, totals and rates cover all documents.
 
 Defined results: a NULL or blank text has no tokens and the domains' posterior
-of a text without words (uniform); without labelled texts posteriors are uniform;
+of a text without words (their shares of the labels); without labelled texts posteriors are
+uniform;
 a domain without any expected tokens can't be reached and is left out; labels
 of unknown domains take no part; repeated rows get equal rates and copies; an
 empty table gives no rows; clashing column names get a number.
@@ -28,6 +32,9 @@ empty table gives no rows; clashing column names get a number.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +45,7 @@ PER_DOMAIN = 1500
 BUCKETS = 1 << 14
 #: Words whose evidence counts in full; more words don't sharpen a posterior.
 FULL_WORDS = 50
-TOLERANCE, MAX_STEPS = 1e-6, 200
+TOLERANCE, MAX_STEPS = 1e-6, 100
 _WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -48,13 +55,13 @@ def word_buckets(text: Column, buckets: int = BUCKETS) -> Column:
 
 
 def word_weights(labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN,
-                 buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Each domain's log probabilities of the buckets, less their mean over
-    domains: as many numbers as domains times buckets."""
+                 buckets: int = BUCKETS) -> dict[str, tuple[float, list[float]]]:
+    """Each domain's log share of the labelled rows, and its log probabilities of
+    the buckets less their mean over domains: domains times buckets numbers."""
     spark = labelled.sparkSession
-    rows = labelled.select("doc_id", "text", "domain").filter(
+    labelled_rows = labelled.select("doc_id", "text", "domain").filter(
         F.col("domain").isin(domains) & F.col("text").isNotNull())
-    sample = bounded_sample(rows, "domain", per_domain)
+    sample = bounded_sample(labelled_rows, "domain", per_domain)
     counted = stored(
         sample.select("domain", F.explode(word_buckets(F.col("text"), buckets)).alias("bucket"))
         .groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")), "domain-words")
@@ -69,17 +76,19 @@ def word_weights(labelled: DataFrame, domains: list[str], per_domain: int = PER_
     pair = F.struct("bucket", (F.col("w") - F.col("mean")).alias("w"))
     rows = full.join(mean, "bucket").groupBy("domain").agg(
         F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["w"]).alias("weights")).collect()
-    return {r["domain"]: r["weights"] for r in rows}
+    seen = {r["domain"]: r["count"] for r in labelled_rows.groupBy("domain").count().collect()}
+    return {r["domain"]: (math.log(seen.get(r["domain"], 0) + 1.0), r["weights"]) for r in rows}
 
 
-def logits(words: Column, weights: dict[str, list[float]], domains: list[str]) -> Column:
+def logits(words: Column, weights: dict[str, tuple[float, list[float]]], domains: list[str]) -> Column:
     """The evidence of a row's word buckets for each of ``domains``, an array."""
     scale = F.lit(float(FULL_WORDS)) / F.greatest(F.size(words), F.lit(FULL_WORDS))
 
     def evidence(domain: str) -> Column:
         # Folded to one constant array: BUCKETS numbers, whatever the input.
-        w = F.split(F.lit(",".join(f"{x:.6g}" for x in weights[domain])), ",").cast("array<double>")
-        return scale * F.aggregate(words, F.lit(0.0), lambda a, b: a + F.get(w, b))
+        prior, each = weights[domain]
+        w = F.split(F.lit(",".join(f"{x:.6g}" for x in each)), ",").cast("array<double>")
+        return F.lit(prior) + scale * F.aggregate(words, F.lit(0.0), lambda a, b: a + F.get(w, b))
 
     return F.array(*map(evidence, domains))
 
@@ -114,28 +123,42 @@ class Mixed:
             logits(F.col(self.words), weights, self.domains).alias(self.posterior))
         self.scored = stored(judged.withColumn(self.posterior, softmax(F.col(self.posterior))), "posteriors")
         self.steps: list[list[float]] = []
-        self.base = self.totals()
-        goal = [s * sum(self.base) for s in share]
-        self.goal = goal
+        k = range(len(self.domains))
+        n, p = F.col(self.tokens), F.col(self.posterior)
+        gram = self.scored.agg(*[F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)) for i in k for j in k]).first()
+        gram = [[gram[len(k) * i + j] for j in k] for i in k]
+        inverse = np.linalg.pinv(np.array(gram), rcond=1e-9, hermitian=True)
+        self.base = [sum(row) for row in gram]  # a posterior sums to 1
+        self.goal = goal = [x * sum(self.base) for x in share]
+        now = before = np.array(self.base)
+        momentum = 1.0
         while True:
-            now = self.base if not self.steps else self.totals()
-            off = [s - t for s, t in zip(now, goal)]
-            step = [o / b if b > 0 else 0.0 for o, b in zip(off, self.base)]
-            self.left = max((abs(o) for o, b in zip(off, self.base) if b > 0), default=0.0)
+            self.left = max((abs(s - t) for s, t, b in zip(now, goal, self.base) if b > 0), default=0.0)
             if self.left <= TOLERANCE * sum(goal) or len(self.steps) == MAX_STEPS:
                 break
-            self.steps.append(step)
+            longer = (1 + math.sqrt(1 + 4 * momentum ** 2)) / 2
+            ahead = (momentum - 1) / longer
+            momentum = longer
+            off = now + ahead * (now - before) - goal
+            self.steps.append([*(inverse @ off).tolist(), ahead])
+            before, now = now, np.array(self.totals())
 
     def _rate(self) -> Column:
-        p, rate = F.col(self.posterior), F.lit(1.0)
+        """The steps applied to a row: (rate, rate before) is carried along."""
         if not self.steps:
-            return rate
+            return F.lit(1.0)
+        k, p = len(self.domains), F.col(self.posterior)
         steps = F.array(*[F.array(*map(F.lit, s)) for s in self.steps])
 
         def dot(step: Column) -> Column:
-            return F.aggregate(F.zip_with(step, p, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+            return F.aggregate(F.zip_with(F.slice(step, 1, k), p, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+
+        def move(two: Column, step: Column) -> Column:
+            ahead = F.element_at(step, k + 1)
+            start = two[0] + ahead * (two[0] - two[1])
+            return F.array(F.greatest(F.lit(0.0), start - dot(step)), two[0])
 
-        return F.round(F.aggregate(steps, rate, lambda r, s: F.greatest(F.lit(0.0), r - dot(s))), 9)
+        return F.round(F.aggregate(steps, F.array(F.lit(1.0), F.lit(1.0)), move)[0], 9)
 
     def totals(self) -> list[float]:
         """Expected tokens of each domain at the present rates."""
