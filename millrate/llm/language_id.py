@@ -35,7 +35,7 @@ UNKNOWN = "und"
 PER_LANG, CLUSTERS = 600, 4
 #: Rejected below this share of the lowest cosine among learned members; texts of
 #: fewer different n-grams lie farther from any centroid and get a lower limit.
-MARGIN, FULL_GRAMS = 0.5, 200
+MARGIN, FULL_GRAMS = 0.35, 200
 #: Spread of the softmax that turns cosines into a score.
 TEMPERATURE = 0.05
 BUCKET_BITS = 12
@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS)
     found = grams.groupBy("lang").applyInPandas(centres, "lang string, low double, centroid binary").toPandas()
     found = found.sort_values(["lang", "low", "centroid"])
     langs = sorted(set(found["lang"]))
-    return Model(langs, idf, np.array([np.frombuffer(c) for c in found["centroid"]]).reshape(len(found), -1),
+    return Model(langs, idf, np.array([np.frombuffer(c) for c in found["centroid"]]).reshape(len(found), 2 << BUCKET_BITS),
                  np.array([langs.index(x) for x in found["lang"]], dtype=int), found["low"].to_numpy(dtype=float))
 
 
