@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from millrate.llm.common import bounded_sample, pieces, stored
 
 #: Documented bounds of the fit: labelled texts per class, and n-grams.
-PER_CLASS, MAX_GRAMS = 2500, 4000
-GRAM_SIZES = (3, 4, 5, 6, 7, 8)
-#: An n-gram marks toxic words from these on.
-MIN_RATIO, MIN_LOG_ODDS = 25.0, 3.0
+PER_CLASS, MAX_GRAMS = 1500, 4000
+GRAM_SIZES = (4, 5, 6, 8)
+#: An n-gram marks toxic words from these on (a ratio of 25 takes five texts at least).
+MIN_RATIO, MIN_LOG_ODDS, MIN_TEXTS = 25.0, 3.0, 5
 #: Texts of the sample that the CRF itself is trained on, and its steps.
 CRF_TEXTS, CRF_STEPS, CRF_RIDGE = 1000, 80, 0.05
 THRESHOLD = 0.7
@@ -234,7 +234,8 @@ def _marking_grams(sample: DataFrame, max_grams: int) -> list[str]:
             names=["gram", "toxic", "clean"])
 
     counted = stored(sample.mapInArrow(count, "gram string, toxic long, clean long")
-                     .groupBy("gram").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")), "toxic-grams")
+                     .groupBy("gram").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+                     .filter((F.col("gram") == "") | (F.col("a") >= MIN_TEXTS)), "toxic-grams")
     total = counted.filter("gram = ''").first()
     if not total or not total["a"]:
         return []
