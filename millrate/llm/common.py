@@ -15,6 +15,9 @@ from millrate.session import scratch_path
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Most labels that a classifier is fitted for; bounds what is broadcast.
+MAX_LABELS = 10_000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -53,16 +56,33 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             yield batch.slice(start)
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "doc_id") -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """At most ``most`` rows for each value of ``by``, those with the smallest
-    hash of their id.  A threshold from the counts cuts the rows first, so the
-    ranking only ever sees a small multiple of ``most`` rows per value."""
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    hash of ``doc_id``.  A threshold from the counts cuts the rows first, so the
+    ranking only ever sees a small multiple of ``most`` rows per value (of equal
+    ids beyond that, Spark's limit inside each task keeps ``most``)."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    counts = stored(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    if counts.count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} different labels")
     limits = counts.select(F.col(by).alias("__by"), (
-        F.lit(2.0 * most * (1 << 30)) / F.col("n") + F.lit(50.0 * (1 << 30)) / F.col("n")).alias("__limit"))
+        F.lit((2.0 * most + 50.0) * (1 << 30)) / F.col("n")).alias("__limit"))
+    # A row per label, so rows are cut where they are read, without a shuffle.
     near = rows.withColumn("__place", place).join(
-        limits, F.col(by) == F.col("__by")).filter("__place <= __limit")
-    order = Window.partitionBy("__by").orderBy("__place", id_col, F.xxhash64("text"))
+        F.broadcast(limits), F.col(by) == F.col("__by")).filter("__place <= __limit")
+    order = Window.partitionBy("__by").orderBy("__place", "doc_id")
     return (near.withColumn("__rank", F.row_number().over(order))
             .filter(F.col("__rank") <= most).select(*rows.columns))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, by: str, most: int) -> DataFrame:
+    """(doc_id, ``by``, text) of a bounded sample of ``labels`` (doc_id, ``by``).
+
+    Ids are sampled first, so texts are only read, not shuffled, to find the
+    sample's; a repeated id gives its smallest text.  NULL ids and labels, and
+    ids without a text, take no part.
+    """
+    known = labels.select("doc_id", by).filter(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
+    ids = stored(bounded_sample(known, by, most), "label-sample")  # most rows per label
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", by).agg(F.min("text").alias("text"))

@@ -28,14 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrate.llm.common import bounded_sample, pieces, stored
+from millrate.llm.common import labelled_texts, pieces, stored
 
 UNKNOWN = "und"
 #: Documented bounds of the fit: labelled texts and centroids per language.
 PER_LANG, CLUSTERS = 600, 4
 #: Rejected below this share of the lowest cosine among learned members; texts of
 #: fewer different n-grams lie farther from any centroid and get a lower limit.
-MARGIN, FULL_GRAMS = 0.35, 200
+MARGIN, FULL_GRAMS = 0.2, 200
 #: Spread of the softmax that turns cosines into a score.
 TEMPERATURE = 0.05
 BUCKET_BITS = 12
@@ -115,10 +115,9 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> Model:
-    """``labelled``: doc_id, text, lang; rows without a language take no part."""
-    rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = bounded_sample(rows, "lang", per_lang)
+def fit(docs: DataFrame, labels: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> Model:
+    """``labels``: doc_id, lang of rows of ``docs`` (doc_id, text)."""
+    sample = labelled_texts(docs, labels, "lang", per_lang)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, max_bytes=1 << 20):

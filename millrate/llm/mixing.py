@@ -38,14 +38,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import bounded_sample, stored, text_or_empty
+from millrate.llm.common import labelled_texts, stored, text_or_empty
 
 #: Documented bound of the fit: labelled texts per domain.
 PER_DOMAIN = 1500
 BUCKETS = 1 << 14
 #: Words whose evidence counts in full; more words don't sharpen a posterior.
 FULL_WORDS = 50
-TOLERANCE, MAX_STEPS = 1e-6, 100
+#: Shares of all tokens: met targets, totals that stand still; and steps at most.
+TOLERANCE, STILL, MAX_STEPS = 1e-6, 1e-8, 60
 _WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -54,14 +55,13 @@ def word_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
-def word_weights(labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN,
+def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN,
                  buckets: int = BUCKETS) -> dict[str, tuple[float, list[float]]]:
-    """Each domain's log share of the labelled rows, and its log probabilities of
+    """Each domain's log share of the labels, and its log probabilities of
     the buckets less their mean over domains: domains times buckets numbers."""
-    spark = labelled.sparkSession
-    labelled_rows = labelled.select("doc_id", "text", "domain").filter(
-        F.col("domain").isin(domains) & F.col("text").isNotNull())
-    sample = bounded_sample(labelled_rows, "domain", per_domain)
+    spark = docs.sparkSession
+    labels = labels.filter(F.col("domain").isin(domains))
+    sample = labelled_texts(docs, labels, "domain", per_domain)
     counted = stored(
         sample.select("domain", F.explode(word_buckets(F.col("text"), buckets)).alias("bucket"))
         .groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")), "domain-words")
@@ -76,7 +76,7 @@ def word_weights(labelled: DataFrame, domains: list[str], per_domain: int = PER_
     pair = F.struct("bucket", (F.col("w") - F.col("mean")).alias("w"))
     rows = full.join(mean, "bucket").groupBy("domain").agg(
         F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["w"]).alias("weights")).collect()
-    seen = {r["domain"]: r["count"] for r in labelled_rows.groupBy("domain").count().collect()}
+    seen = {r["domain"]: r["count"] for r in labels.groupBy("domain").count().collect()}
     return {r["domain"]: (math.log(seen.get(r["domain"], 0) + 1.0), r["weights"]) for r in rows}
 
 
@@ -107,8 +107,9 @@ def _name(taken: list[str], name: str) -> str:
 class Mixed:
     """Documents with tokens, posterior and rate."""
 
-    def __init__(self, docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
+    def __init__(self, docs: DataFrame, labels: DataFrame, targets: dict[str, float],
                  per_domain: int = PER_DOMAIN) -> None:
+        """``labels``: doc_id, domain of rows of ``docs``."""
         if not targets or min(targets.values()) < 0 or not sum(targets.values()):
             raise ValueError("give nonnegative target weights with a positive sum")
         self.domains = sorted(targets)
@@ -116,7 +117,7 @@ class Mixed:
         self.columns = docs.columns
         self.words, self.tokens, self.posterior, self.rate, self.copies = (
             _name(docs.columns, c) for c in ("word_buckets", "n_tokens", "posterior", "rate", "copies"))
-        weights = word_weights(labelled, self.domains, per_domain)
+        weights = word_weights(docs, labels, self.domains, per_domain)
         listed = docs.withColumn(self.words, word_buckets(text_or_empty()))
         judged = listed.select(
             *docs.columns, F.size(self.words).cast("long").alias(self.tokens),
@@ -134,8 +135,9 @@ class Mixed:
         momentum = 1.0
         while True:
             self.left = max((abs(s - t) for s, t, b in zip(now, goal, self.base) if b > 0), default=0.0)
-            if self.left <= TOLERANCE * sum(goal) or len(self.steps) == MAX_STEPS:
-                break
+            still = bool(self.steps) and np.abs(now - before).max() <= STILL * sum(goal)
+            if self.left <= TOLERANCE * sum(goal) or still or len(self.steps) == MAX_STEPS:
+                break  # met, as near as rates of zero or more come, or near enough
             longer = (1 + math.sqrt(1 + 4 * momentum ** 2)) / 2
             ahead = (momentum - 1) / longer
             momentum = longer

@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
     return toxicity.score(docs, model).select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
@@ -59,7 +59,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(docs: DataFrame) -> language_id.Model:
-    return language_id.fit(docs.filter(fold("doc_id", 4) != 2))
+    return language_id.fit(docs, docs.filter(fold("doc_id", 4) != 2).select("doc_id", "lang"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,8 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixing.Mixed:
-    labelled = docs.select("doc_id", "text").join(domain_labels(spark, sf_dir), "doc_id")
-    return mixing.Mixed(docs, labelled, MIXTURE)
+    labels = domain_labels(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return mixing.Mixed(docs, labels, MIXTURE)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import bounded_sample, pieces, stored
+from millrate.llm.common import bounded_sample, labelled_texts, pieces, stored
 
 #: Documented bounds of the fit: labelled texts per class, and n-grams.
 PER_CLASS, MAX_GRAMS = 1500, 4000
@@ -255,10 +255,11 @@ def _marking_grams(sample: DataFrame, max_grams: int) -> list[str]:
     return [r["gram"] for r in found]
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS, max_grams: int = MAX_GRAMS) -> Model | None:
-    """``labelled``: doc_id, text, toxic (0 or 1; others take no part)."""
-    rows = labelled.select("doc_id", "text", "toxic").filter("text IS NOT NULL AND toxic IN (0, 1)")
-    sample = stored(bounded_sample(rows, "toxic", per_class).select("doc_id", "text", "toxic"), "toxic-sample")
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
+        max_grams: int = MAX_GRAMS) -> Model | None:
+    """``labels``: doc_id, toxic (0 or 1; others take no part) of rows of ``docs``
+    (doc_id, text)."""
+    sample = stored(labelled_texts(docs, labels.filter("toxic IN (0, 1)"), "toxic", per_class), "toxic-sample")
     marks = _marking_grams(sample.select("text", "toxic"), max_grams)
     if not marks:
         return None
