@@ -4,8 +4,11 @@ Base rules count words, symbols, repeated lines and repeated five-word
 windows.  The method's verdict compares zstandard ratios (compressed bytes to
 bytes) with limits that depend on the length: short texts compress badly in
 any language, long ones well.  The whole text must lie in the band of its
-length, and every whole chunk of :data:`CHUNK` bytes in the band of chunks:
-below is repetitive, above is incompressible.
+length, every whole chunk of :data:`CHUNK` bytes in the band of chunks, and
+every piece in the band of its size: below is repetitive, above is
+incompressible.  Pieces of 256, 512 or 1,024 bytes (by the text's length) start
+every half piece and the last ends where the text ends, so each byte of a text
+of 256 bytes or more lies in a piece, with or without whole chunks.
 
 Defined results: a NULL or blank text has zero counts, no ratio, and fails
 the base rules; repeated rows are judged each; an empty table gives no rows;
@@ -30,6 +33,10 @@ CHUNK = 4096
 BANDS = ((0, 0.0, 9.0), (64, 0.45, 1.5), (128, 0.40, 1.05), (256, 0.36, 0.90),
          (512, 0.32, 0.82), (1024, 0.28, 0.75), (4096, 0.24, 0.70), (16384, 0.20, 0.65))
 CHUNK_BAND = (0.15, 0.70)
+#: From so many bytes on, a text has pieces of a size, whose ratios lie between
+#: these.  Prose of sf0.1: 0.57-0.84, 0.50-0.73, 0.44-0.61; base64 words from
+#: 0.91, 0.82, 0.77 on; a repeated phrase at most 0.2.
+PIECES = ((256, 256, 0.33, 0.89), (1024, 512, 0.29, 0.79), (4096, 1024, 0.25, 0.735))
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -77,10 +84,12 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 class Bands:
     """Compression ratios and the verdict on them."""
 
-    def __init__(self, bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUNK, level: int = LEVEL) -> None:
-        self.bands, self.chunk_band, self.chunk = bands, chunk_band, chunk
+    def __init__(self, bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUNK, level: int = LEVEL,
+                 pieces=PIECES) -> None:
+        self.bands, self.chunk_band, self.chunk, self.pieces = bands, chunk_band, chunk, pieces
         self.pack = zstandard.ZstdCompressor(level=level)
         self.starts = [b[0] for b in bands]
+        self.piece_starts = [p[0] for p in pieces]
 
     def ratios(self, raw: bytes) -> tuple[float | None, float | None, float | None]:
         """Of the whole text, and the lowest and highest of its whole chunks."""
@@ -90,31 +99,45 @@ class Bands:
         each = [len(self.pack.compress(raw[k:k + size])) / size for k in range(0, len(raw) - size + 1, size)]
         return len(self.pack.compress(raw)) / len(raw), min(each, default=None), max(each, default=None)
 
-    def verdict(self, n: int, whole: float | None, low: float | None, high: float | None) -> str:
+    def piece_ratios(self, raw: bytes) -> tuple[float | None, float | None]:
+        """The lowest and highest of the text's pieces, which cover all of it."""
+        at = bisect_right(self.piece_starts, len(raw)) - 1
+        if at < 0:
+            return None, None
+        size = self.pieces[at][1]
+        last = len(raw) - size
+        each = [len(self.pack.compress(raw[k:k + size])) / size for k in (*range(0, last, size // 2), last)]
+        return min(each), max(each)
+
+    def verdict(self, n: int, whole: float | None, low: float | None, high: float | None,
+                piece_low: float | None = None, piece_high: float | None = None) -> str:
         """'ok', 'repetitive' or 'incompressible'."""
         if whole is None:
             return "ok"
         _, least, most = self.bands[bisect_right(self.starts, n) - 1]
-        if whole < least or low is not None and low < self.chunk_band[0]:
+        piece_least, piece_most = self.pieces[bisect_right(self.piece_starts, n) - 1][2:]
+        if (whole < least or low is not None and low < self.chunk_band[0]
+                or piece_low is not None and piece_low < piece_least):
             return "repetitive"
-        if whole > most or high is not None and high > self.chunk_band[1]:
+        if (whole > most or high is not None and high > self.chunk_band[1]
+                or piece_high is not None and piece_high > piece_most):
             return "incompressible"
         return "ok"
 
 
 _SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
            "n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_low double, "
-           "chunk_high double, verdict string")
+           "chunk_high double, verdict string, piece_low double, piece_high double")
 
 
 def judge(docs: DataFrame, bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUNK,
-          min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """One row per document: base counts, base_failed, ratios, verdict, kept."""
+          min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, cuts=PIECES) -> DataFrame:
+    """One row per document: base counts, base_failed, ratios, verdict, kept, piece ratios."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule = Bands(bands, chunk_band, chunk)
+        rule = Bands(bands, chunk_band, chunk, pieces=cuts)
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
-        kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 3 + [pa.string()]
+        kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 3 + [pa.string()] + [pa.float64()] * 2
         for batch in pieces(batches):
             rows = []
             for text in batch.column("text").to_pylist():
@@ -122,9 +145,9 @@ def judge(docs: DataFrame, bands=BANDS, chunk_band=CHUNK_BAND, chunk: int = CHUN
                 counts = base_counts(text)
                 failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
                 raw = text.encode()
-                ratios = rule.ratios(raw)
-                said = rule.verdict(len(raw), *ratios)
-                rows.append((*counts, failed, not failed and said == "ok", *ratios, said))
+                ratios, parts = rule.ratios(raw), rule.piece_ratios(raw)
+                said = rule.verdict(len(raw), *ratios, *parts)
+                rows.append((*counts, failed, not failed and said == "ok", *ratios, said, *parts))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds[1:]))], names=names)

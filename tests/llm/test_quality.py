@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 from collections import Counter
@@ -66,3 +67,35 @@ def test_frames(odd, empty):
         assert r["base_failed"] == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0])
         assert r["kept"] == (not r["base_failed"] and r["verdict"] == "ok")
     assert quality.judge(empty).count() == 0
+
+
+def base64_words(rnd: random.Random, size: int) -> str:
+    s, out = base64.b64encode(rnd.randbytes(size)).decode(), []
+    while s:
+        k = rnd.randint(4, 12)
+        out.append(s[:k])
+        s = s[k:]
+    return " ".join(out)[:size]
+
+
+def test_pieces_reach_tails_and_short_texts(spark):
+    rnd = random.Random(9)
+    prose = words(rnd, 4000, "abcdefghijklm")
+    tails = {(4096, 4000): "base64", (2000, 2000): "base64", (9000, 1600): "base64", (3000, 800): "base64",
+             (500, 400): "base64", (2000, 1500): "over", (600, 400): "over"}
+    texts, want = [], []
+    for (n, more), kind in tails.items():
+        tail = base64_words(rnd, more) if kind == "base64" else ("over and over " * 200)[:more]
+        for text in (prose[:n] + " " + tail, tail + " " + prose[:n], prose[:n // 2] + " " + tail + " " + prose[:n // 2]):
+            texts.append(text)
+            want.append("incompressible" if kind == "base64" else "repetitive")
+    for n in (200, 256, 257, 700, 1024, 4095, 4096, 4097, 9000):
+        texts.append(prose[:n])
+        want.append("ok")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert [got[i]["verdict"] for i in range(len(texts))] == want
+    pack = zstandard.ZstdCompressor(level=3)
+    raw = prose[:700].encode()
+    each = [len(pack.compress(raw[k:k + 256])) / 256 for k in (0, 128, 256, 384, 444)]
+    assert quality.Bands().piece_ratios(raw) == (min(each), max(each))
