@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from math import inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,13 @@ from millrate.llm.common import pieces
 
 LEVEL = 3
 CHUNK = 4096
-#: From so many bytes on, the whole text's ratio must lie between these.
-BANDS = ((0, 0.0, 9.0), (64, 0.45, 1.5), (128, 0.40, 1.05), (256, 0.36, 0.90),
-         (512, 0.32, 0.82), (1024, 0.28, 0.75), (4096, 0.24, 0.70), (16384, 0.20, 0.65))
+#: From so many bytes on, the whole text's ratio must lie between these.  The upper
+#: limit falls evenly with the logarithm of the length from one band's start to the
+#: next, between prose of sf0.1 and base64 words of the same length; there is none
+#: under 128 bytes, where zstandard can't tell them apart.
+BANDS = ((0, 0.0, inf), (64, 0.45, inf), (128, 0.40, 0.99), (160, 0.40, 0.955), (192, 0.40, 0.925),
+         (256, 0.36, 0.89), (384, 0.36, 0.835), (512, 0.32, 0.79), (768, 0.32, 0.755), (1024, 0.28, 0.735),
+         (2048, 0.28, 0.715), (4096, 0.24, 0.70), (16384, 0.20, 0.65))
 CHUNK_BAND = (0.15, 0.70)
 #: From so many bytes on, a text has pieces of a size, whose ratios lie between
 #: these.  Prose of sf0.1: 0.57-0.84, 0.50-0.73, 0.44-0.61; base64 words from
@@ -109,12 +114,21 @@ class Bands:
         each = [len(self.pack.compress(raw[k:k + size])) / size for k in (*range(0, last, size // 2), last)]
         return min(each), max(each)
 
+    def limits(self, n: int) -> tuple[float, float]:
+        """Of the ratio of a whole text of ``n`` bytes."""
+        at = bisect_right(self.starts, n) - 1
+        start, least, most = self.bands[at]
+        if most < inf and at + 1 < len(self.bands):
+            end, _, then = self.bands[at + 1]
+            most += (then - most) * log(n / start) / log(end / start)
+        return least, most
+
     def verdict(self, n: int, whole: float | None, low: float | None, high: float | None,
                 piece_low: float | None = None, piece_high: float | None = None) -> str:
         """'ok', 'repetitive' or 'incompressible'."""
         if whole is None:
             return "ok"
-        _, least, most = self.bands[bisect_right(self.starts, n) - 1]
+        least, most = self.limits(n)
         piece_least, piece_most = self.pieces[bisect_right(self.piece_starts, n) - 1][2:]
         if (whole < least or low is not None and low < self.chunk_band[0]
                 or piece_low is not None and piece_low < piece_least):

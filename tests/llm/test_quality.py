@@ -99,3 +99,21 @@ def test_pieces_reach_tails_and_short_texts(spark):
     raw = prose[:700].encode()
     each = [len(pack.compress(raw[k:k + 256])) / 256 for k in (0, 128, 256, 384, 444)]
     assert quality.Bands().piece_ratios(raw) == (min(each), max(each))
+
+
+def test_random_texts_of_any_length_fail():
+    rnd = random.Random(10)
+    rule = quality.Bands()
+    prose = words(rnd, 6000, "abcdefghijklm")
+
+    def said(text: str) -> str:
+        raw = text.encode()
+        return rule.verdict(len(raw), *rule.ratios(raw))  # by the whole text alone
+
+    for n in (*range(128, 1100, 7), 1023, 2047, 2048, 4095, 5000, 16383, 16384, 30_000):
+        assert said(base64_words(rnd, n)) == "incompressible", n
+        at = rnd.randrange(1 + len(prose) - n) if n < len(prose) else 0
+        assert said(prose[at:at + n]) == "ok", n
+    most = [rule.limits(n)[1] for n in range(128, 20_000)]
+    assert max(a - b for a, b in zip(most, most[1:])) < 0.002 and sorted(most, reverse=True) == most
+    assert rule.limits(127)[1] == float("inf")
