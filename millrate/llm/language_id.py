@@ -39,7 +39,9 @@ MARGIN, FULL_GRAMS = 0.2, 200
 #: Spread of the softmax that turns cosines into a score.
 TEMPERATURE = 0.05
 BUCKET_BITS = 12
-_ROUNDS = 12
+#: A centroid has this share of its language's sample or more, two texts at least.
+LEAST_SHARE = 0.05
+_ROUNDS, _STARTS = 30, 6
 _SLAB = 1 << 20
 _letter = regex.compile(r"\p{L}").search
 # Everything but a-z and bytes of non-ASCII characters counts as a space.
@@ -70,20 +72,61 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(count) * idf)
 
 
+def _settle(like: np.ndarray, own: np.ndarray, rounds: int = _ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """K-means rounds from an assignment: the last one, and each member's cosine
+    with each centroid.  ``like``: the members' cosines with each other."""
+    for _ in range(rounds):
+        _, own = np.unique(own, return_inverse=True)
+        sums = like @ np.eye(own.max() + 1)[own]
+        length = np.sqrt(np.bincount(own, weights=sums[np.arange(len(own)), own]))
+        cosine = sums / np.maximum(length, 1e-12)
+        now = cosine.argmax(axis=1)
+        if (now == own).all():
+            break
+        own = now
+    return own, cosine
+
+
+def _split(like: np.ndarray, k: int, least: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Clusters of ``least`` members or more from one k-means++ start, and the sum
+    of cosines.  Members of smaller clusters are no seeds any more; new seeds are
+    drawn while there are, then smaller clusters go to their members' next ones."""
+    n = len(like)
+    may = np.ones(n, dtype=bool)
+    seeds = [int(rng.integers(n))]
+    while True:
+        while len(seeds) < k:
+            far = np.maximum(1 - like[:, seeds].max(axis=1), 0) * may
+            if far.sum() <= 1e-9:
+                break
+            seeds.append(int(rng.choice(n, p=far / far.sum())))
+        own, cosine = _settle(like, like[:, seeds].argmax(axis=1))
+        sizes = np.bincount(own, minlength=cosine.shape[1])
+        small = sizes[own] < least
+        if not small.any() or not (may & small).any():
+            break
+        may &= ~small
+        # Go on from a typical member of each cluster that is large enough.
+        seeds = [int(np.where(own == j, cosine[:, j], -2).argmax()) for j in np.flatnonzero(sizes >= least)]
+        if not seeds:
+            seeds = [int(like.sum(axis=1).argmax())]
+    while cosine.shape[1] > 1 and sizes.min() < least:
+        kept = np.flatnonzero(np.arange(len(sizes)) != sizes.argmin())
+        own, cosine = _settle(like, kept[cosine[:, kept].argmax(axis=1)])
+        sizes = np.bincount(own, minlength=cosine.shape[1])
+    return own, float(cosine[np.arange(n), own].sum())
+
+
 def cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest points: centroids, lowest member cosine."""
-    centre = _unit(x.mean(axis=0, keepdims=True))
-    seeds = [int((x @ centre.T).argmax())]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int((x @ x[seeds].T).max(axis=1).argmin()))
-    c = x[seeds]
-    for _ in range(_ROUNDS):
-        own = (x @ c.T).argmax(axis=1)
-        c = np.array([_unit(x[own == j].sum(axis=0)) if (own == j).any() else c[j] for j in range(len(c))])
-    cosine = x @ c.T
-    own = cosine.argmax(axis=1)
-    low = np.array([cosine[own == j, j].min() if (own == j).any() else 0.0 for j in range(len(c))])
-    return c, low
+    """Spherical k-means, the best of several k-means++ starts: centroids of
+    ``LEAST_SHARE`` of the members or more, lowest member cosine."""
+    like = x @ x.T
+    least = max(2, int(np.ceil(LEAST_SHARE * len(x))))
+    rng = np.random.default_rng(7)
+    own, _ = max((_split(like, max(1, min(k, len(x) // least)), least, rng) for _ in range(_STARTS)),
+                 key=lambda found: found[1])
+    c = np.array([_unit(x[own == j].sum(axis=0)) for j in range(own.max() + 1)])
+    return c, np.array([(x[own == j] @ c[j]).min() for j in range(len(c))])
 
 
 @dataclass
@@ -144,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_lang: int = PER_LANG, clusters:
     idf = np.log((1 + n) / (1 + df)) + 0.1
 
     def centres(group: pd.DataFrame) -> pd.DataFrame:  # at most per_lang rows
+        group = group.sort_values("grams")  # the same draws in any order of rows
         x = vectors(np.array([np.frombuffer(g, np.float32) for g in group["grams"]], dtype=float), idf)
         c, low = cluster(x, clusters)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "low": low, "centroid": [v.tobytes() for v in c]})

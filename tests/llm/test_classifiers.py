@@ -57,6 +57,23 @@ def test_centroid_judgement_by_hand():
         assert np.isclose(low[j], (x[own == j] @ centroids[j]).min())
 
 
+SCRAPS = ["Die tz.", "+1 (168) 555-0133 token = 16", "zq " * 40, "Onatedble", "wq"]
+
+
+def test_clusters_of_two_dialects_with_outliers():
+    rnd = random.Random(12)
+    texts = [speak(rnd, lang, rnd.randint(20, 90)) for lang in ("aa", "bb") for _ in range(60)] + SCRAPS
+    x = language_id.vectors(np.array([language_id.counts(t) for t in texts]), np.ones(2 << language_id.BUCKET_BITS))
+    for k in (2, 3, 4):
+        centroids, _ = language_id.cluster(x, k)
+        own = (x @ centroids.T).argmax(axis=1)
+        assert 2 <= len(centroids) <= k and np.bincount(own).min() >= 7  # 5% of 125
+        assert not set(own[:60]) & set(own[60:120])
+    for n in (1, 2, 3, 5):  # few texts, or the same one over and over
+        assert len(language_id.cluster(x[:n], 4)[0]) <= max(1, n // 2)
+        assert len(language_id.cluster(x[[0] * n], 4)[0]) == 1
+
+
 def brute_marginals(score, trans):
     n = len(score)
     weight = {}
