@@ -4,7 +4,7 @@ A text becomes a TF-IDF vector of hashed byte n-grams (two and three bytes of
 its lower-cased letters), normalised to length 1.  Labelled texts of each
 language are clustered by cosine into several centroids.  A text gets the
 language of its nearest centroid; it is rejected if it lies farther from it
-than any learned member by a margin, or has no letter.
+than nearly all learned members by a margin, or has no letter.
 
 The classifier is fitted on a bounded sample: at most ``PER_LANG`` labelled
 texts per language, the smallest by a hash of their ids.  Prediction covers
@@ -33,9 +33,10 @@ from millrate.llm.common import labelled_texts, pieces, stored
 UNKNOWN = "und"
 #: Documented bounds of the fit: labelled texts and centroids per language.
 PER_LANG, CLUSTERS = 600, 4
-#: Rejected below this share of the lowest cosine among learned members; texts of
-#: fewer different n-grams lie farther from any centroid and get a lower limit.
-MARGIN, FULL_GRAMS = 0.2, 200
+#: Rejected below this share of the cosine that all but a hundredth of the members
+#: reach.  Texts of fewer different n-grams than FULL_GRAMS lie farther from any
+#: centroid: their cosines, members' too, are compared after division by closeness().
+MARGIN, LOW_QUANTILE, FULL_GRAMS = 0.5, 0.01, 200
 #: Spread of the softmax that turns cosines into a score.
 TEMPERATURE = 0.05
 BUCKET_BITS = 12
@@ -72,6 +73,19 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(count) * idf)
 
 
+def closeness(count: np.ndarray) -> np.ndarray:
+    """How near texts of such n-gram counts come to a centroid, 1 for long texts."""
+    return np.sqrt(np.minimum(1.0, (count > 0).sum(axis=-1) / FULL_GRAMS))
+
+
+def lowest(x: np.ndarray, close: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """For each centroid the low quantile of its members' cosine by closeness."""
+    cosine = x @ centroids.T
+    own = cosine.argmax(axis=1)
+    return np.array([np.quantile(cosine[own == j, j] / close[own == j], LOW_QUANTILE)
+                     if (own == j).any() else 0.0 for j in range(len(centroids))])
+
+
 def _settle(like: np.ndarray, own: np.ndarray, rounds: int = _ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """K-means rounds from an assignment: the last one, and each member's cosine
     with each centroid.  ``like``: the members' cosines with each other."""
@@ -135,7 +149,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray     # one row per centroid
     owner: np.ndarray         # the language's place in langs
-    low: np.ndarray           # a centroid's lowest member cosine
+    low: np.ndarray           # lowest() of each centroid
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """(lang, score, cosine, rejected) of each text."""
@@ -145,7 +159,6 @@ class Model:
             part = real[k:k + 256]
             count = np.array([counts(texts[i]) for i in part])
             cosine = vectors(count, self.idf) @ self.centroids.T
-            short = np.sqrt(np.minimum(1.0, (count > 0).sum(axis=1) / FULL_GRAMS))
             by_lang = np.stack([np.where(self.owner == j, cosine, -1.0).max(axis=1)
                                 for j in range(len(self.langs))], axis=1)
             best = by_lang.argmax(axis=1)
@@ -153,7 +166,7 @@ class Model:
             weight = np.exp((by_lang - by_lang.max(axis=1, keepdims=True)) / TEMPERATURE)
             score = weight[np.arange(len(part)), best] / weight.sum(axis=1)
             near = cosine[np.arange(len(part)), at]
-            for i, b, s, c, low in zip(part, best, score, near, MARGIN * self.low[at] * short):
+            for i, b, s, c, low in zip(part, best, score, near, MARGIN * self.low[at] * closeness(count)):
                 out[i] = (self.langs[b], float(min(1.0, s)), float(c), bool(c < low))
         return out
 
@@ -188,8 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_lang: int = PER_LANG, clusters:
 
     def centres(group: pd.DataFrame) -> pd.DataFrame:  # at most per_lang rows
         group = group.sort_values("grams")  # the same draws in any order of rows
-        x = vectors(np.array([np.frombuffer(g, np.float32) for g in group["grams"]], dtype=float), idf)
-        c, low = cluster(x, clusters)
+        count = np.array([np.frombuffer(g, np.float32) for g in group["grams"]], dtype=float)
+        x = vectors(count, idf)
+        c, _ = cluster(x, clusters)
+        low = lowest(x, closeness(count), c)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "low": low, "centroid": [v.tobytes() for v in c]})
 
     found = grams.groupBy("lang").applyInPandas(centres, "lang string, low double, centroid binary").toPandas()

@@ -74,6 +74,28 @@ def test_clusters_of_two_dialects_with_outliers():
         assert len(language_id.cluster(x[[0] * n], 4)[0]) == 1
 
 
+UNLEARNED = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+    "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem "
+    "i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel "
+    "bírván, egymással szemben testvéri szellemben kell hogy viseltessenek."]
+
+
+def test_far_texts_are_rejected_despite_scraps(spark):
+    rnd = random.Random(13)
+    rows = [(i, speak(rnd, lang, rnd.randint(5, 120)), lang) for i in range(1350)
+            for lang in [rnd.choice("aa bb cc".split())]]
+    rows += [(3000 + 10 * k + i, scrap, lang) for k, lang in enumerate(SOUNDS) for i, scrap in enumerate(SCRAPS[:2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, docs.filter("doc_id % 3 > 0 OR doc_id >= 3000"), per_lang=600, clusters=1)
+    held = [(t, lang) for i, t, lang in rows if i < 3000 and i % 3 == 0]
+    assert [(r[0], r[3]) for r in model.judge([t for t, _ in held])] == [(lang, False) for _, lang in held]
+    noise = [words(rnd, n, "abcdefghijklmnopqrstuvwxyz") for n in (10, 20, 50, 100, 300) for _ in range(20)]
+    assert all(r[3] for r in model.judge(noise + UNLEARNED))
+
+
 def brute_marginals(score, trans):
     n = len(score)
     weight = {}
