@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 from millrate.llm.common import bounded_sample, labelled_texts, pieces, stored
 
 #: Documented bounds of the fit: labelled texts per class, and n-grams.
-PER_CLASS, MAX_GRAMS = 1500, 4000
-GRAM_SIZES = (4, 5, 6, 8)
-#: An n-gram marks toxic words from these on (a ratio of 25 takes five texts at least).
-MIN_RATIO, MIN_LOG_ODDS, MIN_TEXTS = 25.0, 3.0, 5
+PER_CLASS, MAX_GRAMS = 2500, 4000
+GRAM_SIZES = (3, 4, 5, 6, 7, 8)
+#: An n-gram marks toxic words from these log odds and toxic texts on, if its
+#: log-likelihood ratio reaches a floor: the lowest at which at most FALSE_SHARE of the
+#: marking n-grams are expected by chance, however large the sample.
+MIN_LOG_ODDS, MIN_TEXTS, FALSE_SHARE = 3.0, 3, 0.01
 #: Texts of the sample that the CRF itself is trained on, and its steps.
 CRF_TEXTS, CRF_STEPS, CRF_RIDGE = 1000, 80, 0.05
 THRESHOLD = 0.7
@@ -240,19 +242,27 @@ def _marking_grams(sample: DataFrame, max_grams: int) -> list[str]:
     if not total or not total["a"]:
         return []
     n1, n0 = float(total["a"]), float(total["b"])
-    a, b = F.col("a"), F.col("b")
-    share = (a + b) / F.lit(n1 + n0)
 
     def part(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
+    a, b = F.col("a"), F.col("b")
+    share = (a + b) / F.lit(n1 + n0)
     ratio = 2 * (part(a, share * n1) + part(b, share * n0)
                  + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0))
     odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
-    found = (counted.filter("gram <> ''").withColumn("ratio", ratio)
-             .filter((F.col("ratio") >= MIN_RATIO) & (odds >= MIN_LOG_ODDS))
-             .orderBy(F.desc("ratio"), "gram").limit(max_grams).select("gram").collect())
-    return [r["gram"] for r in found]
+    tested = counted.filter("gram <> ''")
+    found = (tested.withColumn("ratio", ratio).filter(odds >= MIN_LOG_ODDS)
+             .orderBy(F.desc("ratio"), "gram").limit(max_grams).select("gram", "ratio").collect())
+    return [r["gram"] for r in found[:_above_chance([r["ratio"] for r in found], tested.count())]]
+
+
+def _above_chance(ratios: list[float], tested: int) -> int:
+    """How many of the falling ``ratios`` mark, by Benjamini and Hochberg's rule: chance
+    gives a ratio or more to at most exp(-ratio / 2) of the n-grams ``tested``."""
+    expected = np.exp(-np.array(ratios) / 2) * tested
+    inside = np.flatnonzero(expected <= FALSE_SHARE * np.arange(1, len(ratios) + 1))
+    return int(inside[-1]) + 1 if len(inside) else 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,

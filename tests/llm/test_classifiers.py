@@ -122,6 +122,9 @@ def test_forward_backward(block, monkeypatch):
     assert np.allclose(got, want)
 
 
+NORMAL = [a + b for a in "ba be bi mo ma tra ko lu".split() for b in "ba be bi mo ma tra ko lu".split()]
+
+
 def toxic_rows(n: int = 400):
     rnd = random.Random(6)
     rows = []
@@ -149,6 +152,31 @@ def test_toxicity(spark, odd, empty):
     assert none is None and toxicity.score(docs, none).agg({"score": "max"}).first()[0] == 0
 
 
+def test_rare_toxic_words_are_learned(spark):
+    """A word of 0.6% of the toxic texts, in a sample as large on the clean side."""
+    rnd = random.Random(14)
+    rows = []
+    for i in range(5000):
+        text = [rnd.choice(NORMAL) for _ in range(30)]
+        if i % 2:
+            text.insert(rnd.randrange(30), "grulnix" if i % 167 == 1 else "vile")
+        rows.append((i, " ".join(text), i % 2))
+    assert 12 <= sum("grulnix" in t for _, t, _ in rows) <= 17
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs)
+    score, spans = model.judge(["mo grulnix ba", "mo bebi ba"])[0]
+    assert [(s["start"], s["end"]) for s in spans] == [(3, 10)] and score >= 0.5
+    assert not model.judge([t for _, t, bad in rows if not bad][0:1])[0][1]
+
+
+def test_floor_follows_chance():
+    ratios = [60.0] * 50 + [24.0] * 10 + [18.0] * 40
+    assert toxicity._above_chance(ratios, 1_000) == 100      # exp(-9) * 1,000 = 0.12
+    assert toxicity._above_chance(ratios, 20_000) == 60      # 2.5 of 100, but exp(-12) * 20,000 = 0.12
+    assert toxicity._above_chance(ratios, 1_000_000) == 50   # 6.1 of 60
+    assert toxicity._above_chance([5.0], 1_000) == 0 and toxicity._above_chance([], 0) == 0
+
+
 def test_mixing(spark, odd, empty):
     rnd = random.Random(8)
     rows = [(i, speak(rnd, lang, rnd.randint(1, 60)), lang) for i in range(240)
