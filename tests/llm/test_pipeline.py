@@ -53,6 +53,6 @@ def test_stages(spark):
 def test_registry():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "simhash", "mixing", "byte_bpe"]
