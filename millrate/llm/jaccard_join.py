@@ -6,14 +6,14 @@ link: what is within eps of a pivot p and linked with y has y within 2 eps of p.
 1. Equal sets are one node.  Two nodes with a link share a shingle among the
    first n - ceil(t n) + 1 of each in one order of all shingles.  Frequent
    shingles come last in that order; any order gives the same links.
-2. The nodes that share such a shingle elect the smallest of them as pivot.  A
-   pivot and all nodes that met it are a region.
+2. Of the nodes that share such a shingle, each is a pivot if they are few;
+   else the smallest is, and a pivot and all nodes that met it are a region.
 3. A region's nodes are compared with its pivots.  A node within eps of some
    pivots belongs to the Voronoi cell of the nearest; a node of another cell
    within 2 eps of a pivot is replicated into that pivot's region as its window,
    unless it is connected with the pivot already; nodes within eps of no pivot
-   are a region of their own.  These regions join in the same way, with eight
-   times the pivots in each round, until a region's nodes are all pivots or all
+   are a region of their own.  These regions join in the same way, with more
+   pivots in each round, until a region's nodes are all pivots or all
    connected.  A pair with a link thus meets a pivot, is connected through one, or
    goes into one region of the next round together.
 
@@ -48,10 +48,11 @@ from millrate.llm.simhash import components
 
 SHINGLE, PERCENT = 5, 80
 #: Pivots of a region in its first round of several, and how many times more in each next one.
-PIVOTS, MORE = 8, 8
-#: Frequent shingles that go last: in more documents than this, the most frequent
-#: ones first, up to a bound of what is broadcast.  They change no result.
-FREQUENT, FREQUENT_KEPT = 32, 1 << 18
+PIVOTS, MORE = 32, 16
+#: Frequent shingles that go last: in more documents than this (fewer nodes are all
+#: pivots), the most frequent ones first, up to a bound of what is broadcast; and the
+#: share of a set, in first sizes, that is counted.  They change no result.
+FREQUENT, FREQUENT_KEPT, COUNTED = 32, 1 << 18, 2
 #: Nodes whose ids are broadcast at most to find their texts; more are joined.
 BROADCAST_NODES = 1_000_000
 #: Rows of a region that meet its pivots in one task.
@@ -111,7 +112,7 @@ def _frequent(docs: DataFrame, k: int, percent: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingles(x, k) for x in batch.column("text").to_pylist() if x]
-            first = [_short(s[:prefix_size(len(s), percent)]) for s in sets if len(s)]
+            first = [_short(s[:COUNTED * prefix_size(len(s), percent)]) for s in sets if len(s)]
             if first:
                 key, n = np.unique(np.concatenate(first), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
@@ -134,7 +135,7 @@ def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                 s = shingles(text or "", k)
                 n.append(len(s))
                 node.append(node_id(s))
-                last = np.isin(_short(s), late)
+                last = late[np.searchsorted(late[:-1], _short(s))] == _short(s) if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[:prefix_size(len(s), percent)] if len(s) else s
                 keys.append(first.view(np.int64))
                 hist.append(histogram(s))
@@ -229,13 +230,23 @@ class Comparer:
 
 
 # --- regions ----------------------------------------------------------------------------
-def _first_regions(rows: DataFrame) -> DataFrame:
-    """region (the pivot's node), node: the other nodes that share one of their
-    first shingles with it."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """key, node, region (the smallest node with the key), many: the nodes that
+    share one of their first shingles with another."""
     keyed = rows.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("region"), F.max("node").alias("last")).filter(
-        "region < last").select("key", "region")
-    return keyed.join(shared, "key").filter("node <> region").select("region", "node").distinct()
+    shared = keyed.groupBy("key").agg(
+        F.min("node").alias("region"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter(
+        "region < last").select("key", "region", (F.col("n") > FREQUENT).alias("many"))
+    return keyed.join(shared, "key")
+
+
+def _all_pivots(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b, of each key with few nodes (at most :data:`FREQUENT`)."""
+    few = shared.filter(~F.col("many")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    size = F.size("nodes")
+    pairs = F.flatten(F.transform(F.slice("nodes", 1, size - 1), lambda a, i: F.transform(
+        F.slice("nodes", i + 2, size), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _connected(links: DataFrame | None, members: DataFrame) -> DataFrame:
@@ -301,20 +312,23 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several, "region", "left_semi")
 
 
-def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, root of all nodes with a link to a smaller one's component (None: no links)."""
+def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root of all nodes that are linked with another, but the roots."""
     compare = Comparer(docs, nodes, k, percent)
-    members = stored(_first_regions(rows), "regions")
+    shared = stored(_shared(rows), "shared-shingles")
+    members = stored(shared.filter("many and node <> region").select("region", "node").distinct(), "regions")
+    pairs = _all_pivots(shared)
     pivots = members.select("region", F.col("region").alias("pivot")).distinct()
     meetings = members.select("region", F.col("region").alias("pivot"), "node")
-    edges = links = None
+    links = None
     most, turn = PIVOTS, 0
     while True:
-        pairs = meetings.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        found = compare.distances(pairs)
+        asked = meetings.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+        found = compare.distances((asked if pairs is None else asked.unionByName(pairs)).distinct())
+        pairs = None
         new = found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = new if edges is None else edges.unionByName(new)
-        links = components(edges.distinct())
+        links = components(new if links is None else new.unionByName(
+            links.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         met = meetings.withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).join(
             found, ["a", "b"]).select("region", "pivot", "node", "distance", "linked")
         members = stored(_open(_split(met, members, pivots, links, turn)), "regions")
