@@ -4,15 +4,19 @@
 link: what is within eps of a pivot p and linked with y has y within 2 eps of p.
 
 1. Equal sets are one node.  Two nodes with a link share a shingle among the
-   first n - ceil(t n) + 1 of each in one order of all shingles.  Frequent
-   shingles come last in that order; any order gives the same links.
-2. Of the nodes that share such a shingle, each is a pivot if they are few;
-   else the smallest is, and a pivot and all nodes that met it are a region.
+   first n - ceil(t n) + 1 of the larger and the first m - ceil(2 t m / (1 + t)) + 1
+   of the smaller one, in one order of all shingles.  Frequent shingles come last
+   in that order; any order gives the same links.
+2. Of the nodes that share such a shingle, each is a pivot if they are few; else
+   the smallest that has it among the fewer first ones (an owner) is, and a pivot
+   and all nodes that met it are a region.  Two nodes that own none of what they
+   share need not meet: only owners become pivots.
 3. A region's nodes are compared with its pivots.  A node within eps of some
    pivots belongs to the Voronoi cell of the nearest; a node of another cell
    within 2 eps of a pivot is replicated into that pivot's region as its window,
    unless it is connected with the pivot already; nodes within eps of no pivot
-   are a region of their own.  These regions join in the same way, with more
+   are a region of their own.  A region that windows would replicate more than
+   1.5 times stays whole, without its pivots.  These regions join in the same way, with more
    pivots in each round, until a region's nodes are all pivots or all
    connected.  A pair with a link thus meets a pivot, is connected through one, or
    goes into one region of the next round together.
@@ -48,13 +52,16 @@ from millrate.llm.simhash import components
 
 SHINGLE, PERCENT = 5, 80
 #: Pivots of a region in its first round of several, and how many times more in each next one.
-PIVOTS, MORE = 32, 16
+PIVOTS, MORE = 16, 16
 #: Frequent shingles that go last: in more documents than this (fewer nodes are all
-#: pivots), the most frequent ones first, up to a bound of what is broadcast; and the
-#: share of a set, in first sizes, that is counted.  They change no result.
-FREQUENT, FREQUENT_KEPT, COUNTED = 32, 1 << 18, 2
+#: pivots), the most frequent ones first, up to a bound of what is broadcast; the share of a
+#: set, in first sizes, that is counted one by one; shingles held at once to count those
+#: that documents share.  They change no result.
+FREQUENT, FREQUENT_KEPT, COUNTED, RUN = 32, 1 << 18, 1, 1 << 21
 #: Nodes whose ids are broadcast at most to find their texts; more are joined.
 BROADCAST_NODES = 1_000_000
+#: A region is split if its parts hold at most so many times its rows.
+DENSE = 1.5
 #: Rows of a region that meet its pivots in one task.
 SALT_ROWS = 50_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +88,10 @@ def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
+def owned_size(n: int, percent: int) -> int:
+    return n + (-2 * percent * n // (100 + percent)) + 1
+
+
 def histogram(hashes: np.ndarray) -> bytes:
     """How many hashes fall in each of a power of two of buckets, one for two
     hashes or more; 255: that many or more."""
@@ -107,15 +118,29 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Sorted upper halves of the hashes that are first in many documents."""
+    """Sorted upper halves of the hashes that many documents have.  Of a task's
+    documents, in runs of :data:`RUN` shingles, all counts of their first shingles
+    are added up, and those of other shingles that several documents share."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        first = np.concatenate([np.arange(len(s)) < COUNTED * prefix_size(len(s), percent) for s in sets])
+        key, place, n = np.unique(_short(np.concatenate(sets)), return_inverse=True, return_counts=True)
+        wanted = n > 1
+        wanted[place[first]] = True
+        return pa.RecordBatch.from_arrays([pa.array(key[wanted]), pa.array(n[wanted])], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in pieces(batches):
-            sets = [shingles(x, k) for x in batch.column("text").to_pylist() if x]
-            first = [_short(s[:COUNTED * prefix_size(len(s), percent)]) for s in sets if len(s)]
-            if first:
-                key, n = np.unique(np.concatenate(first), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            for text in batch.column("text").to_pylist():
+                if text and len(s := shingles(text, k)):
+                    held.append(s)
+                    size += len(s)
+                    if size >= RUN:
+                        yield counted(held)
+                        held, size = [], 0
+        if held:
+            yield counted(held)
 
     counts = docs.select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).select("key")
@@ -124,13 +149,13 @@ def _frequent(docs: DataFrame, k: int, percent: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, node (its set's id, NULL for none), n, keys (the first
-    shingles in the common order), hist."""
+    shingles in the common order), owned (how many of them it owns), hist."""
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), "text")
     late = _frequent(rows, k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            node, n, keys, hist = [], [], [], []
+            node, n, keys, owned, hist = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text or "", k)
                 n.append(len(s))
@@ -138,16 +163,18 @@ def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                 last = late[np.searchsorted(late[:-1], _short(s))] == _short(s) if len(late) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~last], s[last]])[:prefix_size(len(s), percent)] if len(s) else s
                 keys.append(first.view(np.int64))
+                owned.append(owned_size(len(s), percent) if len(s) else 0)
                 hist.append(histogram(s))
             ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.int64()),
                  pa.array(n, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))),
-                 pa.array(hist, pa.binary())],
-                names=["doc_id", "text_hash", "node", "n", "keys", "hist"])
+                 pa.array(owned, pa.int32()), pa.array(hist, pa.binary())],
+                names=["doc_id", "text_hash", "node", "n", "keys", "owned", "hist"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, hist binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, owned int, "
+                                "hist binary")
 
 
 def node_id(s: np.ndarray) -> int | None:
@@ -231,22 +258,25 @@ class Comparer:
 
 # --- regions ----------------------------------------------------------------------------
 def _shared(rows: DataFrame) -> DataFrame:
-    """key, node, region (the smallest node with the key), many: the nodes that
-    share one of their first shingles with another."""
-    keyed = rows.select(F.explode("keys").alias("key"), "node")
+    """key, node, own, region (the smallest owner of the key), many: the nodes
+    that share one of their first shingles with an owner of it."""
+    keyed = rows.select("node", "owned", F.posexplode("keys").alias("place", "key")).select(
+        "key", "node", (F.col("place") < F.col("owned")).alias("own"))
     shared = keyed.groupBy("key").agg(
-        F.min("node").alias("region"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).filter(
-        "region < last").select("key", "region", (F.col("n") > FREQUENT).alias("many"))
+        F.min("node").alias("a"), F.max("node").alias("b"), F.min(F.when(F.col("own"), F.col("node"))).alias("region"),
+        F.count(F.lit(1)).alias("n")).filter("a < b and region is not null").select(
+        "key", "region", (F.col("n") > FREQUENT).alias("many"))
     return keyed.join(shared, "key")
 
 
 def _all_pivots(shared: DataFrame) -> DataFrame:
     """(a, b), a < b, of each key with few nodes (at most :data:`FREQUENT`)."""
-    few = shared.filter(~F.col("many")).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    few = shared.filter(~F.col("many")).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "own"))).alias("nodes"))
     size = F.size("nodes")
     pairs = F.flatten(F.transform(F.slice("nodes", 1, size - 1), lambda a, i: F.transform(
         F.slice("nodes", i + 2, size), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    return few.select(F.explode(pairs).alias("p")).filter("p.a.own or p.b.own").select(
+        F.col("p.a.node").alias("a"), F.col("p.b.node").alias("b")).distinct()
 
 
 def _connected(links: DataFrame | None, members: DataFrame) -> DataFrame:
@@ -259,27 +289,28 @@ def _connected(links: DataFrame | None, members: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame, most: int, salt: int) -> DataFrame:
-    """region, pivot, salts: up to ``most`` pivots for each region, all its nodes
-    if there are as few; nodes of its smaller components first."""
+    """region, pivot, home (its component), salts: up to ``most`` pivots for each
+    region, all its owners if there are as few; those of smaller components first."""
     counts = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
     size = counts.groupBy("region").agg(F.sum("in_comp").alias("size"))
     few = F.col("size") <= most
     place = F.when(few, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(most)))
-    return (members.join(counts, ["region", "comp"]).join(size, "region")
+    return (members.filter("own").join(counts, ["region", "comp"]).join(size, "region")
             .groupBy("region", place.alias("place"))
-            .agg(F.min(F.struct("in_comp", F.xxhash64("node").alias("h"), "node")).alias("least"),
+            .agg(F.min(F.struct("in_comp", F.xxhash64("node").alias("h"), "node", "comp")).alias("least"),
                  F.max("size").alias("size"))
-            .select("region", F.col("least.node").alias("pivot"),
+            .select("region", F.col("least.node").alias("pivot"), F.col("least.comp").alias("home"),
                     F.ceil(F.col("size") / SALT_ROWS).cast("int").alias("salts")))
 
 
 def _meetings(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """region, pivot, node: each node of a region with each of its pivots.  A
-    large region's nodes are dealt out by salt; its pivots go to all salts."""
+    """region, pivot, node: each node of a region with each of its pivots that it
+    isn't connected with.  A large region's nodes are dealt out by salt; its pivots
+    go to all salts."""
     salts = pivots.groupBy("region").agg(F.max("salts").alias("salts"))
     dealt = members.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    asked = pivots.select("region", "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return dealt.join(asked, ["region", "salt"]).filter("node <> pivot").select("region", "pivot", "node")
+    asked = pivots.select("region", "pivot", "home", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.join(asked, ["region", "salt"]).filter("comp <> home").select("region", "pivot", "node")
 
 
 def _split(met: DataFrame, members: DataFrame, pivots: DataFrame, links: DataFrame, salt: int) -> DataFrame:
@@ -287,28 +318,35 @@ def _split(met: DataFrame, members: DataFrame, pivots: DataFrame, links: DataFra
     rest = members.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
     cell = met.filter("linked").groupBy("region", "node").agg(
         F.min(F.struct("distance", "pivot"))["pivot"].alias("cell"))
-    placed = _connected(links, rest.join(cell, ["region", "node"], "left").select("region", "node", "cell"))
+    placed = _connected(links, rest.join(cell, ["region", "node"], "left").select("region", "node", "own", "cell"))
 
-    def new(*keys: str) -> Column:
-        return F.xxhash64("region", *keys, F.lit(salt)).alias("region")
+    def new(*keys: str) -> list[Column]:
+        return [F.col("region").alias("parent"), F.xxhash64("region", *keys, F.lit(salt)).alias("region")]
 
-    far = placed.filter("cell is null").select(new(), "node", "comp")
-    cells = placed.filter("cell is not null").select("region", F.col("cell").alias("pivot"), "node", "comp")
+    far = placed.filter("cell is null").select(*new(), "node", "own", "comp")
+    cells = placed.filter("cell is not null").select("region", F.col("cell").alias("pivot"), "node", "own", "comp")
     root = _connected(links, pivots.select("region", F.col("pivot").alias("node"))).select(
         "region", F.col("node").alias("pivot"), F.col("comp").alias("home"))
     window = (met.select("region", "pivot", "node").join(placed, ["region", "node"])
               .filter(~F.col("cell").eqNullSafe(F.col("pivot")))
-              .join(root, ["region", "pivot"]).filter("comp <> home").select("region", "pivot", "node", "comp"))
+              .join(root, ["region", "pivot"]).filter("comp <> home").select("region", "pivot", "node", "own", "comp"))
     open_cells = window.select("region", "pivot").distinct()
     near = cells.join(open_cells, ["region", "pivot"], "left_semi").unionByName(window).select(
-        new("pivot"), "node", "comp")
-    return far.unionByName(near).distinct()
+        *new("pivot"), "node", "own", "comp")
+    split = stored(far.unionByName(near).distinct(), "split-regions")
+    # Where windows take in most of a dense region, it stays whole, less its pivots.
+    before = placed.groupBy("region").agg(F.count(F.lit(1)).alias("before"))
+    dense = split.groupBy("parent").agg(F.count(F.lit(1)).alias("after")).join(
+        before, F.col("parent") == F.col("region")).filter(F.col("after") > DENSE * F.col("before")).select("parent")
+    whole = placed.select(*new(), "node", "own", "comp").join(dense, "parent", "left_semi")
+    return split.join(dense, "parent", "left_anti").unionByName(whole).drop("parent")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The regions that have nodes of several components."""
-    several = members.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter(
-        "a < b").select("region")
+    """The regions that have owners, and nodes of several components."""
+    several = members.groupBy("region").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("own").alias("own")).filter(
+        "own and a < b").select("region")
     return members.join(several, "region", "left_semi")
 
 
@@ -316,7 +354,8 @@ def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percen
     """node, root of all nodes that are linked with another, but the roots."""
     compare = Comparer(docs, nodes, k, percent)
     shared = stored(_shared(rows), "shared-shingles")
-    members = stored(shared.filter("many and node <> region").select("region", "node").distinct(), "regions")
+    members = stored(shared.filter("many and node <> region").groupBy("region", "node").agg(
+        F.max("own").alias("own")), "regions")
     pairs = _all_pivots(shared)
     pivots = members.select("region", F.col("region").alias("pivot")).distinct()
     meetings = members.select("region", F.col("region").alias("pivot"), "node")
@@ -336,8 +375,8 @@ def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percen
             return links
         turn += 1
         pivots = stored(_pivots(members, most, turn), "pivots")
-        members = members.select("region", "node")
         meetings = stored(_meetings(members, pivots), "meetings")
+        members = members.select("region", "node", "own")
         most *= MORE
 
 
