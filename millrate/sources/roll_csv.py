@@ -1,7 +1,7 @@
 """County roll CSV (S1) and label CSV (S5) readers.
 
-Columns are taken by header name as strings (optional columns may be
-absent, so a positional schema would misalign them), then projected to
+Columns are taken by each file's own header as strings (files may order their
+columns differently, or lack optional ones), then projected to
 the fixed roll schema with ``try_cast``; bad rows are counted by one
 aggregate and fail the load (all-or-nothing), or are returned aside.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrate import config
-from millrate.schemas import PARCEL_COLUMNS, ROLL_CSV_REQUIRED
+from millrate.schemas import PARCEL_COLUMNS, ROLL_CSV_OPTIONAL, ROLL_CSV_REQUIRED
+from millrate.sources.csv_records import field, read_records
 
 _MONEY_COLS = ("assessment_value", "homestead_exclusion", "farmstead_exclusion",
                "face_tax_amount", "discount_amount", "penalty_amount")
@@ -25,14 +26,21 @@ class RollLoadError(ValueError):
     pass
 
 
-def parse_roll(raw: DataFrame, default_issue: _dt.date | None = None) -> DataFrame:
-    """Typed roll rows plus a ``_bad`` flag from a string-typed CSV frame."""
-    missing = [c for c in ROLL_CSV_REQUIRED if c not in raw.columns]
+def _require(columns: list[str]) -> None:
+    missing = [c for c in ROLL_CSV_REQUIRED if c not in columns]
     if missing:
         raise RollLoadError(f"roll CSV lacks required columns: {missing}")
+
+
+def parse_roll(raw: DataFrame, default_issue: _dt.date | None = None) -> DataFrame:
+    """Typed roll rows plus a ``_bad`` flag from a string-typed CSV frame."""
+    _require(raw.columns)
     default_issue = default_issue or config.DEFAULT_ISSUE_DATE
 
     def opt(name: str, default):
+        """The default stands where a row's file has no such column."""
+        if "_header" in raw.columns:
+            return F.when(F.array_contains("_header", name), F.col(name)).otherwise(default)
         return F.col(name) if name in raw.columns else default
 
     zero = F.lit(str(Decimal("0.00")))
@@ -76,19 +84,12 @@ def parse_roll(raw: DataFrame, default_issue: _dt.date | None = None) -> DataFra
     for m in ("assessment_value", "face_tax_amount", "discount_amount", "penalty_amount"):
         bad = bad | F.col(m).isNull()
     if "_file" in raw.columns:
-        # A quoted CSV file is read by one task in order; files follow their names.
+        # The record's place in its file; files follow their names.
         out = out.withColumn("row_no", F.struct(F.col("_file"), F.col("_at")))
         return out.withColumn("_bad", bad).select(*PARCEL_COLUMNS, "row_no", "_bad")
     return out.withColumn("_bad", bad).select(*PARCEL_COLUMNS, "_bad")
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV as Python's csv module reads it: doubled quotes, and line ends inside
-    quotes.  All columns are strings."""
-    return (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-            .option("multiLine", True).csv(path))
-
-
 def read_roll(spark: SparkSession, path: str, default_issue: _dt.date | None = None,
               on_bad: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
     """Read a county roll CSV into the roll schema, with ``row_no``, the order of
@@ -97,8 +98,11 @@ def read_roll(spark: SparkSession, path: str, default_issue: _dt.date | None = N
     ``on_bad="fail"``: any unparsable row aborts the load (one aggregate).
     ``on_bad="split"``: returns (good rows, bad rows).
     """
-    raw = _read_csv(spark, path).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    records, headers = read_records(spark, path)
+    for header in headers:
+        _require([c or "" for c in header])
+    raw = records.select(*[field(c).alias(c) for c in (*ROLL_CSV_REQUIRED, *ROLL_CSV_OPTIONAL)],
+                         F.col("header").alias("_header"), F.col("file").alias("_file"), F.col("at").alias("_at"))
     parsed = parse_roll(raw, default_issue)
     if on_bad == "split":
         return (parsed.filter(~F.col("_bad")).drop("_bad"),
@@ -110,10 +114,9 @@ def read_roll(spark: SparkSession, path: str, default_issue: _dt.date | None = N
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Name/Address label CSV; missing Name is 'Resident', missing Address ''."""
-    raw = _read_csv(spark, path)
-    name = F.col("Name") if "Name" in raw.columns else F.lit(None).cast("string")
-    addr = F.col("Address") if "Address" in raw.columns else F.lit(None).cast("string")
-    return raw.select(F.coalesce(name, F.lit("Resident")).alias("name"),
-                      F.coalesce(addr, F.lit("")).alias("address"),
-                      F.monotonically_increasing_id().alias("file_order"))
+    """Name/Address label CSV; missing Name is 'Resident', missing Address ''.
+    ``file_order``: the order of rows in the file, and of files by name."""
+    records, _ = read_records(spark, path)
+    return records.select(F.coalesce(field("Name"), F.lit("Resident")).alias("name"),
+                          F.coalesce(field("Address"), F.lit("")).alias("address"),
+                          F.struct("file", "at").alias("file_order"))
