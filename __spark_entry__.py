@@ -208,6 +208,14 @@ def q_unknown_parcels(L: Ledger) -> DataFrame:
     return posting.unknown_parcels(fixtures.orphan_attempts(L.attempts), L.roll)
 
 
+def q_undated_attempts(L: Ledger) -> DataFrame:
+    return posting.undated_attempts(fixtures.undated(L.attempts), L.roll)
+
+
+def q_post_payments_undated(L: Ledger) -> DataFrame:
+    return _journal_cols(posting.post_payments(fixtures.undated(L.attempts), L.roll))
+
+
 def q_record_payments(L: Ledger) -> DataFrame:
     rows = L.attempts.select(F.col("seq").alias("transaction_id"),
                              F.col("date").alias("date_received"), "parcel_id",
@@ -421,7 +429,7 @@ def _read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def _streamed(L: Ledger, part: str) -> str:
-    """Run the intake stream once per ledger, two files a batch; its three sinks."""
+    """Run the intake stream once per ledger, two files a batch; its sinks."""
     if "stream_payments" not in L.paths:
         spark = L.spark
         src = _attempt_stream_dir(spark, L, with_repeats=False)
@@ -429,7 +437,8 @@ def _streamed(L: Ledger, part: str) -> str:
         locks = _lock_table_path(L)
         stream.stream_payments(spark, src, spark.read.parquet(L.paths["roll"]),
                                lambda: spark.read.parquet(locks), *sinks,
-                               scratch_path(spark, "stream-ckpt"), max_files_per_trigger=2)
+                               scratch_path(spark, "stream-ckpt"), scratch_path(spark, "stream-undated"),
+                               max_files_per_trigger=2)
         L.paths.update(zip(("stream_payments", "stream_refused", "stream_unknown"), sinks))
     return L.paths[part]
 
@@ -570,6 +579,8 @@ LEDGER_QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "amount_due": lambda L: lookup.amount_due(L.parcels, AS_OF),
     "post_payments": q_post_payments,
     "unknown_parcels": q_unknown_parcels,
+    "undated_attempts": q_undated_attempts,
+    "post_payments_undated": q_post_payments_undated,
     "record_payments": q_record_payments,
     "exonerations": q_exonerations,
     "nsf_reversals": q_nsf_reversals,

@@ -69,10 +69,11 @@ def payment_period(postmark: ColumnLike, issue: ColumnLike,
 def expected_amount(period: ColumnLike, discount: ColumnLike = "discount_amount",
                     face: ColumnLike = "face_tax_amount",
                     penalty: ColumnLike = "penalty_amount") -> Column:
+    """The amount in force in a period (NULL without one)."""
     p = _c(period)
     return (F.when(p == "DISCOUNT", _c(discount))
             .when(p == "FACE", _c(face))
-            .otherwise(_c(penalty)))
+            .when(p == "PENALTY", _c(penalty)))
 
 
 # D6 ------------------------------------------------------------------------

@@ -54,15 +54,21 @@ def add_interim(current: DataFrame, new: DataFrame,
     """(roll with accepted interim bills, rejected requests).
 
     A request is accepted only if its parcel id is absent (first request of
-    a repeated id wins).  Accepted rows: ``is_interim`` true, UNPAID, bill
+    a repeated id wins; of requests with one place in the order, the one with the
+    smallest values).  Accepted and rejected requests add up to all.  Accepted rows: ``is_interim`` true, UNPAID, bill
     number ``INT-<id>``, mailing = property address, type Real Estate unless
     given, exclusions 0.
     """
-    cols = [c for c in new.columns if c != "parcel_id"]
-    first = _last_per_key(new, "parcel_id", order_col, ["parcel_id", *cols], first=True)
-    repeats = new.join(first.select("parcel_id", F.col(order_col).alias("_first")),
-                       "parcel_id", "inner").filter(F.col(order_col) != F.col("_first")) \
-        .drop("_first").withColumn("reason", F.lit("duplicate request"))
+    cols = new.columns
+    same = new.groupBy(*cols).agg(F.count(F.lit(1)).alias("_times"))  # equal requests, once
+    place = F.struct(order_col, *[c for c in cols if c != order_col])
+    first = same.groupBy("parcel_id").agg(F.min(place).alias("_first")).select("parcel_id", "_first")
+    ranked = same.join(first, "parcel_id").withColumn("_is", place.eqNullSafe(F.col("_first")))
+    first = ranked.filter("_is").select(*cols)
+    again = F.col("_times") - F.col("_is").cast("int")
+    repeats = ranked.filter(again > 0).withColumn(
+        "_n", F.explode(F.sequence(F.lit(1), again.cast("int")))).select(*cols).withColumn(
+        "reason", F.lit("duplicate request"))
     exists = first.join(current.select("parcel_id"), "parcel_id", "left_semi") \
         .withColumn("reason", F.lit("already exists"))
     ok = first.join(current.select("parcel_id"), "parcel_id", "left_anti")

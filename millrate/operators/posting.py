@@ -48,6 +48,13 @@ def unknown_parcels(attempts: DataFrame, parcels: DataFrame) -> DataFrame:
     return attempts.join(parcels.select("parcel_id"), "parcel_id", "left_anti")
 
 
+def undated_attempts(attempts: DataFrame, parcels: DataFrame) -> DataFrame:
+    """Attempts on parcels of the roll that have no date to be priced by (no
+    journal row; an error).  With them, posted and unknown rows add up to the attempts."""
+    return attempts.filter(F.col("date").isNull()).join(
+        parcels.select("parcel_id"), "parcel_id", "left_semi")
+
+
 def post_payments(attempts: DataFrame, parcels: DataFrame,
                   default_issue: _dt.date | None = None,
                   message_semantics: str = "literal",
@@ -58,9 +65,10 @@ def post_payments(attempts: DataFrame, parcels: DataFrame,
 
     Accepted rows carry the period, method and installment number and the
     default balance of 0.00; rejected rows carry the face amount as balance
-    and ``Rejected: <message> (<code>)`` as note.
+    and ``Rejected: <message> (<code>)`` as note.  An attempt without a date has
+    no price and no month: see :func:`undated_attempts`.
     """
-    v = validate_attempts(attempts, parcels, default_issue, message_semantics)
+    v = validate_attempts(attempts.filter(F.col("date").isNotNull()), parcels, default_issue, message_semantics)
     ok = F.col("is_valid")
     method = F.lit(force_method) if force_method else rules.payment_method("check_number")
     inst = F.col("installment_num") if keep_installment else F.lit(None).cast("int")
@@ -213,7 +221,7 @@ def split_by_month_lock(rows: DataFrame, journal: DataFrame,
                         type_col: str = "transaction_type") -> tuple[DataFrame, DataFrame]:
     """(allowed, refused): non-rejected rows dated in a locked month are refused.
 
-    Rejected attempts are always recorded.
+    Rejected attempts are always recorded.  A row without a type is a PAYMENT.
     """
     return split_by_lock_table(rows, locked_months(journal), date_col, type_col)
 
@@ -227,6 +235,7 @@ def split_by_lock_table(rows: DataFrame, lock_table: DataFrame,
     """
     locks = lock_table.select(F.col("lock_month").alias("_lock")).distinct()
     flagged = rows.join(locks, rules.month_start(date_col) == F.col("_lock"), "left").withColumn(
-        "_refused", F.col("_lock").isNotNull() & (F.col(type_col) != "REJECTED_PAYMENT"))
+        "_refused", F.col("_lock").isNotNull() & (
+            F.coalesce(F.col(type_col), F.lit("PAYMENT")) != "REJECTED_PAYMENT"))
     allowed = flagged.filter(~F.col("_refused")).drop("_lock", "_refused")
     return allowed, flagged.filter("_refused").drop("_lock", "_refused")

@@ -54,8 +54,8 @@ def review_queue(extractions: DataFrame, parcels: DataFrame,
 
 def duplicate_payments(journal: DataFrame) -> DataFrame:
     """(parcel, check, amount, installment) groups of accepted payments recorded more
-    than once.  Cash has no check number to repeat."""
-    checks = journal.filter((F.col("transaction_type") == "PAYMENT") & (F.col("check_number") != "CASH"))
+    than once.  Cash has no check number to repeat; payments without any number can."""
+    checks = journal.filter((F.col("transaction_type") == "PAYMENT") & ~F.col("check_number").eqNullSafe("CASH"))
     return checks.groupBy("parcel_id", "check_number", "amount_paid", "installment_number").agg(
         F.count(F.lit(1)).alias("times_recorded"),
         F.min("transaction_id").alias("first_transaction_id")).filter(

@@ -64,10 +64,11 @@ def find_parcel(parcels: DataFrame, term: str, literal: bool = False) -> DataFra
     """First parcel matching an id or a case-insensitive owner-name fragment.
 
     Exact id wins; then the smallest parcel id.  ``%`` and ``_`` in the term act
-    as wildcards, or stand for themselves with ``literal``.
+    as wildcards, or stand for themselves with ``literal``; a backslash always
+    stands for itself.
     """
     owner = F.col("owner_name")
-    named = F.contains(F.lower(owner), F.lower(F.lit(term))) if literal else owner.ilike(f"%{term}%")
+    named = F.contains(F.lower(owner), F.lower(F.lit(term))) if literal else owner.ilike("%" + term.replace("\\", "\\\\") + "%")
     hit = parcels.filter((F.col("parcel_id") == F.lit(term)) | named)
     return hit.orderBy(F.when(F.col("parcel_id") == F.lit(term), 0).otherwise(1),
                        "parcel_id").limit(1)

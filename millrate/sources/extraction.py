@@ -39,9 +39,13 @@ def parse_check_extractions(df: DataFrame, text_col: str = "raw_text",
     unfenced = F.regexp_replace(F.regexp_replace(F.col(text_col), "```json", ""), "```", "")
     staged = _once(df, F.regexp_replace(unfenced, r"^\s+|\s+$", ""), "_clean")
     staged = _once(staged, F.from_json("_clean", CHECK_EXTRACTION, {"mode": "PERMISSIVE"}), "_p")
+    # from_json stops behind the first value; what follows it breaks an object around it,
+    # and a comma gives an array around it a second entry.
+    staged = _once(staged, F.from_json(F.concat(F.lit('{"v":'), "_clean", F.lit("}")), "v string")["v"].isNotNull()
+                   & (F.size(F.from_json(F.concat(F.lit("["), "_clean", F.lit("]")), "array<string>")) == 1), "_one")
     cleaned = F.col("_clean")
     dated = F.try_to_date(F.col("_p.postmark_date"), "yyyy-MM-dd")
-    ok = (F.col("_p").isNotNull() & cleaned.startswith("{") & cleaned.endswith("}")
+    ok = (F.col("_p").isNotNull() & F.col("_one") & cleaned.startswith("{") & cleaned.endswith("}")
           & F.col("_p.amount").try_cast(MONEY).isNotNull()
           & (F.col("_p.postmark_date").isNull() | dated.isNotNull()))
     staged = staged.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))

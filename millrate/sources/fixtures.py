@@ -149,6 +149,11 @@ def orphan_attempts(attempts: DataFrame) -> DataFrame:
         .otherwise(F.col("parcel_id")))
 
 
+def undated(attempts: DataFrame) -> DataFrame:
+    """Attempts of which every 89th has lost its date."""
+    return attempts.withColumn("date", F.when(F.col("seq") % 89 != 0, F.col("date")))
+
+
 def check_extraction_texts(attempts: DataFrame) -> DataFrame:
     """Model-output JSON text per check attempt: fenced, memo-less or cut, with
     other date formats, without a date, with huge amounts, or no JSON at all."""

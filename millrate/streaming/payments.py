@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrate.operators import posting
 from millrate.schemas import ATTEMPTS, JOURNAL_COLUMNS
+from millrate.session import hadoop_path
 
 
 def read_attempt_stream(spark: SparkSession, path: str,
@@ -33,14 +34,18 @@ def read_attempt_stream(spark: SparkSession, path: str,
 
 def stream_payments(spark: SparkSession, attempts_path: str, parcels: DataFrame,
                     lock_table: Callable[[], DataFrame], journal_sink: str,
-                    refused_sink: str, unknown_sink: str, checkpoint: str,
+                    refused_sink: str, unknown_sink: str, checkpoint: str, undated_sink: str | None = None,
                     default_issue: _dt.date | None = None,
                     max_files_per_trigger: int | None = None) -> None:
     """Run the intake stream over everything available now, then stop.
 
     ``lock_table`` returns the current locked months (column ``lock_month``);
-    it is called afresh for every micro-batch.  Accepted, rejected, refused
-    and unknown rows add up to the attempts.
+    it is called afresh for every micro-batch.  Accepted, rejected, refused,
+    unknown and undated rows add up to the attempts; without a place for undated
+    ones a batch that holds any fails.
+
+    A batch is published by its manifest, written after all its outputs:
+    :func:`read_published` sees whole batches only, and a retry writes the batch anew.
     """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # Posted rows feed two writes: held for this batch only.
@@ -53,6 +58,13 @@ def stream_payments(spark: SparkSession, attempts_path: str, parcels: DataFrame,
                 f"{refused_sink}/batch={batch_id}")
             posting.unknown_parcels(batch, parcels).write.mode("overwrite").parquet(
                 f"{unknown_sink}/batch={batch_id}")
+            undated = posting.undated_attempts(batch, parcels)
+            if undated_sink:
+                undated.write.mode("overwrite").parquet(f"{undated_sink}/batch={batch_id}")
+            elif not undated.isEmpty():
+                raise ValueError("attempts without a date, and no undated_sink for them")
+            manifest, fs = hadoop_path(spark, _manifest(journal_sink, batch_id))
+            fs.create(manifest, True).close()
         finally:
             posted.unpersist()
 
@@ -63,6 +75,23 @@ def stream_payments(spark: SparkSession, attempts_path: str, parcels: DataFrame,
     q.awaitTermination()
 
 
+def _manifest(journal_sink: str, batch_id: int) -> str:
+    # A folder whose name starts with an underscore is no part of the table beside it.
+    return f"{journal_sink}/_published/{batch_id}"
+
+
+def read_published(spark: SparkSession, sink: str, journal_sink: str) -> DataFrame | None:
+    """The rows of an output of :func:`stream_payments` whose batches are complete,
+    with column ``batch`` (None: no batch yet).  The batches are listed once, so
+    outputs read by one list belong together."""
+    folder, fs = hadoop_path(spark, f"{journal_sink}/_published")
+    if not fs.exists(folder):
+        return None
+    batches = sorted(int(f.getPath().getName()) for f in fs.listStatus(folder))
+    paths = [f"{sink}/batch={b}" for b in batches]
+    return spark.read.option("basePath", sink).parquet(*paths) if paths else None
+
+
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -313,6 +313,9 @@ ORACLE["unknown_parcels"] = q(",\n" + """orph AS (
          amount, date, check_number, installment_num FROM attempts)""",
                               "SELECT * FROM orph WHERE parcel_id NOT IN (SELECT parcel_id FROM roll)",
                               ["amount"])
+ORACLE["undated_attempts"] = q("", """SELECT seq, parcel_id, amount, CAST(NULL AS DATE) AS date, check_number,
+  installment_num FROM attempts WHERE seq % 89 = 0 AND parcel_id IN (SELECT parcel_id FROM roll)""", ["amount"])
+ORACLE["post_payments_undated"] = q("", f"SELECT {cols(JCOLS)} FROM posted WHERE transaction_id % 89 <> 0", JMONEY)
 ORACLE["record_payments"] = q("", """SELECT seq AS transaction_id, date AS date_received,
   CAST(NULL AS DATE) AS postmark_date, parcel_id, 'PAYMENT' AS transaction_type,
   CAST(NULL AS VARCHAR) AS payment_method, check_number, amount AS amount_paid,
