@@ -19,6 +19,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 MAX_LABELS = 10_000
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column in ``taken`` has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -15,9 +15,14 @@ Projected gradient, in the metric that weighs a document by its tokens, is
 
 whose step is safe, as W scales the gradient's curvature to 1; while no rate
 reaches zero a single step is exact.  Beyond, Nesterov's momentum is added: the
-step starts from rate + b * (rate - rate before), where S follows by linearity.  The Gram matrix and each step are
-distributed sums; the driver sees domains times domains numbers.  Rates are never stored: they follow from the posterior and the
-list of steps.  Only DataFrame functions run, without any shuffle of documents.
+step starts from rate + b * (rate - rate before), where S follows by linearity.
+The Gram matrix and each step are distributed sums; the driver sees domains times
+domains numbers.  A narrow table (tokens, posterior, rate and rate before) is written
+anew every few steps, so a step costs the same however many came before; the documents'
+own rates follow from the posterior and the list of all steps.  Only DataFrame functions
+run, without any shuffle of documents.  The fit ends when the targets are met or the
+totals stand still (as near as rates of zero or more come), ``left`` being the largest
+difference in tokens; it raises ``RuntimeError`` if neither happens.
 
 The classifier is fitted on a bounded sample of ``PER_DOMAIN`` labelled texts of
 each domain; posteriors, totals and rates cover all documents.
@@ -38,15 +43,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import labelled_texts, stored, text_or_empty
+from millrate.llm.common import free_name, labelled_texts, stored, text_or_empty
+from millrate.session import drop_table
 
 #: Documented bound of the fit: labelled texts per domain.
 PER_DOMAIN = 1500
 BUCKETS = 1 << 14
 #: Words whose evidence counts in full; more words don't sharpen a posterior.
 FULL_WORDS = 50
-#: Shares of all tokens: met targets, totals that stand still; and steps at most.
-TOLERANCE, STILL, MAX_STEPS = 1e-6, 1e-8, 60
+#: Shares of all tokens: met targets, totals that stand still; and steps after which
+#: the fit raises.
+TOLERANCE, STILL, MAX_STEPS = 1e-6, 1e-8, 1000
+#: Steps after which each row's rate is stored, so that a pass replays as many at most.
+REPLAYED = 4
 _WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -98,12 +107,6 @@ def softmax(logit: Column) -> Column:
     return F.transform(logit, lambda x: F.exp(x - F.array_max(logit)) / total)
 
 
-def _name(taken: list[str], name: str) -> str:
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 class Mixed:
     """Documents with tokens, posterior and rate."""
 
@@ -116,7 +119,7 @@ class Mixed:
         share = [targets[d] / sum(targets.values()) for d in self.domains]
         self.columns = docs.columns
         self.words, self.tokens, self.posterior, self.rate, self.copies = (
-            _name(docs.columns, c) for c in ("word_buckets", "n_tokens", "posterior", "rate", "copies"))
+            free_name(docs.columns, c) for c in ("word_buckets", "n_tokens", "posterior", "rate", "copies"))
         weights = word_weights(docs, labels, self.domains, per_domain)
         listed = docs.withColumn(self.words, word_buckets(text_or_empty()))
         judged = listed.select(
@@ -133,24 +136,31 @@ class Mixed:
         self.goal = goal = [x * sum(self.base) for x in share]
         now = before = np.array(self.base)
         momentum = 1.0
+        self._state = self.scored.select(
+            n.alias("n"), p.alias("p"), F.lit(1.0).alias("now"), F.lit(1.0).alias("before"))
+        self._held = 0  # steps that the state has
         while True:
             self.left = max((abs(s - t) for s, t, b in zip(now, goal, self.base) if b > 0), default=0.0)
             still = bool(self.steps) and np.abs(now - before).max() <= STILL * sum(goal)
-            if self.left <= TOLERANCE * sum(goal) or still or len(self.steps) == MAX_STEPS:
-                break  # met, as near as rates of zero or more come, or near enough
+            if self.left <= TOLERANCE * sum(goal) or still:
+                break  # met, or as near as rates of zero or more come
+            if len(self.steps) == MAX_STEPS:
+                raise RuntimeError(f"rates don't settle; {self.left:.0f} tokens are off target")
             longer = (1 + math.sqrt(1 + 4 * momentum ** 2)) / 2
             ahead = (momentum - 1) / longer
             momentum = longer
             off = now + ahead * (now - before) - goal
             self.steps.append([*(inverse @ off).tolist(), ahead])
             before, now = now, np.array(self.totals())
+        if self._held:
+            drop_table(self._state)
 
-    def _rate(self) -> Column:
-        """The steps applied to a row: (rate, rate before) is carried along."""
-        if not self.steps:
-            return F.lit(1.0)
-        k, p = len(self.domains), F.col(self.posterior)
-        steps = F.array(*[F.array(*map(F.lit, s)) for s in self.steps])
+    def _moved(self, two: Column, p: Column, steps: list[list[float]]) -> Column:
+        """(rate, rate before) of a row with posterior ``p`` after more steps."""
+        if not steps:
+            return two
+        k = len(self.domains)
+        steps = F.array(*[F.array(*map(F.lit, s)) for s in steps])
 
         def dot(step: Column) -> Column:
             return F.aggregate(F.zip_with(F.slice(step, 1, k), p, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
@@ -160,13 +170,28 @@ class Mixed:
             start = two[0] + ahead * (two[0] - two[1])
             return F.array(F.greatest(F.lit(0.0), start - dot(step)), two[0])
 
-        return F.round(F.aggregate(steps, F.array(F.lit(1.0), F.lit(1.0)), move)[0], 9)
+        return F.aggregate(steps, two, move)
+
+    def _rate(self) -> Column:
+        """The rate of a row of the documents."""
+        two = self._moved(F.array(F.lit(1.0), F.lit(1.0)), F.col(self.posterior), self.steps)
+        return F.round(two[0], 9)
 
     def totals(self) -> list[float]:
         """Expected tokens of each domain at the present rates."""
-        weight = self._rate() * F.col(self.tokens)
-        got = self.scored.select(weight.alias("w"), self.posterior).agg(*[
-            F.coalesce(F.sum(F.col("w") * F.col(self.posterior)[k]), F.lit(0.0)) for k in range(len(self.domains))])
+        two = self._moved(F.array("now", "before"), F.col("p"), self.steps[self._held:])
+        moved = self._state.select("n", "p", two.alias("two"))
+        if len(self.steps) - self._held >= REPLAYED:
+            old, had = self._state, self._held
+            self._state = stored(moved.select("n", "p", F.col("two")[0].alias("now"), F.col("two")[1].alias("before")),
+                                 "rates")
+            self._held = len(self.steps)
+            if had:
+                drop_table(old)
+            moved = self._state.select("n", "p", F.array("now", "before").alias("two"))
+        weight = F.round(F.col("two")[0], 9) * F.col("n")
+        got = moved.select(weight.alias("w"), "p").agg(*[
+            F.coalesce(F.sum(F.col("w") * F.col("p")[k]), F.lit(0.0)) for k in range(len(self.domains))])
         return list(got.first())
 
     def rated(self) -> DataFrame:
