@@ -13,7 +13,8 @@ spaces and line ends is cut at the spaces, as no match crosses a space to the
 left of a word.
 
 Defined results: a NULL or empty text has no ids and decodes to no bytes; NULL
-and repeated ids pass as they are; other columns of the table take no part.
+and repeated ids pass as they are; a very long text is encoded whole, in a batch of
+its own; an empty table gives no rows; other columns of the table take no part.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ from millrate.llm.common import pieces
 
 #: Longest piece, in bytes, that shares a numpy pass with others.
 WIDE = 64
-#: Entries of a worker's tables of pieces and of what stands between spaces; a
-#: full table starts anew.
-KNOWN, SPACED = 400_000, 600_000
+#: Entries of a worker's tables of pieces (up to WIDE bytes each) and of what stands
+#: between spaces (up to WIDE characters); longer ones are never kept, so entries
+#: bound the bytes.  A full table starts anew.
+KNOWN, SPACED = 200_000, 300_000
+#: Bytes of text encoded at once.
+BATCH_BYTES = 2 << 20
 _NONE = np.int64(1) << 60
 _ODD = re.compile(r"[^\S \n]")
 
@@ -162,22 +166,25 @@ class Codec:
         ends = (np.cumsum(live.sum(axis=1)) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, wanted: Iterable[str]) -> None:
-        """Put the ids of pieces into ``known``."""
+    def learn(self, wanted: Iterable[str]) -> dict[str, bytes]:
+        """Put the ids of pieces into ``known``; those of long pieces are returned."""
+        long: dict[str, bytes] = {}
         by_width: dict[int, list[str]] = {}
         for piece in wanted:
             raw = piece.encode()
             rank = self.ranks.get(raw)
-            if rank is not None:
+            if rank is not None and len(raw) <= WIDE:
                 self.known[piece] = rank.to_bytes(4, "little")
             elif len(raw) > WIDE:
-                self.known[piece] = np.array(self._merge_long(raw), dtype="<u4").tobytes()
+                long[piece] = rank.to_bytes(4, "little") if rank is not None else np.array(
+                    self._merge_long(raw), dtype="<u4").tobytes()
             else:
                 by_width.setdefault(max(8, 1 << (len(raw) - 1).bit_length()), []).append(piece)
         for width, group in by_width.items():
             for k in range(0, len(group), 8192):
                 part = group[k:k + 8192]
                 self.known.update(zip(part, self._merge_many([x.encode() for x in part], width)))
+        return long
 
     # -- texts -----------------------------------------------------------------
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -193,11 +200,13 @@ class Codec:
                for k in set().union(*(x[1:] for x, p in zip(cut, plain) if p)) - self.spaced.keys()}
         wanted = {y for x, p in zip(cut, plain) if not p for y in x}
         wanted.update(*heads.values(), *new.values())
-        self.learn(wanted - self.known.keys())
-        known, join = self.known.__getitem__, b"".join
+        long, table, join = self.learn(wanted - self.known.keys()), self.known, b"".join
+        known = (lambda x: long[x] if x in long else table[x]) if long else table.__getitem__
+        own: dict[str, bytes] = {}  # of this batch only
         for k, x in new.items():
-            self.spaced[k] = join(map(known, x))
-        spaced = self.spaced.__getitem__
+            (self.spaced if len(k) <= WIDE else own)[k] = join(map(known, x))
+        kept = self.spaced
+        spaced = (lambda x: own[x] if x in own else kept[x]) if own else kept.__getitem__
         return [join(map(known, heads[x[0]])) + join(map(spaced, x[1:])) if p else join(map(known, x))
                 for x, p in zip(cut, plain)]
 
@@ -220,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, max_bytes=BATCH_BYTES):
             ids = [np.frombuffer(x, "<u4") for x in coder.encode(_texts(batch))]
             ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32)
@@ -252,7 +261,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         decimal = coder.decimal.__getitem__
-        for batch in pieces(batches):
+        for batch in pieces(batches, max_bytes=BATCH_BYTES):
             count, ids_sha, decoded_sha = [], [], []
             for raw in coder.encode(_texts(batch)):
                 ids = np.frombuffer(raw, "<u4").tolist()

@@ -147,3 +147,28 @@ def test_count_frames(odd, empty, library):
     assert sorted((r["n_bytes"], r["n_tokens"]) for r in rows) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in rows)
     assert token_counts.count_tokens(empty, WORDS).count() == 0
+
+
+def test_tables_keep_no_long_pieces(reference):
+    """Unspaced texts leave nothing behind in a worker."""
+    from millrate.llm import production, token_files
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdefghij0123") for _ in range(9000)) + "é日" * 200 for _ in range(20)]
+    coder = byte_bpe.Codec(production.BYTE_BPE, P.PATTERN)
+    got = coder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [reference.encode_ordinary(t) for t in texts]
+    assert all(len(k.encode()) <= byte_bpe.WIDE for k in coder.known)
+    assert all(len(k) <= byte_bpe.WIDE for k in coder.spaced)
+    enc = token_files.Encoder(production.WORD_BPE)
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    assert all(len(k) <= token_files.LONGEST for k in enc.known)
+
+
+def test_newer_letters(library):
+    """Characters that Python's tables don't know: as the library has them."""
+    from millrate.llm import production, token_files
+    enc = token_files.Encoder(production.WORD_BPE)
+    texts = [f"It's 12 a{chr(c)}b {chr(c)}x" for c in (0x1C89, 0x1C8A, 0x105C0, 0x10D50, 0x2FFFC, 0x16EA0, 0x378)]
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
