@@ -46,8 +46,9 @@ END_ID = 1
 MAGIC = 0x314B4F54
 #: Tokens after which a block ends (a longer document makes a longer block).
 BLOCK_TOKENS = 1 << 19
-#: Entries of a worker's table of words; a full table starts anew.
-WORDS = 500_000
+#: Entries of a worker's table of words, and their longest word in characters (longer
+#: ones are merged again in each batch), which bound its bytes; a full table starts anew.
+WORDS, LONGEST = 400_000, 64
 
 
 # --- the code -----------------------------------------------------------------
@@ -82,8 +83,9 @@ class Encoder:
     """The library's ids of whole texts.
 
     A text's words are found here and each different word is merged by the
-    library's model once; a text with a special string or a control character
-    that Python takes for white space goes through the library as it is.
+    library's model once; a text with a special string, a control character
+    that Python takes for white space, or a character that Python's tables don't
+    know (the library's may) goes through the library as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -98,7 +100,10 @@ class Encoder:
         if piece not in self.known:
             letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letter[b] for b in piece.encode()])
             ids = [t.id for t in self.library.model.tokenize(letters)]
-            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) > LONGEST:
+                return packed
+            self.known[piece] = packed
         return self.known[piece]
 
     def _word(self, word: str) -> bytes:
@@ -109,11 +114,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > WORDS:
             self.known.clear()
-        whole = [bool(self.special(t) or word_bpe.KEPT_CONTROLS.search(t)) for t in texts]
+        whole = [bool(self.special(t) or word_bpe.KEPT_CONTROLS.search(t)
+                      or not t.isascii() and word_bpe.unassigned().search(t)) for t in texts]
         cut = [[] if w else word_bpe.normalise(t).split() for t, w in zip(texts, whole)]
+        long: dict[str, bytes] = {}  # of this batch only
         for word in set().union(*cut) - self.known.keys():
-            self.known[word] = self._word(word)
-        get = self.known.__getitem__
+            (self.known if len(word) <= LONGEST else long)[word] = self._word(word)
+        known = self.known
+        get = (lambda w: long[w] if w in long else known[w]) if long else known.__getitem__
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if w
                 else b"".join(map(get, x)) for t, x, w in zip(texts, cut, whole)]
 

@@ -8,6 +8,7 @@ description and refuses any other.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -49,6 +50,20 @@ def normalise(text: str) -> str:
 KEPT_CONTROLS = re.compile("[\x1c-\x1f]")
 
 
+@functools.lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Matches characters without a category in Python's Unicode tables, where
+    those of other libraries may be newer."""
+    free = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    ranges, start = [], None
+    for c, after in zip(free, [*free[1:], None]):
+        start = c if start is None else start
+        if after != c + 1:
+            ranges.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable
     Latin-1 characters stand for themselves, the rest for U+0100 upwards."""
