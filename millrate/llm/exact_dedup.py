@@ -3,7 +3,8 @@
 Texts are equal when identical after lower-casing A-Z only.  Copies are
 combined in three steps, each comparing whole texts, not only digests:
 
-1. locally: Spark's map-side aggregation combines copies inside a task;
+1. locally: rows of a task share their salt, so Spark's map-side aggregation
+   combines all copies inside the task;
 2. per (digest, salt, text): a group holding a third of all rows is merged by
    ``salts`` tasks instead of one;
 3. per (digest, text): at most ``salts`` salt winners meet for each text.
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import LOWER, UPPER, stored, text_or_empty
+from millrate.llm.common import LOWER, UPPER, free_name, stored, text_or_empty
 
 
 def _sha256(text: Column) -> Column:
@@ -41,7 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.translate(text_or_empty(text_col), UPPER, LOWER).alias("body"))
     rows = rows.withColumn("digest", digest(F.col("body")))
-    salted = (rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    salted = (rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
               .groupBy("digest", "salt", "body")
               .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     # Dealt by digest, so both aggregates below share one shuffle.
@@ -67,10 +68,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_latest(docs: DataFrame, salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the largest id, once."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    names = free_name(docs.columns, "__id"), free_name(docs.columns, "__digest")
     kept = exact_groups(docs, salts=salts).filter("kept").select(
-        key.alias("__id"), F.col("digest").alias("__digest")).distinct()
+        key.alias(names[0]), F.col("digest").alias(names[1])).distinct()
     body = F.translate(text_or_empty(), UPPER, LOWER)
-    named = docs.withColumns({"__id": key, "__digest": F.sha2(body, 256)})
+    named = docs.withColumns({names[0]: key, names[1]: F.sha2(body, 256)})
     # The join and the removal of repeated rows share one shuffle.
-    return named.join(kept, ["__id", "__digest"], "left_semi").dropDuplicates(
-        ["__id", "__digest"]).select(*docs.columns)
+    return named.join(kept, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)

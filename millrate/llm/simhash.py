@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import pieces, stored, text_or_empty
+from millrate.llm.common import free_name, pieces, stored, text_or_empty
 from millrate.session import remove_path
 
 SHINGLE = 3
@@ -186,6 +186,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     first = near_groups(docs, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("w.*")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = one.select(key.alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    named = docs.withColumns({"__id": key, "__hash": F.xxhash64(text_or_empty())})
-    return named.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    names = free_name(docs.columns, "__id"), free_name(docs.columns, "__hash")
+    kept = one.select(key.alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    named = docs.withColumns({names[0]: key, names[1]: F.xxhash64(text_or_empty())})
+    return named.join(kept, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)

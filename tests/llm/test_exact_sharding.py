@@ -96,3 +96,11 @@ def test_written_shards(odd, spark):
     path = scratch_path(spark, "t-shards")
     sharding.write_shards(odd.select("doc_id", "text"), path, files_per_shard=2)
     assert spark.read.parquet(path).count() == odd.count()
+
+
+def test_columns_of_the_stages_own_names(spark):
+    from millrate.llm import simhash
+    rows = [(1, "some words here", "a", "b", "c"), (2, "SOME words here", "d", "e", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __digest string, __hash string")
+    assert [tuple(r) for r in exact_dedup.keep_latest(docs).collect()] == rows[1:]
+    assert [tuple(r) for r in simhash.keep_first(docs).collect()] == rows[:1]
