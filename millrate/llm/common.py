@@ -47,6 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_each(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` are in ``kept`` (keys, n: how many rows have them),
+    one row for each.  Only rows of keys that several have are compared, so the
+    others' texts are neither sorted nor, while Spark finds ``kept`` small enough
+    to broadcast, shuffled."""
+    kept = stored(kept.groupBy(*keys).agg(F.sum("n").alias("n")), "kept-keys")
+    once = rows.join(kept.filter("n = 1").select(*keys), keys, "left_semi")
+    several = kept.filter("n > 1").select(*keys)
+    if several.isEmpty():
+        return once
+    return once.unionByName(rows.join(several, keys, "left_semi").dropDuplicates(keys))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
            max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``max_bytes`` of text (one

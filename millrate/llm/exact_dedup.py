@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import LOWER, UPPER, free_name, stored, text_or_empty
+from millrate.llm.common import LOWER, UPPER, free_name, one_each, stored, text_or_empty
 
 
 def _sha256(text: Column) -> Column:
@@ -68,10 +68,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_latest(docs: DataFrame, salts: int = 64) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the largest id, once."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    names = free_name(docs.columns, "__id"), free_name(docs.columns, "__digest")
+    names = [free_name(docs.columns, "__id"), free_name(docs.columns, "__digest")]
     kept = exact_groups(docs, salts=salts).filter("kept").select(
-        key.alias(names[0]), F.col("digest").alias(names[1])).distinct()
+        key.alias(names[0]), F.col("digest").alias(names[1]), F.lit(1).alias("n"))
     body = F.translate(text_or_empty(), UPPER, LOWER)
     named = docs.withColumns({names[0]: key, names[1]: F.sha2(body, 256)})
-    # The join and the removal of repeated rows share one shuffle.
-    return named.join(kept, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)
+    return one_each(named, kept, names).select(*docs.columns)

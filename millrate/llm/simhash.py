@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrate.llm.common import free_name, pieces, stored, text_or_empty
+from millrate.llm.common import free_name, one_each, pieces, stored, text_or_empty
 from millrate.session import remove_path
 
 SHINGLE = 3
@@ -184,9 +184,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest id, once."""
     first = near_groups(docs, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("w.*")
+    same = first.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    one = same.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("w")).select("w.*")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    names = free_name(docs.columns, "__id"), free_name(docs.columns, "__hash")
-    kept = one.select(key.alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    names = [free_name(docs.columns, "__id"), free_name(docs.columns, "__hash")]
+    kept = one.select(key.alias(names[0]), F.col("text_hash").alias(names[1]), "n")
     named = docs.withColumns({names[0]: key, names[1]: F.xxhash64(text_or_empty())})
-    return named.join(kept, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)
+    return one_each(named, kept, names).select(*docs.columns)
