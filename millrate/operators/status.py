@@ -18,18 +18,6 @@ _STATUS_TYPES = ("PAYMENT", "EXONERATION", "RETURN", "NSF_REVERSAL")
 _MONEY_TYPES = ("PAYMENT", "NSF_REVERSAL")
 
 
-def _live_full_payments(journal: DataFrame) -> DataFrame:
-    """Per parcel: accepted-in-full payments that no NSF row reverses."""
-    full = journal.filter((F.col("transaction_type") == "PAYMENT")
-                          & (F.col("validation_code") == "ACCEPTED_FULL")) \
-        .select("transaction_id", "parcel_id")
-    reversed_ids = journal.filter(F.col("transaction_type") == "NSF_REVERSAL").select(
-        "parcel_id", F.col("reversed_transaction_id").alias("transaction_id"))
-    # A reversal has its original's parcel, so the join also reads by parcel.
-    return full.join(reversed_ids, ["parcel_id", "transaction_id"], "left_anti").groupBy("parcel_id").agg(
-        F.count(F.lit(1)).alias("live_full"))
-
-
 # Event types packed into the low bits of the transaction id, so "latest
 # event" is a plain max over longs (hash aggregation with a map-side combine)
 # instead of max_by over strings (sort-based aggregation).
@@ -54,19 +42,40 @@ def _unpack_event(packed: F.Column) -> F.Column:
 
 
 def parcel_events(journal: DataFrame) -> DataFrame:
-    """Per parcel: latest status event, net money and exonerated amount."""
+    """Per parcel: latest status event, net money, exonerated amount, and
+    ``live_full``, the accepted-in-full payments that no NSF row reverses.
+
+    One scan of the journal.  A full payment and its reversals meet in a group
+    of their own, (parcel, payment id); all other rows of a parcel share the
+    group without an id, so they combine before the shuffle and a parcel with
+    many payments is still spread over tasks.  The groups of a parcel are then
+    added up.
+    """
     t = F.col("transaction_type")
-    agg = journal.groupBy("parcel_id").agg(
+    full = (t == "PAYMENT") & (F.col("validation_code") == "ACCEPTED_FULL")
+    target = F.when(full, F.col("transaction_id")).when(
+        t == "NSF_REVERSAL", F.col("reversed_transaction_id"))
+    payments = journal.withColumn("_target", target).groupBy("parcel_id", "_target").agg(
         F.max(_packed_event(_STATUS_TYPES)).alias("_last"),
-        F.max(_packed_event(("EXONERATION", "RETURN", "NSF_REVERSAL"))).alias("_last_flag"),
-        F.coalesce(F.sum(F.when(t.isin(*_MONEY_TYPES), F.col("amount_paid"))),
-                   F.lit(0)).cast(MONEY).alias("net_paid"),
-        F.coalesce(F.sum(F.when(t == "EXONERATION", F.col("amount_paid"))),
-                   F.lit(0)).cast(MONEY).alias("exonerated"),
-    )
+        F.sum(F.when(t.isin(*_MONEY_TYPES), F.col("amount_paid"))).alias("_net"),
+        F.sum(F.when(t == "EXONERATION", F.col("amount_paid"))).alias("_exonerated"),
+        F.count(F.when(full, F.lit(1))).alias("_full"),
+        F.count(F.when((t == "NSF_REVERSAL") & F.col("reversed_transaction_id").isNotNull(),
+                       F.lit(1))).alias("_reversals"))
+    agg = payments.groupBy("parcel_id").agg(
+        F.max("_last").alias("_last"),
+        F.coalesce(F.sum("_net"), F.lit(0)).cast(MONEY).alias("net_paid"),
+        F.coalesce(F.sum("_exonerated"), F.lit(0)).cast(MONEY).alias("exonerated"),
+        F.sum(F.when(F.col("_reversals") == 0, F.col("_full")).otherwise(F.lit(0))).alias("live_full"))
     return agg.select("parcel_id", _unpack_event(F.col("_last")).alias("last_event"),
-                      _unpack_event(F.col("_last_flag")).alias("last_flag_event"),
-                      "net_paid", "exonerated")
+                      "net_paid", "exonerated", "live_full")
+
+
+def latest_flags(journal: DataFrame) -> DataFrame:
+    """Per parcel: the latest exoneration, return or reversal."""
+    return journal.groupBy("parcel_id").agg(
+        F.max(_packed_event(("EXONERATION", "RETURN", "NSF_REVERSAL"))).alias("_last")).select(
+        "parcel_id", _unpack_event(F.col("_last")).alias("last_flag_event"))
 
 
 def parcel_status(parcels: DataFrame, journal: DataFrame,
@@ -79,16 +88,14 @@ def parcel_status(parcels: DataFrame, journal: DataFrame,
     literal: payments never change status; the latest EXONERATION, RETURN
     or NSF_REVERSAL sets EXONERATED, RETURNED or UNPAID.
     """
-    ev = parcel_events(journal)
     p = parcels.select(*PARCEL_COLUMNS)
     if semantics == "literal":
-        j = p.join(ev.select("parcel_id", "last_flag_event"), "parcel_id", "left")
+        j = p.join(latest_flags(journal), "parcel_id", "left")
         # The status the latest flagged row sets (D10, literal), else unchanged.
         status = F.coalesce(rules.status_event("last_flag_event", F.lit(None), "literal"),
                             F.col("status"), F.lit("UNPAID"))
         return j.withColumn("status", status).select(*PARCEL_COLUMNS)
-    full = _live_full_payments(journal)
-    j = p.join(ev, "parcel_id", "left").join(full, "parcel_id", "left")
+    j = p.join(parcel_events(journal), "parcel_id", "left")
     net = F.coalesce(F.col("net_paid"), F.lit(0))
     status = (F.when(F.col("last_event") == "EXONERATION", F.lit("EXONERATED"))
               .when(F.col("last_event") == "RETURN", F.lit("RETURNED"))
