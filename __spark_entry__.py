@@ -19,14 +19,14 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from millrate.operators import audit, maintenance, posting, replay  # noqa: E402
-from millrate.operators.status import parcel_status, running_balance  # noqa: E402
+from millrate.operators import audit, maintenance, posting, replay, state  # noqa: E402
+from millrate.operators.status import parcel_status, running_balance, status_of_events  # noqa: E402
 from millrate.operators.util import money_edge  # noqa: E402
 from millrate.plans import collections as coll  # noqa: E402
 from millrate.plans import documents, intake, lookup, monthly, settlement  # noqa: E402
 from millrate.schemas import ATTEMPTS, JOURNAL, JOURNAL_COLUMNS, PARCEL_COLUMNS  # noqa: E402
 from millrate.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
-from millrate.sources import fixtures  # noqa: E402
+from millrate.sources import bucketed, fixtures  # noqa: E402
 from millrate.sources.extraction import parse_check_extractions  # noqa: E402
 from millrate.sinks import writers  # noqa: E402
 from millrate.sources.roll_csv import read_labels, read_roll  # noqa: E402
@@ -564,6 +564,56 @@ def q_replay_refused(L: Ledger) -> DataFrame:
     return _replayed(L, "replay_refused")
 
 
+def _colocated(L: Ledger) -> bucketed.CoLocated:
+    """Roll and journal in buckets of parcel_id, stored once per ledger."""
+    if "colocated" not in L.paths:
+        path = scratch_path(L.spark, "colocated")
+        bucketed.write_colocated(L.spark, L.parcels, L.journal, path.rsplit("/", 1)[1].replace("-", "_"), path)
+        L.paths["colocated"] = path
+    path = L.paths["colocated"]
+    return bucketed.open_colocated(L.spark, path.rsplit("/", 1)[1].replace("-", "_"), path)
+
+
+def q_colocated_monthly_summary(L: Ledger) -> DataFrame:
+    detail = _colocated(L).each(lambda roll, journal: monthly.monthly_detail(journal, roll))
+    return monthly.monthly_summary(detail)
+
+
+def q_colocated_status_by_tax_type(L: Ledger) -> DataFrame:
+    return coll.paid_by_tax_type(_colocated(L).each(coll.paid_by_parcel))
+
+
+def q_colocated_settlement(L: Ledger) -> DataFrame:
+    return settlement.settlement_totals(_colocated(L).each(settlement.per_parcel_settlement))
+
+
+def _status_state(L: Ledger) -> str:
+    """The status state after three batches, in which the amounts of each January are
+    twice what they should be, a batch that gives these months anew, and a compaction."""
+    if "status_state" not in L.paths:
+        path, j = scratch_path(L.spark, "status-state"), L.journal
+        january = F.month("date_received") == 1
+        months = [r[0] for r in j.filter(january).select("receipt_month").distinct().collect()]
+        wrong = j.withColumn("amount_paid", F.when(january, (F.col("amount_paid") * 2).cast("decimal(18,2)"))
+                             .otherwise(F.col("amount_paid")))
+        for k in range(3):
+            state.apply_batch(L.spark, path, wrong.filter(F.col("transaction_id") % 3 == k), k)
+        state.apply_batch(L.spark, path, j.filter(january), 3, months)
+        state.compact(L.spark, path, 4)
+        L.paths["status_state"] = path
+    return L.paths["status_state"]
+
+
+def q_status_from_batches(L: Ledger) -> DataFrame:
+    return status_of_events(L.roll, state.state_events(L.spark, _status_state(L))).select(
+        "parcel_id", "status", "net_paid", "exonerated")
+
+
+def q_settlement_from_batches(L: Ledger) -> DataFrame:
+    st = status_of_events(L.roll, state.state_events(L.spark, _status_state(L)))
+    return settlement.settlement_totals(settlement.settlement_terms(st))
+
+
 LEDGER_QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "scan_parcels": lambda L: L.parcels.select(*PARCEL_COLUMNS),
     "scan_journal": lambda L: L.journal.select(*JOURNAL_COLUMNS, "receipt_month"),
@@ -650,6 +700,11 @@ LEDGER_QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "return_list_csv": q_return_list_csv,
     "turnover_csv": q_turnover_csv,
     "closed_version": q_closed_version,
+    "colocated_monthly_summary": q_colocated_monthly_summary,
+    "colocated_status_by_tax_type": q_colocated_status_by_tax_type,
+    "colocated_settlement": q_colocated_settlement,
+    "status_from_batches": q_status_from_batches,
+    "settlement_from_batches": q_settlement_from_batches,
 }
 
 

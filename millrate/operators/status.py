@@ -41,28 +41,36 @@ def _unpack_event(packed: F.Column) -> F.Column:
     return out
 
 
-def parcel_events(journal: DataFrame) -> DataFrame:
-    """Per parcel: latest status event, net money, exonerated amount, and
-    ``live_full``, the accepted-in-full payments that no NSF row reverses.
+def event_groups(journal: DataFrame, *more_keys: str) -> DataFrame:
+    """The journal summed by (parcel, payment id), and by ``more_keys`` if given.
 
-    One scan of the journal.  A full payment and its reversals meet in a group
-    of their own, (parcel, payment id); all other rows of a parcel share the
-    group without an id, so they combine before the shuffle and a parcel with
-    many payments is still spread over tasks.  The groups of a parcel are then
-    added up.
+    A full payment and its reversals share a group; all other rows of a parcel
+    share the group without an id.
     """
     t = F.col("transaction_type")
     full = (t == "PAYMENT") & (F.col("validation_code") == "ACCEPTED_FULL")
     target = F.when(full, F.col("transaction_id")).when(
         t == "NSF_REVERSAL", F.col("reversed_transaction_id"))
-    payments = journal.withColumn("_target", target).groupBy("parcel_id", "_target").agg(
+    return journal.withColumn("_target", target).groupBy("parcel_id", "_target", *more_keys).agg(
         F.max(_packed_event(_STATUS_TYPES)).alias("_last"),
         F.sum(F.when(t.isin(*_MONEY_TYPES), F.col("amount_paid"))).alias("_net"),
         F.sum(F.when(t == "EXONERATION", F.col("amount_paid"))).alias("_exonerated"),
         F.count(F.when(full, F.lit(1))).alias("_full"),
         F.count(F.when((t == "NSF_REVERSAL") & F.col("reversed_transaction_id").isNotNull(),
                        F.lit(1))).alias("_reversals"))
-    agg = payments.groupBy("parcel_id").agg(
+
+
+def merge_groups(groups: DataFrame, *more_keys: str) -> DataFrame:
+    """Groups of the same keys from several batches as one."""
+    return groups.groupBy("parcel_id", "_target", *more_keys).agg(
+        F.max("_last").alias("_last"),
+        *[F.sum(c).cast("decimal(28,2)").alias(c) for c in ("_net", "_exonerated")],
+        *[F.sum(c).alias(c) for c in ("_full", "_reversals")])
+
+
+def events_of_groups(groups: DataFrame) -> DataFrame:
+    """Per parcel: its groups, each (parcel, payment id) once, added up."""
+    agg = groups.groupBy("parcel_id").agg(
         F.max("_last").alias("_last"),
         F.coalesce(F.sum("_net"), F.lit(0)).cast(MONEY).alias("net_paid"),
         F.coalesce(F.sum("_exonerated"), F.lit(0)).cast(MONEY).alias("exonerated"),
@@ -71,6 +79,16 @@ def parcel_events(journal: DataFrame) -> DataFrame:
                       "net_paid", "exonerated", "live_full")
 
 
+def parcel_events(journal: DataFrame) -> DataFrame:
+    """Per parcel: latest status event, net money, exonerated amount, and
+    ``live_full``, the accepted-in-full payments that no NSF row reverses.
+
+    One scan of the journal.  Rows that name no payment combine before the
+    shuffle, and a parcel with many payments is still spread over tasks.
+    """
+    return events_of_groups(event_groups(journal))
+
+
 def latest_flags(journal: DataFrame) -> DataFrame:
     """Per parcel: the latest exoneration, return or reversal."""
     return journal.groupBy("parcel_id").agg(
@@ -95,7 +113,12 @@ def parcel_status(parcels: DataFrame, journal: DataFrame,
         status = F.coalesce(rules.status_event("last_flag_event", F.lit(None), "literal"),
                             F.col("status"), F.lit("UNPAID"))
         return j.withColumn("status", status).select(*PARCEL_COLUMNS)
-    j = p.join(parcel_events(journal), "parcel_id", "left")
+    return status_of_events(p, parcel_events(journal))
+
+
+def status_of_events(parcels: DataFrame, events: DataFrame) -> DataFrame:
+    """The corrected status of each parcel from its :func:`parcel_events`."""
+    j = parcels.select(*PARCEL_COLUMNS).join(events, "parcel_id", "left")
     net = F.coalesce(F.col("net_paid"), F.lit(0))
     status = (F.when(F.col("last_event") == "EXONERATION", F.lit("EXONERATED"))
               .when(F.col("last_event") == "RETURN", F.lit("RETURNED"))

@@ -35,9 +35,13 @@ def range_partitions(df: DataFrame) -> int:
     """Range partitions for ``df``: the session's shuffle partitions, or one per
     :data:`RANGE_BYTES` of the files it reads, if more.  (AQE merges range
     partitions but never splits them.)"""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(read_bytes(df) / RANGE_BYTES))
+
+
+def read_bytes(df: DataFrame) -> int:
+    """Stored bytes of the folders that ``df`` reads."""
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    read = sum(path_bytes(df.sparkSession, f) for f in folders)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(read / RANGE_BYTES))
+    return sum(path_bytes(df.sparkSession, f) for f in folders)
 
 
 def _ranged(df: DataFrame, order: Sequence[Column | str], partitions: int | None) -> DataFrame:

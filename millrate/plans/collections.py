@@ -63,9 +63,18 @@ def status_breakdown(parcels: DataFrame) -> DataFrame:
 
 def status_by_tax_type(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     """Per tax type: money of PAYMENT rows and the number of parcels paying."""
+    return paid_by_tax_type(paid_by_parcel(parcels, journal))
+
+
+def paid_by_parcel(parcels: DataFrame, journal: DataFrame) -> DataFrame:
+    """PAYMENT rows with their parcel's tax type."""
     pay = journal.filter(F.col("transaction_type") == "PAYMENT").select("parcel_id", "amount_paid")
-    j = pay.join(parcels.select("parcel_id", "tax_type"), "parcel_id", "inner")
-    return j.groupBy("tax_type").agg(
+    return pay.join(parcels.select("parcel_id", "tax_type"), "parcel_id", "inner")
+
+
+def paid_by_tax_type(paid: DataFrame) -> DataFrame:
+    """Money and number of parcels of the rows of :func:`paid_by_parcel`."""
+    return paid.groupBy("tax_type").agg(
         F.sum("amount_paid").cast(MONEY).alias("collected"),
         F.count_distinct("parcel_id").alias("parcels_paid"))
 

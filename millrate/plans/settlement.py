@@ -44,7 +44,11 @@ def _finish(parts: DataFrame) -> DataFrame:
 
 def per_parcel_settlement(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     """Each parcel's terms of the corrected identity (see ``settlement``)."""
-    st = parcel_status(parcels, journal, "corrected")
+    return settlement_terms(parcel_status(parcels, journal, "corrected"))
+
+
+def settlement_terms(st: DataFrame) -> DataFrame:
+    """The terms of parcels whose status and sums are known."""
     face, pen = F.col("face_tax_amount"), F.col("penalty_amount")
     net = F.coalesce(F.col("net_paid"), _zero())
     exon = F.coalesce(F.col("exonerated"), _zero())
@@ -75,7 +79,11 @@ def settlement(parcels: DataFrame, journal: DataFrame) -> DataFrame:
     exonerations + returned face (UNPAID/RETURNED: face; PARTIAL: face - net)
     + the same returned penalties.
     """
-    pp = per_parcel_settlement(parcels, journal)
+    return settlement_totals(per_parcel_settlement(parcels, journal))
+
+
+def settlement_totals(pp: DataFrame) -> DataFrame:
+    """The terms of all parcels added up."""
     return _finish(pp.agg(*[F.sum(m).alias(m) for m in MEASURES]))
 
 

@@ -863,3 +863,8 @@ ORACLE["replay_journal"] = q(_replay_steps(), f"""SELECT {cols([c for c in JCOLS
   LEFT JOIN (SELECT m, max(close_seq) AS last_close FROM cl GROUP BY m) c ON c.m = rj.m""", JMONEY)
 ORACLE["replay_refused"] = q(_replay_steps(),
                              f"SELECT {cols(JCOLS)} FROM split JOIN settled ON ok = 1 WHERE refused", JMONEY)
+# Other ways to the same rows: buckets by parcel, and a state kept by batches.
+for _key in ("monthly_summary", "status_by_tax_type", "settlement"):
+    ORACLE["colocated_" + _key] = ORACLE[_key]
+ORACLE["status_from_batches"] = ORACLE["parcel_status"]
+ORACLE["settlement_from_batches"] = ORACLE["settlement"]
