@@ -401,11 +401,10 @@ def q_review_queue(L: Ledger) -> DataFrame:
     return intake.review_queue(_extractions(L), L.roll, AS_OF)
 
 
-def _change_log(L: Ledger) -> DataFrame:
+def _change_log(L: Ledger, log: Callable = audit.change_log) -> DataFrame:
     after, _ = maintenance.update_parcels(L.parcels, _patches(L.parcels))
-    parcels_log = audit.change_log(L.roll, after, "parcel_id",
-                                   ["status", "owner_name", "mailing_address"],
-                                   "tax_duplicate", RUN_AT)
+    parcels_log = log(L.roll, after, "parcel_id", ["status", "owner_name", "mailing_address"],
+                      "tax_duplicate", RUN_AT)
     return parcels_log.unionByName(audit.journal_insert_log(L.journal, RUN_AT))
 
 
@@ -687,6 +686,7 @@ LEDGER_QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "review_queue": q_review_queue,
     "duplicate_payments": lambda L: intake.duplicate_payments(L.journal),
     "change_log": _change_log,
+    "change_log_by_bucket": lambda L: _change_log(L, audit.change_log_by_bucket),
     "system_events": q_system_events,
     "audit_tail": lambda L: audit.audit_tail(_change_log(L), AUDIT_TAIL_N),
     "replay_journal": q_replay_journal,

@@ -868,3 +868,4 @@ for _key in ("monthly_summary", "status_by_tax_type", "settlement"):
     ORACLE["colocated_" + _key] = ORACLE[_key]
 ORACLE["status_from_batches"] = ORACLE["parcel_status"]
 ORACLE["settlement_from_batches"] = ORACLE["settlement"]
+ORACLE["change_log_by_bucket"] = ORACLE["change_log"]
