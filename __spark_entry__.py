@@ -586,6 +586,28 @@ def q_colocated_settlement(L: Ledger) -> DataFrame:
     return settlement.settlement_totals(_colocated(L).each(settlement.per_parcel_settlement))
 
 
+def q_payer_sketches(L: Ledger) -> DataFrame:
+    """Exact numbers of paying parcels by month, year and over all, and whether the
+    stored sketches of the months, merged, come within 3% of them."""
+    if "payer_sketches" not in L.paths:
+        path = scratch_path(L.spark, "payer-sketches")
+        monthly.payer_sketches(monthly.monthly_detail(L.journal, L.parcels)).write.parquet(path)
+        L.paths["payer_sketches"] = path
+    spans = {"month": F.date_format("receipt_month", "yyyy-MM"), "year": F.date_format("receipt_month", "yyyy"),
+             "all": F.lit("all")}
+    kept = L.spark.read.parquet(L.paths["payer_sketches"])
+    paid = monthly.monthly_detail(L.journal, L.parcels).filter(F.col("transaction_type") == "PAYMENT")
+
+    def over(span: F.Column) -> DataFrame:
+        about = monthly.payers_of(kept.withColumn("span", span), "span", "tax_type")
+        exact = paid.groupBy(span.alias("span"), "tax_type").agg(F.count_distinct("parcel_id").alias("exact"))
+        return exact.join(about, ["span", "tax_type"], "left").select(
+            "span", "tax_type", F.col("exact").alias("parcels_paid"),
+            (F.abs(F.col("payers") - F.col("exact")) * 100 <= F.col("exact") * 3).alias("sketch_within_3_percent"))
+
+    return over(spans["month"]).unionByName(over(spans["year"])).unionByName(over(spans["all"]))
+
+
 def _status_state(L: Ledger) -> str:
     """The status state after three batches, in which the amounts of each January are
     twice what they should be, a batch that gives these months anew, and a compaction."""
@@ -686,6 +708,7 @@ LEDGER_QUERIES: dict[str, Callable[[Ledger], DataFrame]] = {
     "review_queue": q_review_queue,
     "duplicate_payments": lambda L: intake.duplicate_payments(L.journal),
     "change_log": _change_log,
+    "payer_sketches": q_payer_sketches,
     "change_log_by_bucket": lambda L: _change_log(L, audit.change_log_by_bucket),
     "system_events": q_system_events,
     "audit_tail": lambda L: audit.audit_tail(_change_log(L), AUDIT_TAIL_N),

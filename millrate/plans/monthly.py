@@ -113,3 +113,20 @@ def monthly_adjustments(detail: DataFrame) -> DataFrame:
         .cast(MONEY).alias("exonerations"),
         F.coalesce(F.sum(F.when(t == "RETURN", F.col("amount_paid"))), zero)
         .cast(MONEY).alias("returns"))
+
+
+#: Base-2 logarithm of a sketch's buckets: a standard error of 0.4%, 64 KB at most.
+SKETCH_LG_K = 16
+
+
+def payer_sketches(detail: DataFrame) -> DataFrame:
+    """A sketch of the parcels that paid for each month and tax type: a table to
+    keep, of which any months are counted together without the journal."""
+    return detail.filter(F.col("transaction_type") == "PAYMENT").groupBy("receipt_month", "tax_type").agg(
+        F.hll_sketch_agg("parcel_id", SKETCH_LG_K).alias("payers"))
+
+
+def payers_of(sketches: DataFrame, *keys: str) -> DataFrame:
+    """About how many parcels paid, by ``keys`` of the sketches (none: over all).  A
+    parcel that paid in several months counts once."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("payers")).alias("payers"))

@@ -869,3 +869,9 @@ for _key in ("monthly_summary", "status_by_tax_type", "settlement"):
 ORACLE["status_from_batches"] = ORACLE["parcel_status"]
 ORACLE["settlement_from_batches"] = ORACLE["settlement"]
 ORACLE["change_log_by_bucket"] = ORACLE["change_log"]
+ORACLE["payer_sketches"] = q(",\n" + """spans AS (
+  SELECT unnest([strftime(j.date_received, '%Y-%m'), strftime(j.date_received, '%Y'), 'all']) AS span,
+         p.tax_type, j.parcel_id
+  FROM journal j JOIN parcels p ON p.parcel_id = j.parcel_id WHERE j.transaction_type = 'PAYMENT')""",
+                             """SELECT span, tax_type, count(DISTINCT parcel_id) AS parcels_paid,
+  true AS sketch_within_3_percent FROM spans GROUP BY span, tax_type""")
