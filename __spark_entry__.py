@@ -45,7 +45,7 @@ SF_SMOKE = "/root/testdata/sf0.001"
 
 def _ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     ensure_checkpoint_dir(spark)
-    return build_ledger(spark, sf_dir)
+    return build_ledger(spark, sf_dir, whole=False)
 
 
 # --- stand-in command inputs built from the roll (rows only) -------------------

@@ -187,11 +187,11 @@ def nsf_reversals(journal: DataFrame, requests: DataFrame,
 def close_month(journal: DataFrame, closures: DataFrame) -> DataFrame:
     """Set ``is_closed`` on every row received in a closed month.
 
-    ``closures``: month, year.  The closure table is one row per closed
-    month; AQE picks its join.
+    ``closures``: month, year.  The closed months are one row each, a calendar's
+    worth: they are broadcast, and the journal is not shuffled (by month at that).
     """
-    months = closures.select(F.make_date("year", "month", F.lit(1)).alias("_close_month")) \
-        .distinct()
+    months = F.broadcast(closures.select(F.make_date("year", "month", F.lit(1)).alias("_close_month"))
+                         .distinct())
     j = journal.join(months, rules.month_start("date_received") == F.col("_close_month"), "left")
     return j.withColumn(
         "is_closed", F.col("is_closed") | F.col("_close_month").isNotNull()
@@ -231,9 +231,9 @@ def split_by_lock_table(rows: DataFrame, lock_table: DataFrame,
                         type_col: str = "transaction_type") -> tuple[DataFrame, DataFrame]:
     """As ``split_by_month_lock`` with a ready lock table (column ``lock_month``).
 
-    One left join with the lock months (a row per month) flags each row.
+    One left join with the lock months (a row per month, broadcast) flags each row.
     """
-    locks = lock_table.select(F.col("lock_month").alias("_lock")).distinct()
+    locks = F.broadcast(lock_table.select(F.col("lock_month").alias("_lock")).distinct())
     flagged = rows.join(locks, rules.month_start(date_col) == F.col("_lock"), "left").withColumn(
         "_refused", F.col("_lock").isNotNull() & (
             F.coalesce(F.col(type_col), F.lit("PAYMENT")) != "REJECTED_PAYMENT"))

@@ -12,8 +12,10 @@ parts; the hot one is shuffled, or its few parcels broadcast, as usual.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,14 +55,52 @@ def bucket_count(spark: SparkSession, *tables: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(stored / BUCKET_BYTES))
 
 
-def _save(df: DataFrame, name: str, path: str, buckets: int, months: bool) -> None:
-    # The same hash deals rows to tasks and to buckets: a file a bucket (and month).
-    writer = df.repartition(buckets, "parcel_id").write.format("parquet").mode("overwrite").option("path", path)
+def save_buckets(df: DataFrame, name: str, path: str, buckets: int, months: bool) -> None:
+    """Store ``df``, already dealt by ``parcel_id`` over ``buckets`` tasks, as a
+    bucketed table: the same hash deals rows to buckets, so a file a bucket (and month)."""
+    writer = df.write.format("parquet").mode("overwrite").option("path", path)
     if months:
         writer = writer.partitionBy("receipt_month")
     writer.bucketBy(buckets, "parcel_id").sortBy("parcel_id").saveAsTable(name)
 
 
+def _save(df: DataFrame, name: str, path: str, buckets: int, months: bool) -> None:
+    save_buckets(df.repartition(buckets, "parcel_id"), name, path, buckets, months)
+
+
+def table_name(path: str) -> str:
+    """The catalog's name of the bucketed table with its files under ``path``."""
+    return f"millrate_{hashlib.sha1(path.encode()).hexdigest()[:20]}"
+
+
+def open_buckets(spark: SparkSession, path: str, buckets: int, months: bool) -> DataFrame:
+    """A table of :func:`save_buckets`, also one that another application stored."""
+    name = table_name(path)
+    if not spark.catalog.tableExists(name):
+        stored = spark.read.parquet(path).schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {'PARTITIONED BY (receipt_month)' if months else ''} "
+                  f"CLUSTERED BY (parcel_id) SORTED BY (parcel_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+        if months and spark.conf.get("spark.sql.catalogImplementation") == "hive":
+            spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
+_AUTO_SCAN = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+
+
+@contextmanager
+def kept_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within it every scan of a bucketed table keeps the buckets, also one that is
+    only written to a table of the same buckets."""
+    before = spark.conf.get(_AUTO_SCAN)
+    spark.conf.set(_AUTO_SCAN, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_AUTO_SCAN, before)
+
+
 def write_colocated(spark: SparkSession, parcels: DataFrame, journal: DataFrame, name: str, path: str,
                     buckets: int | None = None) -> CoLocated:
     """Store both tables as ``<name>_roll`` and ``<name>_journal`` of the catalog,

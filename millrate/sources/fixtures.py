@@ -13,10 +13,9 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrate.operators.util import running_sum
 from millrate.schemas import MONEY
 
 EXONERATION_REASON = "Exonerated by order of the board"
@@ -57,25 +56,25 @@ def roll_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attempts_from_lineitem(spark: SparkSession, sf_dir: str, roll: DataFrame) -> DataFrame:
-    """One payment attempt per line item (seq, parcel_id, amount, date, check, inst)."""
-    li = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    # Line numbers repeat within an order; the full row orders them.  The
-    # position within the order is a running count over a range
-    # partitioning, so even an order holding a third of all lines is split.
-    # Ids leave room for 499 lines an order beside its commands' ids; more
-    # lines fail the build instead of meeting another order's ids.
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-             "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    li = running_sum(li.withColumn("_one", F.lit(1)), "l_orderkey", order, "_one", "rn") \
-        .drop("_one")
+def attempts_from_lineitem(spark: SparkSession, sf_dir: str, roll: DataFrame,
+                           partitions: int | None = None) -> DataFrame:
+    """One payment attempt per line item (seq, parcel_id, amount, date, check, inst),
+    dealt by ``parcel_id`` over ``partitions`` tasks, if given."""
+    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    # Line numbers repeat within an order; part and supplier order equal ones.  An
+    # attempt shows no other column, so lines equal in these may swap places.  Lines
+    # without an order match no bill.  Ids leave room for 499 lines an order beside
+    # its commands' ids; more lines fail the build instead of meeting another order's ids.
+    li = li.filter(F.col("l_orderkey").isNotNull()).withColumn(
+        "parcel_id", F.concat(F.lit("P-"), F.col("l_orderkey").cast("string")))
+    if partitions:
+        li = li.repartition(partitions, "parcel_id")
+    li = li.withColumn("rn", F.row_number().over(
+        Window.partitionBy("parcel_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long"))
     bills = roll.select(
         F.col("parcel_id"), "face_tax_amount", "discount_amount", "penalty_amount",
         "bill_issue_date")
-    j = li.withColumn("parcel_id", F.concat(F.lit("P-"), F.col("l_orderkey").cast("string"))) \
-        .join(bills, "parcel_id", "inner")
+    j = li.join(bills, "parcel_id", "inner")
     date = F.date_add(F.col("bill_issue_date"), (F.col("l_partkey") % 240).cast("int"))
     # Amount the bill asks for on that date (used only to shape the amounts).
     asked = (F.when(date <= F.date_sub(F.add_months("bill_issue_date", 2), 1),

@@ -1,9 +1,12 @@
-"""Stored ledger tables (roll, journal) and their Parquet layout.
+"""Stored ledger tables (roll, attempts, journal, parcels) and their Parquet layout.
 
-The journal is written partitioned by ``receipt_month`` so month reports
-and month locks prune whole directories; the roll is written sorted by
-``parcel_id`` so its row groups carry tight min/max statistics for point
-lookups.
+All are dealt into the same buckets of ``parcel_id`` and sorted by it there, so
+posting, status and the reports join them without a shuffle, and row groups carry
+narrow statistics for point lookups.  The journal is also in folders by
+``receipt_month``: month reports and month locks prune whole directories.  No
+parcel is hot here: an order has 499 attempts at most.
+
+Roll and attempts are built first; journal and parcels when first read.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from millrate.functions import rules
 from millrate.operators import posting
 from millrate.operators.status import parcel_status
-from millrate.operators.util import range_partitions
 from millrate.schemas import JOURNAL_COLUMNS, PARCEL_COLUMNS
 from millrate.session import cut_lineage, drop_table, hadoop_path, path_bytes, scratch_path
 from millrate.sources import fixtures
+from millrate.sources.bucketed import kept_buckets, open_buckets, save_buckets, table_name
 
 
 @dataclass
@@ -31,14 +35,29 @@ class Ledger:
     spark: SparkSession
     sf_dir: str
     paths: dict[str, str]
+    buckets: int
+    marker: str | None = None
 
     def _read(self, name: str) -> DataFrame:
         # One DataFrame per table: its file index is listed once, not per query.
         cache = self.__dict__.setdefault("_frames", {})
         if name not in cache:
-            cache[name] = self.spark.read.parquet(self.paths[name])
+            if name in _POSTED_TABLES:
+                self.finish()
+            cache[name] = open_buckets(self.spark, self.paths[name], self.buckets, name == "journal")
         return cache[name]
 
+    def finish(self) -> None:
+        """Build journal and parcels unless they are stored."""
+        done = self.paths["journal"]
+        if done in _FINISHED:
+            return
+        if self.marker is None or _marked(self.spark, self.marker) is None:
+            _post(self)
+            if self.marker:
+                _mark(self.spark, self.marker, self.buckets)
+        _FINISHED.add(done)
+
     @property
     def roll(self) -> DataFrame:
         """Parcels as imported (status UNPAID)."""
@@ -63,32 +82,12 @@ class Ledger:
 
 
 _CACHE: dict[tuple[str, str], Ledger] = {}
+#: Journals of this process that are stored.
+_FINISHED: set[str] = set()
 
 
-def write_journal(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Journal layout: one directory per receipt month.
-
-    Rows are range-partitioned on (receipt_month, parcel_id): a busy month
-    is split over many tasks instead of landing in one, and each file holds
-    a narrow parcel range, so row-group statistics prune parcel lookups.
-    """
-    keys = ("receipt_month", "parcel_id")
-    staged = df.withColumn("receipt_month", rules.month_start("date_received"))
-    staged = staged.repartitionByRange(partitions or range_partitions(df), *keys)
-    (staged
-     .sortWithinPartitions("receipt_month", "parcel_id", "transaction_id")
-     .write.mode("overwrite").partitionBy("receipt_month").parquet(path))
-
-
-def write_roll(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Roll layout: range-partitioned and sorted on ``parcel_id``, so each
-    file covers a narrow id range and point lookups skip files by their
-    statistics."""
-    ranged = df.repartitionByRange(partitions or range_partitions(df), "parcel_id")
-    ranged.sortWithinPartitions("parcel_id").write.mode("overwrite").parquet(path)
-
-
-_TABLES = ("roll", "attempts", "journal", "parcels")
+_POSTED_TABLES = ("journal", "parcels")
+_TABLES = ("roll", "attempts", *_POSTED_TABLES)
 _SOURCE_TABLES = ("orders", "customer", "lineitem")
 
 
@@ -114,17 +113,18 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:20]
 
 
-_TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+#: Bytes of source data for each bucket.  A bucket is a task: it sorts its rows in memory.
+_BUCKET_BYTES = 64 * 1024 * 1024
 
 
-def write_partitions(spark: SparkSession, sf_dir: str) -> int:
-    """Partitions for the stored tables: at least the cluster's parallelism
-    (so later scans use every core) and one per 256 MB of source data (so
-    files stay a sensible size at 100 TB)."""
+def ledger_buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of the stored tables: at least the cluster's parallelism (so jobs on
+    them use every core) and one per 64 MB of source data (so that a task's rows fit
+    its memory)."""
     total = 0
     for name in _SOURCE_TABLES:
         total += path_bytes(spark, f"{sf_dir}/{name}.parquet")
-    return max(spark.sparkContext.defaultParallelism, math.ceil(total / _TARGET_PARTITION_BYTES))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(total / _BUCKET_BYTES))
 
 
 def _shared_base(spark: SparkSession) -> str | None:
@@ -133,66 +133,99 @@ def _shared_base(spark: SparkSession) -> str | None:
     return base.rstrip("/") if base else None
 
 
-def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Ledger:
+def _marked(spark: SparkSession, marker: str) -> int | None:
+    """The number of buckets in a marker file (None: there is none)."""
+    target, fs = hadoop_path(spark, marker)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return int(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _mark(spark: SparkSession, marker: str, buckets: int) -> None:
+    # Put in place whole: a reader never meets an empty marker.
+    staged, fs = hadoop_path(spark, f"{marker}-{uuid.uuid4().hex[:12]}")
+    target, _fs = hadoop_path(spark, marker)
+    out = fs.create(staged, True)
+    out.write(bytearray(str(buckets), "utf-8"))
+    out.close()
+    if not fs.rename(staged, target) and not fs.exists(target):
+        raise OSError(f"{marker} was not written")
+
+
+def build_ledger(spark: SparkSession, sf_dir: str, reuse: bool = True, whole: bool = True) -> Ledger:
     """Derive roll/attempts/journal from the driver tables and persist them.
 
     With ``reuse`` a ledger already written under the shared checkpoint
     directory for the same input files and the same code is read instead of
-    rebuilt (a ``_COMPLETE`` marker is written last, so a failed build is
-    never reused).
+    rebuilt (marker files are written last, so a failed build is never reused).
+    Without ``whole`` journal and parcels wait until they are read.
     """
     mark = _fingerprint(spark, sf_dir)
     key = (spark.sparkContext.applicationId, mark)
-    if reuse and key in _CACHE:
-        known = _CACHE[key]
-        if known.spark is spark:
-            return known
+    ledger = _CACHE.get(key) if reuse else None
+    if ledger is None:
+        ledger = _CACHE[key] = _base(spark, sf_dir, mark if reuse else None)
+    elif ledger.spark is not spark:
         # Same application, another session: reuse the written tables.
-        return Ledger(spark, sf_dir, known.paths)
-    shared = _shared_base(spark) if reuse else None
+        ledger = Ledger(spark, sf_dir, ledger.paths, ledger.buckets, ledger.marker)
+    if whole:
+        ledger.finish()
+    return ledger
+
+
+def _base(spark: SparkSession, sf_dir: str, mark: str | None) -> Ledger:
+    """A ledger whose roll and attempts are stored."""
+    shared = _shared_base(spark) if mark else None
     if shared:
         root = f"{shared}/millrate-ledger-{mark}"
-        marker, fs = hadoop_path(spark, f"{root}/_COMPLETE")
         paths = {name: f"{root}/{name}" for name in _TABLES}
-        if fs.exists(marker):
-            ledger = Ledger(spark, sf_dir, dict(paths))
-            _CACHE[key] = ledger
-            return ledger
+        stored = _marked(spark, f"{root}/_BASE")
+        if stored is not None:
+            return Ledger(spark, sf_dir, paths, stored, f"{root}/_COMPLETE")
     else:
-        root, marker, fs = None, None, None
         paths = {name: scratch_path(spark, f"ledger-{name}") for name in _TABLES}
+    n = ledger_buckets(spark, sf_dir)
 
-    n = write_partitions(spark, sf_dir)
-    roll = fixtures.roll_from_orders(spark, sf_dir).select(*PARCEL_COLUMNS)
-    write_roll(roll, paths["roll"], n)
-    roll = spark.read.parquet(paths["roll"])
-
-    attempts = fixtures.attempts_from_lineitem(spark, sf_dir, roll)
-    attempts.repartitionByRange(n, "parcel_id", "seq").sortWithinPartitions("parcel_id", "seq") \
-        .write.mode("overwrite").parquet(paths["attempts"])
-    attempts = spark.read.parquet(paths["attempts"])
-
-    # Posted rows feed the reversals, the exonerations, the journal and the
-    # month closures: materialise the posting join once.
-    posted = cut_lineage(posting.post_payments(attempts, roll))
-    nsf_rows, _missing = posting.nsf_reversals(posted, fixtures.nsf_requests(attempts))
-    exon_rows = posting.exonerate(fixtures.exoneration_requests(roll, posted))
-    journal0 = posted.unionByName(nsf_rows).unionByName(exon_rows)
-    closures = fixtures.january_closures(journal0)
-    # Written once: the range partitioning reads its input twice.
-    journal = cut_lineage(posting.close_month(journal0, closures).select(*JOURNAL_COLUMNS))
-    write_journal(journal, paths["journal"], n)
-    drop_table(journal)
-    drop_table(posted)
-    journal = spark.read.parquet(paths["journal"])
-
-    write_roll(parcel_status(roll, journal).select(*PARCEL_COLUMNS), paths["parcels"], n)
-
-    if marker is not None:
-        fs.create(marker, True).close()
-    ledger = Ledger(spark, sf_dir, dict(paths))
-    _CACHE[key] = ledger
-    return ledger
+    def save(df: DataFrame, name: str) -> DataFrame:
+        save_buckets(df, table_name(paths[name]), paths[name], n, months=False)
+        return open_buckets(spark, paths[name], n, months=False)
+
+    with kept_buckets(spark):
+        roll = save(fixtures.roll_from_orders(spark, sf_dir).select(*PARCEL_COLUMNS).repartition(n, "parcel_id"), "roll")
+        save(fixtures.attempts_from_lineitem(spark, sf_dir, roll, n), "attempts")
+    if shared:
+        _mark(spark, f"{root}/_BASE", n)
+    return Ledger(spark, sf_dir, paths, n, f"{root}/_COMPLETE" if shared else None)
+
+
+def _post(ledger: Ledger) -> None:
+    """Store the journal and the parcels' status.
+
+    Posting joins two tables of the same buckets, so the posted rows are not stored
+    for their few uses but joined anew: no row of them is shuffled, but what the
+    reversals look up.
+    """
+    spark, n, roll, attempts = ledger.spark, ledger.buckets, ledger.roll, ledger.attempts
+    paths = ledger.paths
+    with kept_buckets(spark):
+        posted = posting.post_payments(attempts, roll)
+        nsf_rows, _missing = posting.nsf_reversals(posted, fixtures.nsf_requests(attempts))
+        exon_rows = posting.exonerate(fixtures.exoneration_requests(roll, posted))
+        few = cut_lineage(nsf_rows.unionByName(exon_rows))
+        journal = posted.unionByName(few.repartition(n, "parcel_id"))
+        closures = cut_lineage(fixtures.january_closures(journal).coalesce(1))
+        closed = posting.close_month(journal, closures).select(*JOURNAL_COLUMNS).withColumn(
+            "receipt_month", rules.month_start("date_received"))
+        save_buckets(closed, table_name(paths["journal"]), paths["journal"], n, months=True)
+        drop_table(few)
+        drop_table(closures)
+        journal = open_buckets(spark, paths["journal"], n, months=True)
+        status = parcel_status(roll, journal).select(*PARCEL_COLUMNS)
+        save_buckets(status, table_name(paths["parcels"]), paths["parcels"], n, months=False)
 
 
 def read_tables(spark: SparkSession, roll_path: str, journal_path: str) -> tuple[DataFrame, DataFrame]:
