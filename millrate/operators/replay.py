@@ -38,6 +38,11 @@ from millrate.schemas import JOURNAL_COLUMNS, MONEY
 from millrate.session import cut_lineage, drop_table
 
 
+#: What a reversal takes over from the row it reverses: no other column is shuffled.
+_REVERSED = ("transaction_id", "parcel_id", "transaction_type", "check_number", "amount_paid", "payment_period",
+             "installment_number", "_m")
+
+
 def _follow(links: DataFrame) -> DataFrame:
     """Links from NSF commands to their first rows: ``root`` leaves the NSF commands
     after as many rounds as the longest chain has binary digits."""
@@ -174,14 +179,15 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
     # Each month's first written (non-NSF) row, and the rows NSF commands point at.
     first_fixed = lockable.groupBy("_m").agg(F.min("transaction_id").alias("first_seq"))
     wanted = nsf_cmds.select(F.col("tx_id").alias("transaction_id")).distinct()
-    originals = cut_lineage(lockable.join(wanted, "transaction_id", "left_semi"))
+    originals = cut_lineage(lockable.select(*_REVERSED).join(wanted, "transaction_id", "left_semi"))
     candidates = _candidates(nsf_cmds, originals, semantics)
     locking = _solve(_conditions(candidates, first_fixed, closes)).filter("value")
     locks = cut_lineage(closes.join(locking, F.col("close_seq") == F.col("node"), "left_semi").groupBy("_m").agg(
         F.min("close_seq").alias("lock_start")))
+    # Rows meet a table of months, a calendar's worth: it is broadcast, they stay where they are.
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        j = rows.join(locks, "_m", "left")
+        j = rows.join(F.broadcast(locks), "_m", "left")
         refused_cond = (F.col("transaction_type") != "REJECTED_PAYMENT") & \
             F.col("lock_start").isNotNull() & (F.col("lock_start") < F.col("transaction_id"))
         return j.filter(~refused_cond).drop("lock_start"), j.filter(refused_cond).drop("lock_start")
@@ -192,7 +198,7 @@ def replay(commands: DataFrame, parcels: DataFrame, semantics: str = "corrected"
     journal = kept.drop("_m").unionByName(nsf)
     last_close = closes.groupBy("_m").agg(F.max("close_seq").alias("_last"))
     journal = journal.withColumn("_m", rules.month_start("date_received")) \
-        .join(last_close, "_m", "left") \
+        .join(F.broadcast(last_close), "_m", "left") \
         .withColumn("is_closed", F.coalesce(F.col("_last") > F.col("transaction_id"), F.lit(False)))
     return journal.select(*JOURNAL_COLUMNS), refused.drop("_m").select(*JOURNAL_COLUMNS)
 
