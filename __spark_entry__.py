@@ -123,11 +123,17 @@ def _attempt_stream_dir(spark: SparkSession, L: Ledger, with_repeats: bool) -> s
             a = a.unionByName(a.filter(F.col("seq") % 10 == 0))
         else:
             a = fixtures.orphan_attempts(a)
-        a.repartition(6).write.parquet(path)
+        with bucketed.kept_buckets(spark):  # a file a bucket
+            a.write.parquet(path)
         L.paths[key] = path
     return L.paths[key]
 
 
+def _files_per_batch(L: Ledger) -> int:
+    """Files of a stream's batch: the stream takes three batches or so, of any size."""
+    return max(1, -(-L.buckets // 3))
+
+
 def _lock_table_path(L: Ledger) -> str:
     if "locks" not in L.paths:
         path = scratch_path(L.spark, "locks")
@@ -428,16 +434,16 @@ def _read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def _streamed(L: Ledger, part: str) -> str:
-    """Run the intake stream once per ledger, two files a batch; its sinks."""
+    """Run the intake stream once per ledger; its sinks."""
     if "stream_payments" not in L.paths:
         spark = L.spark
         src = _attempt_stream_dir(spark, L, with_repeats=False)
         sinks = [scratch_path(spark, n) for n in ("stream-journal", "stream-refused", "stream-unknown")]
         locks = _lock_table_path(L)
-        stream.stream_payments(spark, src, spark.read.parquet(L.paths["roll"]),
+        stream.stream_payments(spark, src, L.roll,
                                lambda: spark.read.parquet(locks), *sinks,
                                scratch_path(spark, "stream-ckpt"), scratch_path(spark, "stream-undated"),
-                               max_files_per_trigger=2)
+                               max_files_per_trigger=_files_per_batch(L))
         L.paths.update(zip(("stream_payments", "stream_refused", "stream_unknown"), sinks))
     return L.paths[part]
 
@@ -458,7 +464,8 @@ def q_stream_dedupe(L: Ledger) -> DataFrame:
     spark = L.spark
     src = _attempt_stream_dir(spark, L, with_repeats=True)
     sink = scratch_path(spark, "stream-dedupe")
-    stream.stream_dedupe(spark, src, sink, scratch_path(spark, "stream-dedupe-ckpt"), max_files_per_trigger=2)
+    stream.stream_dedupe(spark, src, sink, scratch_path(spark, "stream-dedupe-ckpt"),
+                         max_files_per_trigger=2 * _files_per_batch(L))  # repeats have files of their own
     return _read_sink(spark, sink, ATTEMPTS).select(
         "parcel_id", "check_number", "amount", "installment_num",
         F.when(F.col("check_number") == "CASH", F.col("seq")).alias("cash_seq"))
@@ -567,7 +574,8 @@ def _colocated(L: Ledger) -> bucketed.CoLocated:
     """Roll and journal in buckets of parcel_id, stored once per ledger."""
     if "colocated" not in L.paths:
         path = scratch_path(L.spark, "colocated")
-        bucketed.write_colocated(L.spark, L.parcels, L.journal, path.rsplit("/", 1)[1].replace("-", "_"), path)
+        bucketed.write_colocated(L.spark, L.parcels, L.journal, path.rsplit("/", 1)[1].replace("-", "_"), path,
+                                 L.buckets, dealt=True)
         L.paths["colocated"] = path
     path = L.paths["colocated"]
     return bucketed.open_colocated(L.spark, path.rsplit("/", 1)[1].replace("-", "_"), path)

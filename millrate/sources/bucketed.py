@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from millrate.functions import rules
 from millrate.operators.util import read_bytes
 
-#: Bytes of stored input for each bucket.  Months are folders, so a bucket has a
-#: file a month: larger buckets keep these from getting small.
-BUCKET_BYTES = 1024 * 1024 * 1024
+#: Bytes of stored input for each bucket.  A bucket is a task, which sorts its rows in
+#: memory; but months are folders, so smaller buckets would make small files.
+BUCKET_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -64,10 +64,6 @@ def save_buckets(df: DataFrame, name: str, path: str, buckets: int, months: bool
     writer.bucketBy(buckets, "parcel_id").sortBy("parcel_id").saveAsTable(name)
 
 
-def _save(df: DataFrame, name: str, path: str, buckets: int, months: bool) -> None:
-    save_buckets(df.repartition(buckets, "parcel_id"), name, path, buckets, months)
-
-
 def table_name(path: str) -> str:
     """The catalog's name of the bucketed table with its files under ``path``."""
     return f"millrate_{hashlib.sha1(path.encode()).hexdigest()[:20]}"
@@ -102,23 +98,33 @@ def kept_buckets(spark: SparkSession) -> Iterator[None]:
 
 
 def write_colocated(spark: SparkSession, parcels: DataFrame, journal: DataFrame, name: str, path: str,
-                    buckets: int | None = None) -> CoLocated:
+                    buckets: int | None = None, dealt: bool = False) -> CoLocated:
     """Store both tables as ``<name>_roll`` and ``<name>_journal`` of the catalog,
-    with their files under ``path``, and open them."""
+    with their files under ``path``, and open them.  ``dealt``: both are bucketed
+    tables of ``buckets`` buckets already, whose rows are not shuffled again."""
     n = buckets or bucket_count(spark, parcels, journal)
+    with kept_buckets(spark):
+        return _write_colocated(spark, parcels, journal, name, path, n, dealt)
+
+
+def _write_colocated(spark: SparkSession, parcels: DataFrame, journal: DataFrame, name: str, path: str,
+                     n: int, dealt: bool) -> CoLocated:
+    def save(df: DataFrame, part: str, months: bool) -> None:
+        save_buckets(df if dealt else df.repartition(n, "parcel_id"), f"{name}_{part}", f"{path}/{part}", n, months)
+
     dated = journal.withColumn("receipt_month", rules.month_start("date_received"))
     total = dated.count()
     dated.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("rows")).filter(
         F.col("rows") * n > total).select("parcel_id").write.mode("overwrite").parquet(f"{path}/hot_parcels")
     hot = spark.read.schema("parcel_id string").parquet(f"{path}/hot_parcels")
-    _save(parcels, f"{name}_roll", f"{path}/roll", n, months=False)
+    save(parcels, "roll", months=False)
     if hot.isEmpty():
-        _save(dated, f"{name}_journal", f"{path}/journal", n, months=True)
+        save(dated, "journal", months=True)
     else:
         # NULL ids are a group like any other here.
         keys = F.broadcast(hot.withColumnRenamed("parcel_id", "_hot"))
         is_hot = F.col("parcel_id").eqNullSafe(F.col("_hot"))
-        _save(dated.join(keys, is_hot, "left_anti"), f"{name}_journal", f"{path}/journal", n, months=True)
+        save(dated.join(keys, is_hot, "left_anti"), "journal", months=True)
         dated.join(keys, is_hot, "left_semi").hint("rebalance", "receipt_month").write.mode(
             "overwrite").partitionBy("receipt_month").parquet(f"{path}/hot_journal")
     return open_colocated(spark, name, path)

@@ -6,11 +6,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrate.operators import posting
+from millrate.operators import posting, replay
 from millrate.operators.status import parcel_status
 from millrate.plans import monthly
 from millrate.session import hadoop_path, scratch_path
 from millrate.sources import fixtures
+from millrate.sources.bucketed import write_colocated
 from millrate.sources.tables import build_ledger
 
 
@@ -78,3 +79,32 @@ def test_equal_lines_are_numbered_apart(spark):
     assert [r[0] for r in got] == [3001, 3002, 3003, 3004]
     assert [r[1] for r in got] == [dt.date(1998, 1, 6)] + [dt.date(1998, 1, 9)] * 3
     assert fixtures.attempts_from_lineitem(spark, folder, roll).filter(F.col("parcel_id") != "P-3").isEmpty()
+
+
+def test_replay_does_not_shuffle_rows_by_month(spark, ledger, no_broadcast):
+    import __spark_entry__ as entry
+    for df in replay.replay(entry.replay_commands(ledger), ledger.roll):
+        plan = _plan(df)
+        assert "SortMergeJoin [_m" not in plan, plan
+
+
+def test_dealt_tables_are_colocated_as_they_are(spark, ledger):
+    """As many files as buckets (and months): nothing was dealt anew, no row is lost."""
+    path = scratch_path(spark, "t-dealt")
+    both = write_colocated(spark, ledger.parcels, ledger.journal, path.rsplit("/", 1)[1].replace("-", "_"), path,
+                           ledger.buckets, dealt=True)
+    months = ledger.journal.select("receipt_month").distinct().count()
+    assert len(both.roll.inputFiles()) <= ledger.buckets
+    assert len(both.journal.inputFiles()) <= ledger.buckets * months
+    assert both.journal.count() == ledger.journal.count() and both.roll.count() == ledger.parcels.count()
+    got, want = (monthly.monthly_detail(j, p).groupBy("tax_type").agg(F.count("*"), F.sum("amount_paid")).collect()
+                 for j, p in ((both.journal, both.roll), (ledger.journal, ledger.parcels)))
+    assert sorted(got) == sorted(want)
+
+
+def test_stream_files_follow_the_buckets(spark, ledger):
+    import __spark_entry__ as entry
+    src = entry._attempt_stream_dir(spark, ledger, with_repeats=False)
+    files = len(spark.read.parquet(src).inputFiles())
+    assert files <= ledger.buckets and entry._files_per_batch(ledger) * 3 >= files
+    assert spark.read.parquet(src).count() == ledger.attempts.count()
