@@ -11,7 +11,7 @@ from millrate.operators.status import parcel_status
 from millrate.plans import monthly
 from millrate.session import hadoop_path, scratch_path
 from millrate.sources import fixtures
-from millrate.sources.bucketed import write_colocated
+from millrate.sources.bucketed import open_buckets, table_name, write_colocated
 from millrate.sources.tables import build_ledger
 
 
@@ -108,3 +108,15 @@ def test_stream_files_follow_the_buckets(spark, ledger):
     files = len(spark.read.parquet(src).inputFiles())
     assert files <= ledger.buckets and entry._files_per_batch(ledger) * 3 >= files
     assert spark.read.parquet(src).count() == ledger.attempts.count()
+
+
+def test_tables_of_another_application_are_read_whole(spark):
+    """A catalog that doesn't know the stored tables: all rows, still in buckets."""
+    folder = _sources(spark, [1, 2], [(1, 5, 6, 1, 2.0), (2, 7, 8, 1, 3.0)])
+    L = build_ledger(spark, folder, reuse=False)
+    rows = sorted(map(str, L.journal.collect()))
+    assert len(rows) >= 2
+    spark.sql(f"DROP TABLE {table_name(L.paths['journal'])}")
+    again = open_buckets(spark, L.paths["journal"], L.buckets, months=True)
+    assert sorted(map(str, again.select(L.journal.columns).collect())) == rows
+    assert "Exchange" not in _plan(again.groupBy("parcel_id").count())
