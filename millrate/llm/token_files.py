@@ -26,8 +26,8 @@ text; an empty table gives no blocks; other columns take no part.
 from __future__ import annotations
 
 import functools
+import string
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,31 +91,35 @@ class Encoder:
     def __init__(self, path: str) -> None:
         spec = word_bpe.check(path)
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
         self.special = word_bpe.specials(spec).search
         self.split = regex.compile(word_bpe.SPLIT).findall
         self.letter = word_bpe.byte_letters()
         self.known: dict[str, bytes] = {}   # of words, and of the pieces of words
 
     def _piece(self, piece: str) -> bytes:
-        if piece not in self.known:
+        packed = self.known.get(piece)
+        if packed is None:
             letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letter[b] for b in piece.encode()])
-            ids = [t.id for t in self.library.model.tokenize(letters)]
+            ids = [t.id for t in self.merge(letters)]
             packed = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) > LONGEST:
-                return packed
-            self.known[piece] = packed
-        return self.known[piece]
+            if len(piece) <= LONGEST:
+                self.known[piece] = packed
+        return packed
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self._piece(word)
+        if word.isascii():
+            letters = word.rstrip(string.punctuation)
+            if letters.isalpha():  # what follows letters is one run of other characters
+                end = word[len(letters):]
+                return self._piece(letters) + self._piece(end) if end else self._piece(word)
         return b"".join(map(self._piece, self.split(word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > WORDS:
             self.known.clear()
         whole = [bool(self.special(t) or word_bpe.KEPT_CONTROLS.search(t)
-                      or not t.isascii() and word_bpe.unassigned().search(t)) for t in texts]
+                      or not t.isascii() and word_bpe.has_unassigned(t)) for t in texts]
         cut = [[] if w else word_bpe.normalise(t).split() for t, w in zip(texts, whole)]
         long: dict[str, bytes] = {}  # of this batch only
         for word in set().union(*cut) - self.known.keys():

@@ -8,7 +8,6 @@ description and refuses any other.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -50,18 +49,18 @@ def normalise(text: str) -> str:
 KEPT_CONTROLS = re.compile("[\x1c-\x1f]")
 
 
-@functools.lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Matches characters without a category in Python's Unicode tables, where
-    those of other libraries may be newer."""
-    free = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    ranges, start = [], None
-    for c, after in zip(free, [*free[1:], None]):
-        start = c if start is None else start
-        if after != c + 1:
-            ranges.append(f"\\U{start:08x}-\\U{c:08x}")
-            start = None
-    return re.compile("[" + "".join(ranges) + "]")
+#: Characters that Python's Unicode tables know, as far as met: one entry a code point at most.
+_ASSIGNED: set[str] = set(map(chr, range(0x80)))
+
+
+def has_unassigned(text: str) -> bool:
+    """Holds a character without a category in Python's Unicode tables, where
+    those of other libraries may be newer.  A text's different characters are
+    looked up, which costs less than a pattern of all such ranges."""
+    new = set(text) - _ASSIGNED
+    free = {c for c in new if unicodedata.category(c) == "Cn"}
+    _ASSIGNED.update(new - free)
+    return bool(free)
 
 
 def byte_letters() -> list[str]:

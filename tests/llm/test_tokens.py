@@ -172,3 +172,30 @@ def test_newer_letters(library):
     texts = [f"It's 12 a{chr(c)}b {chr(c)}x" for c in (0x1C89, 0x1C8A, 0x105C0, 0x10D50, 0x2FFFC, 0x16EA0, 0x378)]
     want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_letters_beyond_ascii_cost_little_more():
+    """A look for unknown characters doesn't outweigh the encoding (best of three)."""
+    import time
+
+    from millrate.llm import production, token_files, word_bpe
+    enc = token_files.Encoder(production.WORD_BPE)
+
+    def seconds(text: str) -> float:
+        took = []
+        for _ in range(4):  # the first one meets the word
+            start = time.process_time()
+            enc.encode([text])
+            took.append(time.process_time() - start)
+        return min(took[1:])
+
+    assert seconds("wörd " * 200_000) < 6 * seconds("word " * 200_000)
+    assert not word_bpe.has_unassigned("wörd 漢字") and word_bpe.has_unassigned("a͸b")
+
+
+def test_punctuation_behind_letters(library):
+    from millrate.llm import production, token_files
+    enc = token_files.Encoder(production.WORD_BPE)
+    texts = ["end. end., it's it' 's x'll'. a_b_ c__ d\"'s e'. f'd f'x 1. 1a. g1. ... '. h\\|` É. é'."]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids_of(x) for x in enc.encode(texts)] == want
