@@ -626,7 +626,7 @@ def _status_state(L: Ledger) -> str:
         wrong = j.withColumn("amount_paid", F.when(january, (F.col("amount_paid") * 2).cast("decimal(18,2)"))
                              .otherwise(F.col("amount_paid")))
         for k in range(3):
-            state.apply_batch(L.spark, path, wrong.filter(F.col("transaction_id") % 3 == k), k)
+            state.apply_batch(L.spark, path, wrong.filter(F.col("transaction_id") % 3 == k), k, buckets=L.buckets)
         state.apply_batch(L.spark, path, j.filter(january), 3, months)
         state.compact(L.spark, path, 4)
         L.paths["status_state"] = path

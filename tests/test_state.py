@@ -9,6 +9,7 @@ from millrate.operators import state
 from millrate.operators.status import parcel_events
 from millrate.schemas import JOURNAL
 from millrate.session import scratch_path
+from millrate.sources.bucketed import table_name
 from test_status_events import _rows
 
 
@@ -86,3 +87,38 @@ def test_replaced_months_are_pruned_by_folder(spark):
 
 def test_no_batches(spark):
     assert state.state_events(spark, scratch_path(spark, "state")).isEmpty()
+
+
+def test_a_state_in_buckets_gives_the_same(spark):
+    """Rows that are dealt otherwise, no rows, reopened months, a compaction, another catalog."""
+    plain, dealt, rows = scratch_path(spark, "state"), scratch_path(spark, "state"), _dated(7)
+    again = [dict(r, amount_paid=None) for r in rows if r["date_received"].month == 2]
+    for path, buckets in ((plain, None), (dealt, 5)):
+        for n, batch, months in ((1, rows[::2], []), (2, rows[1::2], []), (3, [], []),
+                                 (4, again, [dt.date(2025, 2, 1)]), (5, [], [dt.date(2025, 3, 1)])):
+            assert state.apply_batch(spark, path, _frame(spark, batch), n, months, buckets=buckets)
+    want = _by_parcel(state.state_events(spark, plain))
+    assert _by_parcel(state.state_events(spark, dealt)) == want
+    assert state.compact(spark, dealt, 6)
+    state.remove_replaced(spark, dealt)
+    assert _by_parcel(state.state_events(spark, dealt)) == want
+    spark.sql(f"DROP TABLE {table_name(dealt)}")
+    assert _by_parcel(state.state_events(spark, dealt)) == want
+
+
+def test_an_unpublished_try_in_buckets_is_written_over(spark, monkeypatch):
+    path, rows = scratch_path(spark, "state"), _dated(8)
+    with monkeypatch.context() as m:
+        m.setattr(state, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            state.apply_batch(spark, path, _frame(spark, rows), 1, buckets=3)
+    assert state.apply_batch(spark, path, _frame(spark, rows[:50]), 1, buckets=3)
+    assert _by_parcel(state.state_events(spark, path)) == _by_parcel(parcel_events(_frame(spark, rows[:50])))
+
+
+def test_the_ledgers_state_is_read_without_a_shuffle(ledger):
+    import __spark_entry__ as e
+    status = e.q_status_from_batches(ledger)
+    assert "Exchange hashpartitioning" not in status._jdf.queryExecution().executedPlan().toString()
+    files = [f.rsplit("/", 1)[1] for f in state.live_groups(ledger.spark, e._status_state(ledger)).inputFiles()]
+    assert files and len({f.split("_")[-1].split(".")[0] for f in files}) <= ledger.buckets
