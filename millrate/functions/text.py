@@ -112,8 +112,7 @@ def parcel_from_memo(memo: ColumnLike) -> Column:
     m = _c(memo)
     tokens = F.split(F.regexp_replace(m, r"^\s+|\s+$", ""), r"\s+")
     first = F.try_element_at(F.filter(tokens, lambda t: t.startswith("P-")), F.lit(1))
-    return F.when(m.isNotNull() & m.contains("P-") & first.isNotNull(), first).otherwise(
-        F.lit(UNKNOWN_PARCEL))
+    return F.coalesce(F.when(m.contains("P-"), first), F.lit(UNKNOWN_PARCEL))  # first is computed once
 
 
 def _python_quote(text: Column) -> Column:

@@ -5,11 +5,11 @@ with ``from_json`` against a fixed schema; malformed text, an amount that is no
 money and a date that is no date yield a row flagged ``parse_ok = false``
 instead of failing the job.
 
-The cleaned text and the parsed struct are each produced by a one-row
-``inline`` generator.  Catalyst does not inline generator output into
-later expressions, so filters and field accesses downstream read the
-parsed columns instead of re-running the regexes and the JSON parser once
-per reference.
+The cleaned text, the parsed struct, its date and amount, the parse flag and the
+parcel id are each produced by a one-row ``inline`` generator.  Catalyst does
+not inline generator output into later expressions, so filters and field
+accesses downstream read the columns instead of re-running the regexes, the
+JSON parser and the date parser once per reference.
 """
 
 from __future__ import annotations
@@ -36,30 +36,33 @@ def parse_check_extractions(df: DataFrame, text_col: str = "raw_text",
     ``as_of`` when given, and stays NULL otherwise.
     """
     keep = [c for c in df.columns if c != text_col]
-    unfenced = F.regexp_replace(F.regexp_replace(F.col(text_col), "```json", ""), "```", "")
+    unfenced = F.replace(F.replace(F.col(text_col), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
     staged = _once(df, F.regexp_replace(unfenced, r"^\s+|\s+$", ""), "_clean")
     staged = _once(staged, F.from_json("_clean", CHECK_EXTRACTION, {"mode": "PERMISSIVE"}), "_p")
+    staged = _once(staged, F.struct(
+        F.try_to_date(F.col("_p.postmark_date"), "yyyy-MM-dd").alias("dated"),
+        F.col("_p.amount").try_cast(MONEY).alias("amount")), "_typed")
+    cleaned, dated = F.col("_clean"), F.col("_typed.dated")
     # from_json stops behind the first value; what follows it breaks an object around it,
     # and a comma gives an array around it a second entry.
-    staged = _once(staged, F.from_json(F.concat(F.lit('{"v":'), "_clean", F.lit("}")), "v string")["v"].isNotNull()
-                   & (F.size(F.from_json(F.concat(F.lit("["), "_clean", F.lit("]")), "array<string>")) == 1), "_one")
-    cleaned = F.col("_clean")
-    dated = F.try_to_date(F.col("_p.postmark_date"), "yyyy-MM-dd")
-    ok = (F.col("_p").isNotNull() & F.col("_one") & cleaned.startswith("{") & cleaned.endswith("}")
-          & F.col("_p.amount").try_cast(MONEY).isNotNull()
-          & (F.col("_p.postmark_date").isNull() | dated.isNotNull()))
-    staged = staged.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
-    ok = F.col("parse_ok")
+    one = (F.from_json(F.concat(F.lit('{"v":'), "_clean", F.lit("}")), "v string")["v"].isNotNull()
+           & (F.size(F.from_json(F.concat(F.lit("["), "_clean", F.lit("]")), "array<string>")) == 1))
+    ok = (F.col("_p").isNotNull() & cleaned.startswith("{") & cleaned.endswith("}")
+          & F.col("_typed.amount").isNotNull()
+          & (F.col("_p.postmark_date").isNull() | dated.isNotNull()) & one)
+    staged = _once(staged, F.coalesce(ok, F.lit(False)), "_ok")
+    ok = F.col("_ok")
     pm = dated if as_of is None else F.coalesce(dated, F.lit(as_of))
     memo = F.when(ok, F.col("_p.memo"))
+    staged = _once(staged, F.when(ok, text.parcel_from_memo(memo)), "_found")
     return staged.select(
         *keep,
         F.when(ok, F.col("_p.check_number")).alias("check_number"),
-        F.when(ok, F.col("_p.amount").try_cast(MONEY)).alias("amount"),
+        F.when(ok, F.col("_typed.amount")).alias("amount"),
         F.when(ok, pm).alias("postmark_date"),
         F.when(ok, F.col("_p.payer_name")).alias("payer_name"),
         F.when(ok, F.col("_p.payer_address")).alias("payer_address"),
         memo.alias("memo"),
-        "parse_ok",
-        F.when(ok, text.parcel_from_memo(memo)).alias("found_parcel_id"),
+        ok.alias("parse_ok"),
+        F.col("_found").alias("found_parcel_id"),
     )

@@ -131,3 +131,14 @@ def test_a_crash_between_two_writes(spark):
     counts = [stream.read_published(spark, sinks[n], sinks["journal"]).count() for n in names]
     assert counts == [2, 0, 1, 1] and sum(counts) == len(ROWS)
     assert spark.read.parquet(sinks["journal"]).count() == 2
+
+
+def test_a_check_is_parsed_once_for_all_its_uses(spark):
+    """Filters on the parsed columns repeat neither the date's parser nor the memo's split."""
+    df = spark.createDataFrame([(1, '{"amount": 1.0, "postmark_date": "2025-03-01", "memo": "2025 tax P-7"}')],
+                               "extraction_id long, raw_text string")
+    rows = parse_check_extractions(df).filter(
+        "parse_ok and found_parcel_id <> 'none' and postmark_date is not null and amount > 0")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(x) for x in ("try_to_date", "split(", "from_json(")] == [1, 1, 3]
+    assert rows.first()["found_parcel_id"] == "P-7"
