@@ -244,10 +244,12 @@ class Comparer:
     def distances(self, pairs: DataFrame) -> DataFrame:
         """a, b, distance, linked of the pairs (a, b) of up to 2 eps."""
         close = stored(self._possible(pairs), "close")
-        self._learn(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        ends = stored(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        self._learn(ends)
         if self.sets is None:
             return close.select("a", "b", F.lit(0.0).alias("distance"), F.lit(False).alias("linked"))
-        a, b = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        sets = self.sets.join(ends, "node", "left_semi")  # few of all: later rounds have few pairs
+        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
         met = close.join(a, "a").join(b, "b").select(
             "a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
@@ -291,7 +293,7 @@ def _connected(links: DataFrame | None, members: DataFrame) -> DataFrame:
 def _pivots(members: DataFrame, most: int, salt: int) -> DataFrame:
     """region, pivot, home (its component), salts: up to ``most`` pivots for each
     region, all its owners if there are as few; those of smaller components first."""
-    counts = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
+    counts = stored(members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("in_comp")), "component-counts")
     size = counts.groupBy("region").agg(F.sum("in_comp").alias("size"))
     few = F.col("size") <= most
     place = F.when(few, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(most)))
@@ -314,11 +316,14 @@ def _meetings(members: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def _split(met: DataFrame, members: DataFrame, pivots: DataFrame, links: DataFrame, salt: int) -> DataFrame:
-    """The regions of the next round.  ``met``: region, pivot, node, distance, linked."""
+    """The regions of the next round.  ``met``: region, pivot, node, distance, linked.
+    Each step is stored, so that the next one's plan is short: one plan for all of
+    them holds most of its branches many times, and fills the driver's memory."""
     rest = members.join(pivots.select("region", F.col("pivot").alias("node")), ["region", "node"], "left_anti")
     cell = met.filter("linked").groupBy("region", "node").agg(
         F.min(F.struct("distance", "pivot"))["pivot"].alias("cell"))
-    placed = _connected(links, rest.join(cell, ["region", "node"], "left").select("region", "node", "own", "cell"))
+    placed = stored(_connected(links, rest.join(cell, ["region", "node"], "left").select(
+        "region", "node", "own", "cell")), "placed-nodes")
 
     def new(*keys: str) -> list[Column]:
         return [F.col("region").alias("parent"), F.xxhash64("region", *keys, F.lit(salt)).alias("region")]
@@ -327,19 +332,24 @@ def _split(met: DataFrame, members: DataFrame, pivots: DataFrame, links: DataFra
     cells = placed.filter("cell is not null").select("region", F.col("cell").alias("pivot"), "node", "own", "comp")
     root = _connected(links, pivots.select("region", F.col("pivot").alias("node"))).select(
         "region", F.col("node").alias("pivot"), F.col("comp").alias("home"))
-    window = (met.select("region", "pivot", "node").join(placed, ["region", "node"])
-              .filter(~F.col("cell").eqNullSafe(F.col("pivot")))
-              .join(root, ["region", "pivot"]).filter("comp <> home").select("region", "pivot", "node", "own", "comp"))
+    window = stored(
+        met.select("region", "pivot", "node").join(placed, ["region", "node"])
+        .filter(~F.col("cell").eqNullSafe(F.col("pivot")))
+        .join(root, ["region", "pivot"]).filter("comp <> home").select("region", "pivot", "node", "own", "comp"),
+        "windows")
     open_cells = window.select("region", "pivot").distinct()
     near = cells.join(open_cells, ["region", "pivot"], "left_semi").unionByName(window).select(
         *new("pivot"), "node", "own", "comp")
     split = stored(far.unionByName(near).distinct(), "split-regions")
     # Where windows take in most of a dense region, it stays whole, less its pivots.
     before = placed.groupBy("region").agg(F.count(F.lit(1)).alias("before"))
-    dense = split.groupBy("parent").agg(F.count(F.lit(1)).alias("after")).join(
-        before, F.col("parent") == F.col("region")).filter(F.col("after") > DENSE * F.col("before")).select("parent")
+    dense = stored(split.groupBy("parent").agg(F.count(F.lit(1)).alias("after")).join(
+        before, F.col("parent") == F.col("region")).filter(F.col("after") > DENSE * F.col("before")).select("parent"),
+        "dense-regions")
+    if dense.isEmpty():
+        return split.drop("parent")
     whole = placed.select(*new(), "node", "own", "comp").join(dense, "parent", "left_semi")
-    return split.join(dense, "parent", "left_anti").unionByName(whole).drop("parent")
+    return stored(split.join(dense, "parent", "left_anti").unionByName(whole).drop("parent"), "next-regions")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -357,7 +367,7 @@ def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percen
     members = stored(shared.filter("many and node <> region").groupBy("region", "node").agg(
         F.max("own").alias("own")), "regions")
     pairs = _all_pivots(shared)
-    pivots = members.select("region", F.col("region").alias("pivot")).distinct()
+    pivots = stored(members.select("region", F.col("region").alias("pivot")).distinct(), "pivots")
     meetings = members.select("region", F.col("region").alias("pivot"), "node")
     links = None
     most, turn = PIVOTS, 0
@@ -368,8 +378,8 @@ def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percen
         new = found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = components(new if links is None else new.unionByName(
             links.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        met = meetings.withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).join(
-            found, ["a", "b"]).select("region", "pivot", "node", "distance", "linked")
+        met = stored(meetings.withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).join(
+            found, ["a", "b"]).select("region", "pivot", "node", "distance", "linked"), "met")
         members = stored(_open(_split(met, members, pivots, links, turn)), "regions")
         if members.isEmpty():
             return links

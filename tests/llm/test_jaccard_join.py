@@ -8,6 +8,7 @@ import re
 from conftest import words
 from test_simhash import FOLD
 
+from millrate.llm import common
 from millrate.llm import jaccard_join as jj
 from millrate.llm import production
 
@@ -109,3 +110,19 @@ def test_empty(empty):
 def test_query_columns(spark):
     got = production.op12_jaccard_join(spark, "/root/testdata/sf0.001")
     assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+
+
+def test_short_plans(spark, monkeypatch):
+    """No plan holds the branches of a whole round: the driver keeps each plan, and a
+    string of it for each of its stages."""
+    plans = []
+
+    def kept(df, name):
+        plans.append((df._jdf.queryExecution().optimizedPlan().collectLeaves().size(), name))
+        return common.stored(df, name)
+
+    monkeypatch.setattr(jj, "stored", kept)
+    for name, value in dict(PIVOTS=2, MORE=2, FREQUENT=5).items():
+        monkeypatch.setattr(jj, name, value)
+    check(spark.createDataFrame(cluster_rows()[:160], "doc_id long, text string"))
+    assert max(plans)[0] <= 16, sorted(plans)[-8:]
