@@ -58,7 +58,7 @@ PIVOTS, MORE = 16, 16
 #: set, in first sizes, that is counted one by one; shingles held at once to count those
 #: that documents share.  They change no result.
 FREQUENT, FREQUENT_KEPT, COUNTED, RUN = 32, 1 << 18, 1, 1 << 21
-#: Nodes whose ids are broadcast at most to find their texts; more are joined.
+#: Nodes whose ids are broadcast at most to find their texts, histograms and sets; more are joined.
 BROADCAST_NODES = 1_000_000
 #: A region is split if its parts hold at most so many times its rows.
 DENSE = 1.5
@@ -191,6 +191,15 @@ class Comparer:
         self.near = max(0, 2 * percent - 100)  # similarity of the triangle's far corner, in hundredths
         self.sets: DataFrame | None = None
 
+    def narrow(self, members: DataFrame) -> None:
+        """From now on only nodes of ``members`` are compared, so what is joined
+        with their pairs holds no others."""
+        kept = members.select("node")
+        kept = F.broadcast(kept) if kept.count() <= BROADCAST_NODES else kept
+        self.nodes = stored(self.nodes.join(kept, "node", "left_semi"), "region-nodes")
+        if self.sets is not None:
+            self.sets = stored(self.sets.join(kept, "node", "left_semi"), "region-sets")
+
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and histograms don't put them beyond 2 eps."""
         near = self.near
@@ -244,12 +253,10 @@ class Comparer:
     def distances(self, pairs: DataFrame) -> DataFrame:
         """a, b, distance, linked of the pairs (a, b) of up to 2 eps."""
         close = stored(self._possible(pairs), "close")
-        ends = stored(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        self._learn(ends)
+        self._learn(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         if self.sets is None:
             return close.select("a", "b", F.lit(0.0).alias("distance"), F.lit(False).alias("linked"))
-        sets = self.sets.join(ends, "node", "left_semi")  # few of all: later rounds have few pairs
-        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        a, b = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
         met = close.join(a, "a").join(b, "b").select(
             "a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either"))
@@ -383,6 +390,7 @@ def link_tree(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, percen
         members = stored(_open(_split(met, members, pivots, links, turn)), "regions")
         if members.isEmpty():
             return links
+        compare.narrow(members)
         turn += 1
         pivots = stored(_pivots(members, most, turn), "pivots")
         meetings = stored(_meetings(members, pivots), "meetings")
