@@ -133,9 +133,10 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ``max_bits`` (3 or fewer) bits."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys find pairs of up to 3 differing bits")
+    # Spark sizes the keys as if each fingerprint had one, and would broadcast them.
     index, query = _keyed(nodes, False).alias("i"), _keyed(nodes, True).alias("q")
     close = F.bit_count(F.col("q.fp").bitwiseXOR(F.col("i.fp"))) <= max_bits
-    return index.join(query, (F.col("q.key") == F.col("i.key")) & (F.col("q.fp") < F.col("i.fp")) & close
+    return index.hint("merge").join(query, (F.col("q.key") == F.col("i.key")) & (F.col("q.fp") < F.col("i.fp")) & close
                       ).select(F.col("q.fp").alias("u"), F.col("i.fp").alias("v")).distinct()
 
 
@@ -154,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
     while at != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(
+        large = both.join(low.hint("merge"), "u").filter("v > u").select(
             F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -174,7 +175,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     tree = components(links(nodes, max_bits))
-    rooted = nodes.join(tree, nodes["fp"] == tree["node"], "left").select(
+    rooted = nodes.join(tree.hint("merge"), nodes["fp"] == tree["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = rooted.select("fp", "root").join(least, "root")

@@ -10,6 +10,7 @@ import xxhash
 from conftest import words
 
 from millrate.llm import simhash
+from millrate.llm.common import stored
 
 FOLD = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -120,3 +121,15 @@ def test_one_of_each_group_stays(odd, empty):
     assert ids.count(None) == 1  # the lonely text without an id
     assert simhash.keep_first(empty).count() == 0
     assert simhash.near_groups(empty).count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_are_not_broadcast(spark):
+    # Spark sizes the keys as the fingerprints, of which each has 8 to 48.
+    nodes = stored(spark.createDataFrame([(1,), (3,), (1 << 40,), (-1,)], "fp long"), "t-nodes")
+    found = simhash.links(nodes)
+    assert "SortMergeJoin" in _plan(found) and "Broadcast" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (1, 1 << 40), (3, 1 << 40)]
