@@ -18,6 +18,10 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Most labels that a classifier is fitted for; bounds what is broadcast.
 MAX_LABELS = 10_000
 
+#: Most rows of keys that Spark may broadcast.  It goes by a table's compressed files;
+#: the hash table on the driver takes 100 to 250 bytes a row.
+MAX_BROADCAST = 100_000
+
 
 def free_name(taken: list[str], name: str) -> str:
     """``name``, lengthened until no column in ``taken`` has it."""
@@ -50,9 +54,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def one_each(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose ``keys`` are in ``kept`` (keys, n: how many rows have them),
     one row for each.  Only rows of keys that several have are compared, so the
-    others' texts are neither sorted nor, while Spark finds ``kept`` small enough
-    to broadcast, shuffled."""
+    others' texts are neither sorted nor, while ``kept`` is small enough to broadcast,
+    shuffled."""
     kept = stored(kept.groupBy(*keys).agg(F.sum("n").alias("n")), "kept-keys")
+    if kept.count() > MAX_BROADCAST:
+        kept = kept.hint("merge")
     once = rows.join(kept.filter("n = 1").select(*keys), keys, "left_semi")
     several = kept.filter("n > 1").select(*keys)
     if several.isEmpty():

@@ -9,7 +9,7 @@ import pytest
 from conftest import odd_rows  # noqa: F401
 from pyspark.sql import functions as F
 
-from millrate.llm import exact_dedup, sharding
+from millrate.llm import common, exact_dedup, sharding
 
 FOLD = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -104,3 +104,15 @@ def test_columns_of_the_stages_own_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __digest string, __hash string")
     assert [tuple(r) for r in exact_dedup.keep_latest(docs).collect()] == rows[1:]
     assert [tuple(r) for r in simhash.keep_first(docs).collect()] == rows[:1]
+
+
+def test_many_kept_keys_are_not_broadcast(spark):
+    # The files of 100,001 keys are small enough for Spark, their hash table isn't.
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (-1, "d")], "k long, x string")
+    some = spark.range(1, 11).selectExpr("id as k", "1 + (id = 2)::int as n")
+    many = spark.range(1, 100_002).selectExpr("id as k", "1 + (id = 2)::int as n")
+    for kept, join in ((some, "BroadcastHashJoin"), (many, "SortMergeJoin")):
+        found = common.one_each(rows, kept, ["k"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{join} [k") == 2
+        assert sorted(r["k"] for r in found.collect()) == [1, 2]
