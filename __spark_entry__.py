@@ -503,9 +503,10 @@ def q_import_roll(L: Ledger) -> DataFrame:
 
 
 def _csv_again(L: Ledger, df: DataFrame, name: str, write: Callable = writers.write_csv) -> DataFrame:
-    """``df`` written as CSV and read again with its types."""
+    """``df`` written as CSV and read again with its types.  The files are whole
+    journals or rolls as text, only to be read here: they are compressed."""
     path = scratch_path(L.spark, name)
-    write(df, path)
+    write(df, path, compression="gzip")
     kinds = df.schema if write is writers.write_csv else writers.turnover_schema(df)
     return L.spark.read.schema(kinds).option("header", True).option("escape", '"').option(
         "multiLine", True).csv(path)

@@ -16,18 +16,20 @@ from millrate.operators.util import range_partitions
 from millrate.plans.collections import TURNOVER_TITLES
 
 
-def write_csv(df: DataFrame, path: str, titles: dict[str, str] | None = None) -> None:
+def write_csv(df: DataFrame, path: str, titles: dict[str, str] | None = None, compression: str = "none") -> None:
     """CSV with a header; optional display titles for the columns.  Quotes inside
-    values are doubled, as Python's csv module and spreadsheets read them."""
+    values are doubled, as Python's csv module and spreadsheets read them.
+    ``compression``: "gzip" for files that take about an eighth of the disk."""
     out = df
     if titles:
         out = df.select(*[F.col(c).alias(titles.get(c, c)) for c in df.columns])
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "compression", compression).csv(path)
 
 
-def write_turnover(df: DataFrame, path: str) -> None:
+def write_turnover(df: DataFrame, path: str, compression: str = "none") -> None:
     """Lien list with the bureau's column titles (CSV in place of xlsx)."""
-    write_csv(df.select(*TURNOVER_TITLES), path, TURNOVER_TITLES)
+    write_csv(df.select(*TURNOVER_TITLES), path, TURNOVER_TITLES, compression)
 
 
 def write_labels_csv(labels: DataFrame, path: str) -> None:

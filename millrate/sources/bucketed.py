@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +58,7 @@ def bucket_count(spark: SparkSession, *tables: DataFrame) -> int:
 def save_buckets(df: DataFrame, name: str, path: str, buckets: int, months: bool) -> None:
     """Store ``df``, already dealt by ``parcel_id`` over ``buckets`` tasks, as a
     bucketed table: the same hash deals rows to buckets, so a file a bucket (and month)."""
-    writer = df.write.format("parquet").mode("overwrite").option("path", path)
+    writer = df.write.format("parquet").mode("overwrite").option("path", path).option("compression", "zstd")
     if months:
         writer = writer.partitionBy("receipt_month")
     writer.bucketBy(buckets, "parcel_id").sortBy("parcel_id").saveAsTable(name)
@@ -82,19 +82,29 @@ def open_buckets(spark: SparkSession, path: str, buckets: int, months: bool) ->
     return spark.table(name)
 
 
-_AUTO_SCAN = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-
-
 @contextmanager
-def kept_buckets(spark: SparkSession) -> Iterator[None]:
-    """Within it every scan of a bucketed table keeps the buckets, also one that is
-    only written to a table of the same buckets."""
-    before = spark.conf.get(_AUTO_SCAN)
-    spark.conf.set(_AUTO_SCAN, "false")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_AUTO_SCAN, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def kept_buckets(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it every scan of a bucketed table keeps the buckets, also one that is
+    only written to a table of the same buckets."""
+    return _setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+
+
+def dropped_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it a job's shuffle files go when it ends, not when the driver happens to
+    collect its garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def write_colocated(spark: SparkSession, parcels: DataFrame, journal: DataFrame, name: str, path: str,

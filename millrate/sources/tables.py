@@ -25,7 +25,7 @@ from millrate.operators.status import parcel_status
 from millrate.schemas import JOURNAL_COLUMNS, PARCEL_COLUMNS
 from millrate.session import cut_lineage, drop_table, hadoop_path, path_bytes, scratch_path
 from millrate.sources import fixtures
-from millrate.sources.bucketed import kept_buckets, open_buckets, save_buckets, table_name
+from millrate.sources.bucketed import dropped_shuffles, kept_buckets, open_buckets, save_buckets, table_name
 
 
 @dataclass
@@ -194,7 +194,7 @@ def _base(spark: SparkSession, sf_dir: str, mark: str | None) -> Ledger:
         save_buckets(df, table_name(paths[name]), paths[name], n, months=False)
         return open_buckets(spark, paths[name], n, months=False)
 
-    with kept_buckets(spark):
+    with kept_buckets(spark), dropped_shuffles(spark):
         roll = save(fixtures.roll_from_orders(spark, sf_dir).select(*PARCEL_COLUMNS).repartition(n, "parcel_id"), "roll")
         save(fixtures.attempts_from_lineitem(spark, sf_dir, roll, n), "attempts")
     if shared:
@@ -211,7 +211,7 @@ def _post(ledger: Ledger) -> None:
     """
     spark, n, roll, attempts = ledger.spark, ledger.buckets, ledger.roll, ledger.attempts
     paths = ledger.paths
-    with kept_buckets(spark):
+    with kept_buckets(spark), dropped_shuffles(spark):
         posted = posting.post_payments(attempts, roll)
         nsf_rows, _missing = posting.nsf_reversals(posted, fixtures.nsf_requests(attempts))
         exon_rows = posting.exonerate(fixtures.exoneration_requests(roll, posted))

@@ -2,6 +2,7 @@
 and journal and parcels are built only when they are read."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,20 @@ def test_tables_of_another_application_are_read_whole(spark):
     again = open_buckets(spark, L.paths["journal"], L.buckets, months=True)
     assert sorted(map(str, again.select(L.journal.columns).collect())) == rows
     assert "Exchange" not in _plan(again.groupBy("parcel_id").count())
+
+
+def _shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {x for x in blocks.mkString(",").split(",") if x.startswith("shuffle_")}
+
+
+def test_the_build_leaves_no_shuffle_files(spark):
+    folder = _sources(spark, range(1, 40), [(o, 5, 6, n, 2.0) for o in range(1, 40) for n in (1, 2, 3)])
+    before = _shuffle_files(spark)
+    L = build_ledger(spark, folder, reuse=False)
+    until = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)  # they are removed in the background
+    assert not left
+    assert (L.roll.count(), L.attempts.count()) == (39, 117)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # as it was

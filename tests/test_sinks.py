@@ -75,3 +75,15 @@ def test_monthly_detail_and_return_list_csv(spark, ledger):
     assert back.count() == ret.count()
     assert set(r["status"] for r in back.select("status").distinct().collect()) <= {"UNPAID",
                                                                                    "PARTIAL"}
+
+
+def test_scratch_csv_is_compressed(spark, ledger):
+    import __spark_entry__ as entry
+    from millrate.plans import monthly
+    detail = monthly.monthly_detail(ledger.journal, ledger.parcels)
+    back = entry.q_monthly_csv(ledger)
+    assert back.inputFiles() and all(f.endswith(".csv.gz") for f in back.inputFiles())
+    assert back.schema.simpleString() == detail.schema.simpleString()
+    assert back.count() == detail.count() and back.exceptAll(detail).isEmpty()
+    assert entry.LEDGER_QUERIES["turnover_csv"](ledger).count() == ledger.parcels.filter(
+        F.col("status").isin("UNPAID", "PARTIAL")).count()
