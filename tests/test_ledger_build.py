@@ -132,7 +132,7 @@ def test_the_build_leaves_no_shuffle_files(spark):
     folder = _sources(spark, range(1, 40), [(o, 5, 6, n, 2.0) for o in range(1, 40) for n in (1, 2, 3)])
     before = _shuffle_files(spark)
     L = build_ledger(spark, folder, reuse=False)
-    until = time.time() + 20
+    until = time.time() + 4
     while (left := _shuffle_files(spark) - before) and time.time() < until:
         time.sleep(0.2)  # they are removed in the background
     assert not left
